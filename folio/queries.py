@@ -1,10 +1,6 @@
-"""Registry of the library's queries: name -> callable, name -> SQL."""
+"""All queries of the library: name -> callable, name -> SQL."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+from folio.plans import archive, catalogue, curation  # noqa: F401  registers them
+from folio.plans.base import ORACLE, QUERIES  # noqa: F401
