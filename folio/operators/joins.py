@@ -58,13 +58,12 @@ def windows_of(tokens: Column, least: int, most: int) -> Column:
     return F.concat(*[runs_of(tokens, k) for k in range(least, most + 1)])
 
 
-def name_keys(tokens: Column, most: int = 6) -> Column:
-    """Keys under which tokens may name someone: hyphenated tokens; initials and the name after them; runs of two to
-    `most`; runs of three or more less one inner initial. In that order, as array<string>."""
+def name_keys(tokens: Column, runs: Column) -> Column:
+    """Keys under which tokens may name someone: hyphenated tokens; initials and the name after them; runs of two or
+    more; runs of three or more less one inner initial. In that order, as array<string>; `runs` are the windows of the tokens."""
     single = F.filter(tokens, lambda t: F.contains(t, F.lit("-")))
-    runs = windows_of(tokens, 2, most)
     joined = F.transform(runs, lambda w: F.concat_ws("-", w))
-    initials = F.transform(F.filter(windows_of(tokens, 2, most), lambda w: F.forall(F.slice(w, F.lit(1), F.size(w) - 1), lambda t: F.char_length(t) == 1) & (F.char_length(F.element_at(w, -1)) > 1)), lambda w: F.concat_ws("-", w))
+    initials = F.transform(F.filter(runs, lambda w: F.forall(F.slice(w, F.lit(1), F.size(w) - 1), lambda t: F.char_length(t) == 1) & (F.char_length(F.element_at(w, -1)) > 1)), lambda w: F.concat_ws("-", w))
 
     def without_inner(w: Column) -> Column:
         inner = F.filter(F.sequence(F.lit(2), F.size(w) - 1), lambda j: F.char_length(F.element_at(w, j)) == 1)
@@ -74,9 +73,10 @@ def name_keys(tokens: Column, most: int = 6) -> Column:
     return F.concat(single, initials, joined, dropped)
 
 
-def ngram_join(df: DataFrame, ids: list[str], tokens: Column, lookup: DataFrame, key: str, value: str) -> DataFrame:
+def ngram_join(df: DataFrame, ids: list[str], tokens: Column, lookup: DataFrame, key: str, value: str, most: int = 6) -> DataFrame:
     """ids, matches (distinct, in order), route: resolved for one, ambiguous for more, deferred for none."""
-    rows = df.select(*ids, F.posexplode_outer(name_keys(tokens)).alias("__pos", "__cand"))
+    parts = df.select(*ids, tokens.alias("__tokens")).withColumn("__runs", windows_of(F.col("__tokens"), 2, most))
+    rows = parts.select(*ids, F.posexplode_outer(name_keys(F.col("__tokens"), F.col("__runs"))).alias("__pos", "__cand"))
     hits = rows.join(lookup.select(F.col(key).alias("__k"), F.col(value).alias("__v")), F.col("__cand") == F.col("__k"), "left")
     found = F.array_distinct(F.transform(F.array_sort(F.collect_list(F.when(F.col("__v").isNotNull(), F.struct("__pos", "__v")))), lambda x: x["__v"]))
     out = hits.groupBy(*ids).agg(found.alias("matches"))

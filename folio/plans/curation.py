@@ -402,7 +402,7 @@ def extension_daily_windows(t: Tables) -> DataFrame:
     return t.events.groupBy(w.alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "event_type", "n")
 
 
-@query("SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS place, coalesce(epoch(ts) - epoch(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)), 0)::BIGINT AS gap FROM events")
+@query("SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS place, coalesce(floor(epoch(ts)) - floor(epoch(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id))), 0)::BIGINT AS gap FROM events")
 def extension_gaps(t: Tables) -> DataFrame:
     """An extension: lag over a user's events."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
