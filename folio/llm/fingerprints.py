@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from folio.llm.common import ROWS_PER_BUCKET
+from folio.llm.common import ROWS_PER_BUCKET, Scratch
 
 SAMPLES = 48
 #: Samples that one pass over a term takes; a term gets a row for each pass. Few at a time keep the generated code small.
@@ -116,6 +116,8 @@ def with_next(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
     w = Window.orderBy("b")
     tops = tops.select("__top", F.lead("b").over(w).alias("__above"), F.min("b").over(Window.partitionBy(F.lit(0))).alias("__lowest"))
     tops = tops.select("__top", F.coalesce("__above", "__lowest").alias("__to"), F.col("__above").isNull().alias("__wraps"))
+    # written, so that its size is known and a small one spares the texts another exchange
+    tops = Scratch(df.sparkSession, "fingerprints").save(tops, "tops")
     sent = named.withColumn("bucket", bucket).join(tops, F.col(key) == F.col("__top"), "left")
     own = F.struct(F.col("bucket"), F.lit(0).alias("turned"))
     other = F.struct(F.col("__to").alias("bucket"), F.when(F.col("__wraps"), 2).otherwise(1).alias("turned"))
