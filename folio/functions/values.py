@@ -21,7 +21,8 @@ def year_of(c: Column) -> Column:
 
 def rfc822(c: Column) -> Column:
     """A feed's date; null if it can't be read."""
-    return F.try_to_timestamp(F.regexp_replace(c, r"^\s*[A-Za-z]{3},\s*", ""), F.lit("d MMM yyyy HH:mm:ss Z"))
+    numeric = F.regexp_replace(F.regexp_replace(c, r"^\s*[A-Za-z]{3},\s*", ""), r"(?:GMT|UTC?|Z)\s*$", "+0000")
+    return F.try_to_timestamp(numeric, F.lit("d MMM yyyy HH:mm:ss Z"))
 
 
 def reset_seconds(c: Column, now: Column) -> Column:

@@ -43,7 +43,7 @@ def entries(spark: SparkSession, path: str, schema: str | None = None) -> DataFr
 
     The collection is the folder that holds the file; the slug is the header's id or the file's name.
     """
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.{md,mdx}").text(path).select("value", F.col("_metadata.file_path").alias("path"))
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.{md,mdx}").text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
     header, body = split_entry(F.col("value"))
     parts = F.split("path", "/")
     stem = F.regexp_replace(F.element_at(parts, -1), r"\.mdx?$", "")

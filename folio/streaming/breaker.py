@@ -35,7 +35,7 @@ class Breaker(StatefulProcessor):
         self.recent = handle.getListState("recent", "at long")
         self.opened = handle.getValueState("opened", "at long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         failed = [r[0] for r in self.recent.get()]
         is_open, out = self.opened.exists(), []
         for at, status in sorted((int(a), s) for df in rows for a, s in zip(df["at"], df["status"], strict=True)):
@@ -49,18 +49,18 @@ class Breaker(StatefulProcessor):
             if not is_open and (status == "limited" or len(failed) >= self.failures):
                 is_open = True
                 self.opened.update((at,))
-                self.handle.registerTimer(timers.getCurrentProcessingTimeInMs() + 1000 * self.pause)
+                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + 1000 * self.pause)
                 out.append((key[0], at, True))
         if not is_open and self.opened.exists():
             self.opened.clear()
         self.recent.put([(x,) for x in failed]) if failed else self.recent.clear()
         yield pd.DataFrame(out, columns=["key", "at", "open"])
 
-    def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.opened.exists():
             self.opened.clear()
             self.recent.clear()
-            yield pd.DataFrame([(key[0], expired.getExpiryTimeInMs() // 1000, False)], columns=["key", "at", "open"])
+            yield pd.DataFrame([(key[0], expiredTimerInfo.getExpiryTimeInMs() // 1000, False)], columns=["key", "at", "open"])
 
     def close(self) -> None:
         pass
