@@ -29,27 +29,38 @@ from folio.llm.common import Scratch
 BITS = 64
 #: Fingerprints that a block of a bucket holds, about. A group compares two blocks.
 BLOCK = 2048
+#: Bytes of a word that counts among a text's distinct words; shorter ones are mostly the same in all texts.
+LONG = 4
 
 
-def fingerprint(text: bytes | None, shingle: int, seed: int = 42) -> int:
+def fingerprint(text: bytes | None, shingle: int | None, seed: int = 42) -> int:
+    """Majority bits of the hashes of all shingles; without a shingle length, of the distinct words of LONG bytes or more (of any, if none is)."""
     words = (text or b"").lower().split()
     n = len(words)
     if not n:
         return 0
-    joined = b" ".join(words)
     digest = xxhash.xxh64_intdigest
+    if shingle is None:
+        distinct = set(words)
+        return majority(np.array([digest(w, seed) for w in {w for w in distinct if len(w) >= LONG} or distinct], dtype="<u8"))
+    joined = b" ".join(words)
     if n <= shingle:
         return digest(joined, seed)
     ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=n) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     hashes = np.array([digest(joined[a:b], seed) for a, b in zip(starts[: n - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)], dtype="<u8")
+    return majority(hashes)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Bits set in over half of the hashes."""
     set_ = np.zeros(BITS, dtype=np.int64)
     for at in range(0, len(hashes), 4096):
         set_ += np.unpackbits(hashes[at : at + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(set_ * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(df: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 5) -> DataFrame:
+def fingerprints(df: DataFrame, text: str = "text", key: str = "doc_id", shingle: int | None = 5) -> DataFrame:
     """key, fingerprint (signed 64 bits)."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,7 +183,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         now, before = following, state
 
 
-def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 5, radius: int = 4) -> DataFrame:
+def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", shingle: int | None = 5, radius: int = 4) -> DataFrame:
     """key, fingerprint, component_id (the smallest key that links of `radius` differing bits or fewer reach): one row for each row.
 
     The key is an integer.

@@ -28,6 +28,12 @@ def plain_print(text, k):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
+def plain_word_print(text):
+    words = set(WORD.findall(re.sub(rb"[A-Z]", lambda m: m[0].lower(), text.encode())))
+    h = [xxhash.xxh64_intdigest(w, 42) for w in {w for w in words if len(w) >= 4} or words]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
 def plain_components(prints, radius):
     """doc -> smallest doc reachable."""
     root = {d: d for d in prints}
@@ -53,12 +59,13 @@ def test_op7(spark, sf_dir):
 
 
 def test_masks_cover_every_pair():
-    masks = [m & (1 << 64) - 1 for m in simhash.masks(4)]
-    assert len(masks) == 31
-    r = random.Random(0)
-    for _ in range(3000):
-        bits = sum(1 << b for b in r.sample(range(64), r.randint(0, 4)))
-        assert any(bits & m == 0 for m in masks)
+    for radius in (4, 6):
+        masks = [m & (1 << 64) - 1 for m in simhash.masks(radius)]
+        assert len(masks) == 2 ** (radius + 1) - 1
+        r = random.Random(0)
+        for _ in range(3000):
+            bits = sum(1 << b for b in r.sample(range(64), r.randint(0, radius)))
+            assert any(bits & m == 0 for m in masks)
 
 
 @pytest.mark.parametrize("block", [2, 5, 2048])
@@ -286,7 +293,7 @@ def test_pipeline_stages(spark, sf_dir):
     assert {r.doc_id for r in stages[0]} == kept and all(r == docs[r.doc_id] for r in stages[0])
     texts = plain_line_dedup({r.doc_id: r.text for r in stages[0]}, 40)
     assert {r.doc_id: r.text for r in stages[1]} == texts and all(r.n_chars == len(r.text) for r in stages[1])
-    groups = plain_components({d: plain_print(t, 5) for d, t in texts.items()}, 4)
+    groups = plain_components({d: plain_word_print(t) for d, t in texts.items()}, 6)
     assert {r.doc_id for r in stages[2]} == {d for d, g in groups.items() if d == g}
     assert {r.doc_id for r in stages[3]} <= {r.doc_id for r in stages[2]} and 0 < len(stages[3]) < len(stages[2])
     assert {r.doc_id for r in stages[4]} == {r.doc_id for r in stages[3]}
