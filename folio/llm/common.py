@@ -85,6 +85,7 @@ def spread_rank(df: DataFrame, strata: list[str], size: str, order: list[Column]
     `size` names a column with the stratum's row count. Rows go to ceil(size / ROWS_PER_BUCKET) buckets by
     their hash; the rank is the count of the buckets before plus the place inside. Stratum and bucket are
     ordered first, `order` inside. Rows that tie in everything take their places in any order.
+    The rows are dealt out by stratum and bucket even if they come dealt by stratum, which would do for the window.
     """
     b, before, place = "__bucket", "__before", "__place"
     n = F.greatest(F.lit(1), F.ceil(F.col(size) / ROWS_PER_BUCKET))
@@ -95,7 +96,7 @@ def spread_rank(df: DataFrame, strata: list[str], size: str, order: list[Column]
         .withColumn(before, F.sum("__n").over(Window.partitionBy(*strata).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)))
         .select(*strata, b, F.coalesce(before, F.lit(0)).alias(before))
     )
-    ranked = rows.withColumn(place, F.row_number().over(Window.partitionBy(*strata, b).orderBy(*order)) - 1)
+    ranked = rows.repartition(*strata, b).withColumn(place, F.row_number().over(Window.partitionBy(*strata, b).orderBy(*order)) - 1)
     return null_safe_join(ranked, offsets, [*strata, b]).withColumn(out, F.col(before) + F.col(place)).drop(b, before, place)
 
 

@@ -196,8 +196,9 @@ def pack(rows: DataFrame, capacity: int, length: str = "length", key: tuple[str,
 
     The rows are read twice, so pass a table that is cheap to read. Lengths lie in 1..capacity.
     """
-    sizes = rows.groupBy(length).agg(F.count(F.lit(1)).alias("__size"))
-    histogram = {r[0]: r[1] for r in sizes.collect()}  # at most `capacity` rows
+    # at most `capacity` rows; written, so that the join knows how few
+    sizes = Scratch(rows.sparkSession, "lengths").save(rows.groupBy(length).agg(F.count(F.lit(1)).alias("__size")), "sizes")
+    histogram = {r[0]: r[1] for r in sizes.collect()}
     runs = plan(histogram, capacity)
     h = F.xxhash64(F.lit(seed), *[F.col(c) for c in key])
     ranked = spread_rank(
