@@ -79,13 +79,15 @@ def mix(df: DataFrame, levels: list[str], key: str = "doc_id", text: str = "text
     carried = [c for c in (keep or df.columns) if c not in made]
     named = [c for c in dict.fromkeys([*carried, *levels, key, *ties]) if c in df.columns]
     rows = df.select(*[F.col(c) for c in named], n_tokens(F.col(text)).alias("n_tokens"))
-    leaves = Scratch(spark, "mix").save(rows.groupBy(*levels).agg(F.sum("n_tokens").alias("__tokens"), F.count(F.lit(1)).alias("__rows")), "leaves")
+    scratch = Scratch(spark, "mix")
+    leaves = scratch.save(rows.groupBy(*levels).agg(F.sum("n_tokens").alias("__tokens"), F.count(F.lit(1)).alias("__rows")), "leaves")
     if budget is None:
         budget = (leaves.agg(F.sum("__tokens")).first()[0] or 0) * (1.0 if fraction is None else fraction)
     plan = quotas(leaves, levels, "__tokens", budget, max_epochs, weight_of or {})
     # the last epoch that the leaf needs; a leaf without tokens has only its first
     last = F.when(F.col("__tokens") > 0, F.least(F.lit(max_epochs - 1), F.floor(F.col("quota") / F.col("__tokens")))).otherwise(F.lit(0))
     plan = plan.select(*levels, F.col("quota").alias("leaf_quota"), "__tokens", F.explode(F.sequence(F.lit(0), last.cast("int"))).alias("epoch"), F.greatest(F.lit(1), F.ceil(F.col("__rows") / ROWS_PER_BUCKET)).alias("__buckets"))
+    plan = scratch.save(plan, "plan")  # so that the joins know how few leaves there are
     dealt = null_safe_join(rows, plan, levels).withColumn("__h", order_hash(seed, F.col("epoch"), F.col(key)))
     first8 = F.conv(F.substring("__h", 1, 8), 16, 10).cast("double")
     dealt = dealt.withColumn("__bucket", F.floor(first8 * F.col("__buckets") / F.lit(4294967296.0)))
@@ -97,7 +99,9 @@ def mix(df: DataFrame, levels: list[str], key: str = "doc_id", text: str = "text
         .drop("__sum")
     )
     inside = Window.partitionBy(*spots).orderBy("__h", F.col(key), *ties).rowsBetween(Window.unboundedPreceding, -1)
-    placed = null_safe_join(dealt.withColumn("__in", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))), before, spots)
+    before = scratch.save(before, "before")
+    # dealt out by bucket even where the join has dealt the rows by leaf, which would do for the window
+    placed = null_safe_join(dealt.repartition(*spots).withColumn("__in", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))), before, spots)
     start = F.col("epoch") * F.col("__tokens") + F.col("__before") + F.col("__in")
     chosen = placed.withColumn("start_token", start).filter(F.col("start_token") < F.col("leaf_quota") - 1e-6)
     return chosen.select(*carried, *made)

@@ -27,7 +27,7 @@ def interleave(df: DataFrame, shards: int, stratum: str = "source", key: str = "
     scratch = Scratch(df.sparkSession, "shard")
     rows = df.drop(shard, slot)
     named = [key, *ties]
-    sizes = rows.groupBy(stratum).agg(F.count(F.lit(1)).alias("__size"))
+    sizes = scratch.save(rows.groupBy(stratum).agg(F.count(F.lit(1)).alias("__size")), "sizes")
     h = seeded(seed, *[F.col(c) for c in named])
     ranked = spread_rank(
         null_safe_join(rows, sizes, [stratum]).withColumn("__h", h), [stratum], "__size", [F.col("__h"), *[F.col(c) for c in named]], F.col("__h"), "__rank"
