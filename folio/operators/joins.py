@@ -121,6 +121,24 @@ def contains_normal(body: Column, quote: Column, normal_body: Callable[[Column],
     return (q != "") & F.contains(F.coalesce(normal_body(body), F.lit("")), q)
 
 
+def passages_in(docs: DataFrame, doc: str, body: str, passages: DataFrame, item: str, quote: str) -> DataFrame:
+    """doc, item: which documents hold which passages of seven words or more, exactly.
+
+    A passage's second to sixth words stand whole and side by side wherever it does, so a hash of them pairs it with the documents
+    that have that run; containment decides. Documents are exploded into hashes only, and only pairs carry texts.
+    """
+
+    def runs(words: Column, starts: Column) -> Column:
+        return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(words, i, F.lit(5)), " "))))
+
+    words = lambda c: F.split(F.trim(F.regexp_replace(c, r"\s+", " ")), " ")
+    long = passages.select(item, F.col(quote).alias("__q"), words(F.col(quote)).alias("__w")).filter(F.size("__w") >= 7)
+    wanted = long.select(item, F.element_at(runs(F.col("__w"), F.array(F.lit(2))), 1).alias("__h"))
+    mine = docs.select(doc, words(F.col(body)).alias("__w")).filter(F.size("__w") >= 5)
+    found = mine.select(doc, F.explode(runs(F.col("__w"), F.sequence(F.lit(1), F.size("__w") - 4))).alias("__h")).join(wanted, "__h").select(doc, item).distinct()
+    return found.join(docs.select(doc, F.col(body).alias("__b")), doc).join(long.select(item, "__q"), item).filter(F.contains("__b", F.col("__q"))).select(doc, item)
+
+
 def whole_word(text: Column, name: Column) -> Column:
     """Whether a name of ASCII letters stands in the text as words, in any case. The name is quoted for the pattern."""
     quoted = F.regexp_replace(name, r"([\\.\[\]{}()*+?^$|])", r"\\$1")

@@ -122,15 +122,10 @@ d AS (SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[*_`>~]', '', 'g'
 SELECT doc_id, item_id FROM d JOIN b ON contains(body, q)""".replace("\\\\", "\\")
 )
 def quotes_in_documents(t: Tables) -> DataFrame:
-    """Which benchmark passages stand in which documents. A seed of rare leading words pairs them, containment decides."""
+    """Which benchmark passages stand in which documents, typography and closing marks aside."""
     quotes = t.benchmark.select("item_id", names.n11_quote_key(F.col("text")).alias("q")).filter("q <> ''")
     docs = t.documents.select("doc_id", names.n10_quote_text(F.col("text")).alias("body"))
-    # the first six words of the quote, found among the document's runs of six words; the last of them may go on in the text
-    first = F.array_join(F.slice(F.split("q", " "), 1, 5), " ")
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(F.col("w")) - 4)), lambda i: F.array_join(F.slice(F.col("w"), i, F.lit(5)), " "))
-    seeds = docs.withColumn("w", F.split("body", " ")).select("doc_id", "body", F.explode(F.array_distinct(runs)).alias("seed")).select("doc_id", "seed")
-    pairs = seeds.join(quotes.filter(F.size(F.split("q", " ")) > 5).select("item_id", first.alias("seed")), "seed").select("doc_id", "item_id").distinct()
-    return pairs.join(docs, "doc_id").join(quotes, "item_id").filter(F.contains("body", F.col("q"))).select("doc_id", "item_id")
+    return joins.passages_in(docs, "doc_id", "body", quotes, "item_id", "q")
 
 
 @query("SELECT doc_id, w AS name FROM documents, (VALUES ('thing'), ('station'), ('the')) v(w) WHERE regexp_matches(text, '(?i)\\b' || w || '\\b') AND lang = 'en'".replace("\\\\", "\\"))

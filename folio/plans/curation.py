@@ -9,13 +9,11 @@ from pyspark.sql.window import Window
 from folio.functions import names
 from folio.functions import text as tx
 from folio.functions import values as vl
-from folio.operators import ledger, merge, quality
+from folio.operators import joins, ledger, merge, quality
 from folio.plans.base import Tables, query
 from folio.sources import pages as page_source
 from folio.streaming import breaker
 
-BS = "\\"
-
 
 def r(sql: str) -> str:
     """SQL with a doubled backslash written for a single one."""
@@ -345,13 +343,7 @@ def vocabulary_candidates(t: Tables) -> DataFrame:
 SELECT item_id, count(doc_id) AS documents, count(doc_id) > 0 AS verified FROM benchmark LEFT JOIN h USING (item_id) GROUP BY 1"""
 )
 def quote_verification(t: Tables) -> DataFrame:
-    """Exact passages: a passage's first line pairs it with documents that hold that line's beginning."""
-    lead = F.substring(F.regexp_extract("text", r"^([^\n]*)", 1), 1, 40)
-    q = t.benchmark.select("item_id", F.col("text").alias("q"), lead.alias("lead"))
-    starts = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.char_length("text") - 39)), lambda i: F.substring(F.col("text"), i, F.lit(40)))
-    seeds = t.documents.select("doc_id", F.explode(F.array_distinct(starts)).alias("lead"))
-    pairs = seeds.join(q.select("item_id", "lead"), "lead").select("doc_id", "item_id").distinct()
-    hits = pairs.join(t.documents.select("doc_id", "text"), "doc_id").join(q.select("item_id", "q"), "item_id").filter(F.contains("text", F.col("q"))).groupBy("item_id").agg(F.count("doc_id").alias("n"))
+    hits = joins.passages_in(t.documents, "doc_id", "text", t.benchmark, "item_id", "text").groupBy("item_id").agg(F.count("doc_id").alias("n"))
     return t.benchmark.join(hits, "item_id", "left").select("item_id", F.coalesce("n", F.lit(0)).alias("documents"), (F.coalesce("n", F.lit(0)) > 0).alias("verified"))
 
 
@@ -374,11 +366,9 @@ def page_markdown(t: Tables) -> DataFrame:
 
 @query()
 def fuzzy_titles(t: Tables) -> DataFrame:
-    from folio.operators.joins import fuzzy_tiers
-
     a = t.part.filter("p_partkey % 7 = 0").select(F.col("p_partkey").alias("id"), names.n2_kebab(F.concat_ws(" ", "p_name", "p_brand")).alias("slug"), F.concat_ws(" ", "p_name", "p_type").alias("title"), F.col("p_size").alias("year"), F.element_at(F.split("p_name", " "), -1).alias("surname"))
     b = t.part.filter("p_partkey % 5 = 0").select(F.col("p_partkey").alias("rid"), names.n2_kebab(F.concat_ws(" ", "p_name", "p_brand")).alias("rslug"), F.concat_ws(" ", "p_type", "p_name").alias("rtitle"), F.col("p_size").alias("ryear"), F.col("p_name").alias("byline"), F.when(F.col("p_partkey") % 2 == 0, "u").alias("url"))
-    return fuzzy_tiers(a, b, tx.token_set_score)
+    return joins.fuzzy_tiers(a, b, tx.token_set_score)
 
 
 @query("SELECT coalesce(event_type, '?') AS event_type, coalesce(props_key, '?') AS k, count(*) AS n FROM (SELECT event_type, json_keys(props)[1] AS props_key FROM events) GROUP BY 1, 2")

@@ -55,7 +55,7 @@ if __name__ == "__main__":
 
     import __spark_entry__ as entry
 
-    spark = SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "4g").getOrCreate()
+    spark = SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "4").config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "4g").getOrCreate()
     spark.sparkContext.setLogLevel("OFF")
     c, queries, sql = oracle(sys.argv[1]), entry.queries(), entry.oracle_sql()
     for name in sys.argv[2:] or [n for n in queries if n in sql]:
