@@ -3,7 +3,8 @@
 Patterns find the usual spellings (assignments of a password or token, access keys, long hexadecimal runs). Beyond
 these, every run of 20 or more key characters is a candidate if its characters fit an encoding. Three tests ask
 whether it could be uniformly random over that alphabet: chi-squared uniformity, runs above and below the middle,
-serial correlation at lag one. Fisher's method combines their p-values, and a candidate that fails is no key.
+serial correlation at lag one. The last two depend on one another, so the smaller of their p-values, doubled, stands for
+both; Fisher's method combines it with the first, and a candidate that fails is no key.
 
 Passing such tests says little of a short string. So each survivor gets a second p-value, of a text as clumped as
 words are showing so few coincidences of characters at that length; within each class of lengths the procedure of
@@ -105,14 +106,17 @@ def battery(df: DataFrame, token: str = "value") -> DataFrame:
     rows = rows.withColumn("__cov", F.expr("aggregate(__after, 0D, (a, p) -> a + (p.x - __mean) * (p.y - __mean))"))
     n, k, n1 = F.col("__n"), F.col("__k"), F.col("__n1")
     chi = k / n * F.col("__squares") - n
-    z_chi = (chi - (k - 1)) / F.sqrt(2 * (k - 1) * (n - 1) / n)
+    free = k - 1
+    # the cube root of chi-squared is close to normal in its tail too (Wilson and Hilferty)
+    z_chi = (F.cbrt(F.greatest(F.lit(0.0), chi) / free) - (1 - 2 / (9 * free))) / F.sqrt(2 / (9 * free))
     expect = 2 * n1 * (n - n1) / n + 1
     spread = F.sqrt(F.greatest(F.lit(1e-9), (expect - 1) * (expect - 2) / (n - 1)))
     z_runs = (F.col("__runs") - expect) / spread
     z_serial = F.when(F.col("__var") > 0, F.col("__cov") / F.col("__var") * F.sqrt(n)).otherwise(F.sqrt(n))
     two = lambda z: F.least(F.lit(1.0), 2 * tail(F.abs(z)))
-    x = -(F.log(tail(z_chi)) + F.log(two(z_runs)) + F.log(two(z_serial)))
-    p_random = F.exp(-x) * (1 + x + x * x / 2)
+    order = F.least(F.lit(1.0), 2 * F.least(two(z_runs), two(z_serial)))
+    x = -(F.log(tail(z_chi)) + F.log(order))
+    p_random = F.exp(-x) * (1 + x)
     pairs, rate = n * (n - 1), pick(2)
     seen = (F.col("__squares") - n) / pairs
     # pairs of places share characters, which adds the second part of the variance

@@ -79,12 +79,23 @@ def test_battery_p_values(spark):
         z_runs = (runs - mean) / sqrt(max(1e-9, (mean - 1) * (mean - 2) / (n - 1)))
         d = x - x.mean()
         z_serial = (d[1:] * d[:-1]).sum() / (d * d).sum() * sqrt(n)
-        s = -sum(log(min(1, p)) for p in (up((chi - 15) / sqrt(30 * (n - 1) / n)), 2 * up(abs(z_runs)), 2 * up(abs(z_serial))))
-        want = exp(-s) * (1 + s + s * s / 2)
+        z_chi = ((chi / 15) ** (1 / 3) - (1 - 2 / 135)) / sqrt(2 / 135)
+        s = -sum(log(min(1, p)) for p in (up(z_chi), 4 * min(up(abs(z_runs)), up(abs(z_serial)))))
+        want = exp(-s) * (1 + s)
         assert rows[t].encoding == "hex" and rows[t].p_random == pytest.approx(want, rel=2e-3, abs=1e-9)
     assert all(rows[t].p_random > secrets.BATTERY for t in tokens[:3]) and all(rows[t].p_random < secrets.BATTERY for t in tokens[3:5])
 
 
+@pytest.mark.parametrize("alphabet,length", [("0123456789abcdef", 24), ("0123456789abcdef", 40), (secrets.ENCODINGS["base64"][1], 40)])
+def test_battery_calibration(spark, alphabet, length):
+    """Of uniformly random strings the battery rejects about as many as its level says."""
+    rng = np.random.default_rng(4)
+    tokens = ["".join(alphabet[i] for i in row) for row in rng.integers(0, len(alphabet), (20_000, length))]
+    p = [r[0] for r in secrets.battery(spark.createDataFrame([(t,) for t in tokens], "value string")).select("p_random").collect()]
+    assert len(p) > 19_000 and sum(x < secrets.BATTERY for x in p) < 2 * secrets.BATTERY * len(p)
+    assert 0.5 * 0.05 < sum(x < 0.05 for x in p) / len(p) < 1.2 * 0.05
+
+
 def test_op4(spark, sf_dir):
     chats = {}
     for r in sorted(spark.read.parquet(f"{sf_dir}/conversations.parquet").collect(), key=lambda r: (r.conv_id, r.turn)):
