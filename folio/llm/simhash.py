@@ -29,6 +29,8 @@ from folio.llm.common import Scratch
 BITS = 64
 #: Fingerprints that a block of a bucket holds, about. A group compares two blocks.
 BLOCK = 2048
+#: Fingerprints that one task spells out under all masks.
+SPELLED = 20_000
 #: Bytes of a word that counts among a text's distinct words; shorter ones are mostly the same in all texts.
 LONG = 4
 
@@ -128,6 +130,8 @@ def groups(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[list[np.nd
 def links(classes: DataFrame, radius: int, scratch: Scratch) -> DataFrame:
     """Links (a, b) of representatives that connect all fingerprints within the radius. classes: fingerprint, rep."""
     table = F.posexplode(F.array(*[F.lit(m) for m in masks(radius)])).alias("__t", "__mask")
+    # few bytes in the file, many rows under the masks: dealt out first, so that the tasks grow in number and not in size
+    classes = classes.repartition(max(1, -(-classes.count() // SPELLED)), "fingerprint")
     dealt = classes.select("fingerprint", "rep", table).select(F.xxhash64("__t", F.col("fingerprint").bitwiseAND(F.col("__mask"))).alias("bucket"), "fingerprint", "rep")
     sizes = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared = dealt.join(sizes, "bucket").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
