@@ -17,7 +17,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
@@ -78,21 +77,22 @@ def chunks(text: bytes) -> list[tuple[int, int, int, int]]:
 
 
 def chunk_table(df: DataFrame, text: str, key: str) -> DataFrame:
-    """key, __row (hash of the text), no, hash of each chunk."""
+    """key, __row (hash of the text), no, hash of each chunk, and where its bytes begin and stop and its lines."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, numbers, hashes = [], [], []
+            rows, numbers, places = [], [], []
             for i, t in enumerate(batch.column(0).cast(pa.binary())):
                 found = chunks(t.as_py() or b"")
                 rows += [i] * len(found)
                 numbers += range(len(found))
-                hashes += [c[3] for c in found]
+                places += found
             at = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(1).take(at), batch.column(2).take(at), pa.array(numbers, pa.int32()), pa.array(hashes, pa.int64())], names=[key, "__row", "no", "hash"])
+            begin, stop, n_lines, hashes = zip(*places, strict=True) if places else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(1).take(at), batch.column(2).take(at), *[pa.array(x, pa.int32()) for x in (numbers, begin, stop, n_lines)], pa.array(hashes, pa.int64())], names=[key, "__row", "no", "begin", "stop", "n_lines", "hash"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(F.col(text), F.col(key), F.xxhash64(text).alias("__row")).mapInArrow(make, f"`{key}` {kind}, __row long, no int, hash long")
+    return df.select(F.col(text), F.col(key), F.xxhash64(text).alias("__row")).mapInArrow(make, f"`{key}` {kind}, __row long, no int, begin int, stop int, n_lines int, hash long")
 
 
 def dedup_lines(df: DataFrame, text: str = "text", key: str = "doc_id", least_words: int = 40) -> DataFrame:
@@ -104,23 +104,23 @@ def dedup_lines(df: DataFrame, text: str = "text", key: str = "doc_id", least_wo
     rows = df.drop("removed_chars").withColumn("__row", F.xxhash64(text))
     made = chunk_table(df, text, key)
     again = made.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash")
-    # numbers of the chunks worth comparing; a document has as many as it has chunks at most
-    asked = made.join(again, "hash").groupBy(key, "__row").agg(F.array_sort(F.collect_set("no")).alias("__asked"))
+    # the chunks worth comparing; a document has as many as it has chunks at most
+    place = ("no", "begin", "stop", "n_lines")
+    asked = made.join(again, "hash").groupBy(key, "__row").agg(F.array_sort(F.collect_set(F.struct(*place))).alias("__asked"))
     mine = rows.join(asked.withColumnRenamed(key, "__key").withColumnRenamed("__row", "__r"), F.col(key).eqNullSafe(F.col("__key")) & F.col("__row").eqNullSafe(F.col("__r")), "left").drop("__key", "__r")
 
-    @F.pandas_udf("array<struct<no:int,body:binary>>")
+    @F.pandas_udf("array<struct<no:int,begin:int,stop:int,n_lines:int,body:binary>>")
     def bodies(texts: pd.Series, asked: pd.Series) -> pd.Series:
         out = []
         for t, wanted in zip(texts, asked, strict=True):
             t = t.encode()
-            found = chunks(t)
-            out.append([{"no": int(k), "body": t[found[k][0] : found[k][1]].rstrip()} for k in wanted])
+            out.append([{**{p: x[p] for p in place}, "body": t[x["begin"] : x["stop"]].rstrip()} for x in wanted])
         return pd.Series(out)
 
-    parts = mine.filter(F.col("__asked").isNotNull()).select(F.col(key).alias("__key"), F.col("__row").alias("__r"), F.explode(bodies(F.col(text), F.col("__asked"))).alias("b")).select("__key", "__r", "b.no", "b.body")
+    parts = mine.filter(F.col("__asked").isNotNull()).select(F.col(key).alias("__key"), F.col("__row").alias("__r"), F.explode(bodies(F.col(text), F.col("__asked"))).alias("b")).select("__key", "__r", "b.*")
     # equal bytes, so no more doubt about hashes
     classes = parts.groupBy(F.col("body").alias("__body")).agg(F.count(F.lit(1)).alias("n"), F.min("__key").alias("__first")).filter("n > 1")
-    repeated = parts.join(classes, F.col("body") == F.col("__body")).groupBy("__key", "__r").agg(F.array_sort(F.collect_set(F.struct("no", F.col("__first").eqNullSafe(F.col("__key")).alias("first")))).alias("__again"))
+    repeated = parts.join(classes, F.col("body") == F.col("__body")).groupBy("__key", "__r").agg(F.array_sort(F.collect_set(F.struct(*place, F.col("__first").eqNullSafe(F.col("__key")).alias("first")))).alias("__again"))
     final = mine.drop("__asked").join(repeated, F.col(key).eqNullSafe(F.col("__key")) & F.col("__row").eqNullSafe(F.col("__r")), "left")
 
     @F.pandas_udf("string")
@@ -134,26 +134,19 @@ def dedup_lines(df: DataFrame, text: str = "text", key: str = "doc_id", least_wo
 def without(text: str, again, least_words: int) -> str:
     """The text less the runs of repeated chunks that aren't its own first ones."""
     body = text.encode()
-    found = chunks(body)
-    repeat = np.zeros(len(found), dtype=bool)
     seen: set[bytes] = set()
+    runs: list[list[int]] = []  # last number, begin, stop, lines
     for x in again:
-        start, end = found[x["no"]][:2]
-        chunk = body[start:end].rstrip()
-        repeat[x["no"]] = not x["first"] or chunk in seen
+        chunk = body[x["begin"] : x["stop"]].rstrip()
+        if not x["first"] or chunk in seen:
+            if runs and runs[-1][0] + 1 == x["no"]:
+                runs[-1] = [x["no"], runs[-1][1], x["stop"], runs[-1][3] + x["n_lines"]]
+            else:
+                runs.append([x["no"], x["begin"], x["stop"], x["n_lines"]])
         seen.add(chunk)
-    keep, k = [], 0
-    while k < len(found):
-        j = k
-        while j < len(found) and repeat[j]:
-            j += 1
-        start = found[k][0]
-        if j > k:
-            end = found[j - 1][1]
-            if sum(c[2] for c in found[k:j]) < 2 or len(body[start:end].split()) < least_words:
-                keep.append(body[start:end])
-            k = j
-        else:
-            keep.append(body[start : found[k][1]])
-            k += 1
-    return b"".join(keep).decode()
+    keep, at = [], 0
+    for _, begin, stop, n_lines in runs:
+        if n_lines >= 2 and len(body[begin:stop].split()) >= least_words:
+            keep.append(body[at:begin])
+            at = stop
+    return b"".join([*keep, body[at:]]).decode()
