@@ -99,11 +99,16 @@ def fuzzy_tiers(left: DataFrame, right: DataFrame, score: Callable[[Column, Colu
 
     Equal slugs are exact (page-only without a url). The rest is compared inside the same year only; of each left row
     the best `tried` count: high from `high` on, medium from `medium` on if the surname stands in the byline.
+    Each two different titles of a year are scored once, however many rows have them.
     """
     exact = left.join(right, F.col("slug") == F.col("rslug")).select("id", "rid", F.when(F.col("url").isNotNull(), "exact").otherwise("page-only").alias("tier"), F.lit(0).alias("rank"))
-    blocked = left.join(right, (F.col("year") == F.col("ryear")) & F.col("year").isNotNull()).withColumn("score", score(F.col("title"), F.col("rtitle")))
-    w = Window.partitionBy("id").orderBy(F.col("score").desc(), "rid")
-    best = blocked.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= tried)
+    titles = left.select("year", "title").distinct().join(right.select("ryear", "rtitle").distinct(), F.col("year") == F.col("ryear")).withColumn("score", score(F.col("title"), F.col("rtitle")))
+    # of rows with one title no more than `tried` can count
+    first = Window.partitionBy("ryear", "rtitle").orderBy("rid")
+    few = right.withColumn("__n", F.row_number().over(first)).filter(F.col("__n") <= tried).select("rid", "ryear", "rtitle", "byline")
+    w = Window.partitionBy("year", "title").orderBy(F.col("score").desc(), "rid")
+    top = titles.join(few, ["ryear", "rtitle"]).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= tried)
+    best = left.select("id", "year", "title", "surname").join(top.select("year", "title", "rid", "byline", "score", "rank"), ["year", "title"])
     tier = F.when(F.col("score") >= high, "high").when((F.col("score") >= medium) & (F.col("surname") != "") & F.contains(F.lower("byline"), F.lower("surname")), "medium")
     rest = best.withColumn("tier", tier).filter("tier is not null").select("id", "rid", "tier", "rank")
     order = Window.partitionBy("id").orderBy("rank", "rid")

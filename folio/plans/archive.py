@@ -9,7 +9,8 @@ from pyspark.sql.window import Window
 from folio.functions import text as tx
 from folio.functions import values as vl
 from folio.operators import facets, related
-from folio.plans.base import Tables, query
+from folio.operators.order import rank_over
+from folio.plans.base import Tables, query, without
 
 STOP_SQL = ", ".join(f"'{w}'" for w in tx.STOPWORDS)
 #: The token rule in DuckDB; the documents have no markup but marks.
@@ -142,6 +143,15 @@ def sorted_listing(t: Tables) -> DataFrame:
     return t.orders.filter("o_custkey < 50").select("o_orderkey", F.row_number().over(w).alias("place"))
 
 
+@query(without("sorted_listing", (" WHERE o_custkey < 50", "")))
+def sorted_listing_all(t: Tables) -> DataFrame:
+    day = F.date_trunc("day", "o_orderdate")
+    # falling days, and inside a day the price as far as it is below ten million
+    price = F.least(F.lit(9_999_999.0), F.greatest(F.lit(0.0), F.coalesce(F.col("o_totalprice").cast("double"), F.lit(0.0))))
+    at = price - F.unix_date(day.cast("date")) * 10_000_000.0
+    return rank_over(t.orders, at, [day.desc_nulls_last(), F.col("o_totalprice"), F.col("o_orderkey")], "place").select("o_orderkey", "place")
+
+
 @query("SELECT (floor(year(o_orderdate) / 10) * 10)::INT AS decade, min(o_orderkey) AS first_key, count(*) AS n FROM orders GROUP BY 1")
 def decade_sections(t: Tables) -> DataFrame:
     return t.orders.groupBy(vl.decade(F.year("o_orderdate")).alias("decade")).agg(F.min("o_orderkey").alias("first_key"), F.count(F.lit(1)).alias("n"))

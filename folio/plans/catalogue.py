@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from folio.functions import names, values
 from folio.operators import joins, merge
-from folio.plans.base import Tables, query
+from folio.plans.base import Tables, query, without
 
 
 @query("SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
@@ -73,7 +73,16 @@ m AS (SELECT l_orderkey, alias.id, min(pos) AS pos FROM x JOIN alias ON trim(nam
 SELECT l_orderkey, string_agg(id::VARCHAR, ',' ORDER BY pos) AS resolved FROM m GROUP BY 1""".replace("\\\\", "\\")
 )
 def split_bylines(t: Tables) -> DataFrame:
-    li = t.lineitem.filter("l_orderkey < 500").join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+    return resolved_bylines(t, t.lineitem.filter("l_orderkey < 500"))
+
+
+@query(without("split_bylines", (" WHERE l_orderkey < 500", "")))
+def split_bylines_all(t: Tables) -> DataFrame:
+    return resolved_bylines(t, t.lineitem)
+
+
+def resolved_bylines(t: Tables, lines: DataFrame) -> DataFrame:
+    li = lines.join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey"))
     part = F.concat(F.lit("nation "), F.col("s_nationkey").cast("string"), F.when(F.col("l_linenumber") % 2 == 0, ",").otherwise(" and"))
     said = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_suppkey", "l_partkey", part.alias("s"))))
     q = li.groupBy("l_orderkey").agg(F.array_join(F.transform(said, lambda x: x["s"]), " ").alias("byline"))
@@ -146,6 +155,15 @@ def token_overlap_match(t: Tables) -> DataFrame:
     return joins.token_overlap(a, b, "l", "r", "a", "b")
 
 
+@query(without("token_overlap_match", (" WHERE p_partkey < 300", ""), (" WHERE p_partkey % 50 = 7", "")))
+def token_overlap_match_all(t: Tables) -> DataFrame:
+    # parts share few texts, and a brand's names few words
+    a = t.part.select(F.col("p_partkey").alias("l"), F.concat_ws(" ", "p_name", "p_type").alias("a"))
+    b = t.part.groupBy(F.col("p_brand").alias("r")).agg(F.array_join(F.array_sort(F.collect_set("p_name")), " ").alias("b"))
+    found = joins.token_overlap(a.select(F.col("a").alias("x"), "a").distinct(), b, "x", "r", "a", "b")
+    return a.join(found, F.col("a") == F.col("x")).select("l", "r", "overlap")
+
+
 @query("SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
 def semi_join(t: Tables) -> DataFrame:
     return t.customer.join(t.orders.filter("o_totalprice > 300000"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey", "c_mktsegment")
@@ -325,7 +343,15 @@ def organisation_catalogue(t: Tables) -> DataFrame:
 LEFT JOIN supplier ON l_returnflag <> 'R' AND s_suppkey = l_suppkey LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 2 = 0) c ON l_returnflag = 'R' AND c_custkey = l_suppkey WHERE l_orderkey < 1000"""
 )
 def polymorphic_references(t: Tables) -> DataFrame:
-    li = t.lineitem.filter("l_orderkey < 1000")
+    return named_by_kind(t, t.lineitem.filter("l_orderkey < 1000"))
+
+
+@query(without("polymorphic_references", (" WHERE l_orderkey < 1000", "")))
+def polymorphic_references_all(t: Tables) -> DataFrame:
+    return named_by_kind(t, t.lineitem)
+
+
+def named_by_kind(t: Tables, li: DataFrame) -> DataFrame:
     j = li.join(t.supplier, (F.col("l_returnflag") != "R") & (F.col("s_suppkey") == F.col("l_suppkey")), "left")
     j = j.join(t.customer.filter("c_custkey % 2 = 0"), (F.col("l_returnflag") == "R") & (F.col("c_custkey") == F.col("l_suppkey")), "left")
     name = F.coalesce("s_name", "c_name")

@@ -10,7 +10,7 @@ from folio.functions import names
 from folio.functions import text as tx
 from folio.functions import values as vl
 from folio.operators import joins, ledger, merge, quality
-from folio.plans.base import Tables, query
+from folio.plans.base import Tables, query, without
 from folio.sources import pages as page_source
 from folio.streaming import breaker
 
@@ -138,9 +138,18 @@ def scripts(t: Tables) -> DataFrame:
 CASE WHEN year(o_orderdate) < 1994 THEN 'a' WHEN year(o_orderdate) < 1997 THEN 'b' ELSE 'c' END AS band FROM (SELECT *, CASE WHEN o_orderkey % 3 = 0 THEN 'no year ' || o_orderkey ELSE 'in ' || strftime(o_orderdate, '%Y') || ' done' END AS c FROM orders WHERE o_orderkey < 1900)""")
 )
 def years(t: Tables) -> DataFrame:
+    return years_of(t.orders.filter("o_orderkey < 1900"))
+
+
+@query(without("years", (" WHERE o_orderkey < 1900", "")))
+def years_all(t: Tables) -> DataFrame:
+    return years_of(t.orders)
+
+
+def years_of(orders: DataFrame) -> DataFrame:
     c = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("no year "), F.col("o_orderkey").cast("string"))).otherwise(F.concat(F.lit("in "), F.date_format("o_orderdate", "yyyy"), F.lit(" done")))
     y = F.year("o_orderdate")
-    return t.orders.filter("o_orderkey < 1900").select("o_orderkey", vl.first_year(c).alias("y"), vl.year_of(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("iso_year"), F.when(y < 1994, "a").when(y < 1997, "b").otherwise("c").alias("band"))
+    return orders.select("o_orderkey", vl.first_year(c).alias("y"), vl.year_of(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("iso_year"), F.when(y < 1994, "a").when(y < 1997, "b").otherwise("c").alias("band"))
 
 
 @query("SELECT p_partkey, 1900 + p_partkey % 150 AS y, CASE WHEN y < 1947 THEN 'pre-independence' WHEN y < 1965 THEN 'nehruvian-era' WHEN y < 1985 THEN 'late-license-raj' WHEN y < 2005 THEN 'reform-era' ELSE 'post-reform' END AS period, (y // 10) * 10 AS decade FROM part")
@@ -322,7 +331,16 @@ def toc_drift(t: Tables) -> DataFrame:
     """SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey, CASE WHEN l_partkey > 1500 THEN NULL ELSE l_partkey END AS page_start, CASE WHEN l_suppkey * 20 < l_partkey OR l_suppkey * 20 > 1500 THEN NULL ELSE l_suppkey * 20 END AS page_end FROM lineitem WHERE l_orderkey < 2000"""
 )
 def page_order(t: Tables) -> DataFrame:
-    li = t.lineitem.filter("l_orderkey < 2000").withColumn("e", F.array(F.struct(F.col("l_partkey").alias("page_start"), (F.col("l_suppkey") * 20).alias("page_end"))))
+    return pages_in_order(t.lineitem.filter("l_orderkey < 2000"))
+
+
+@query(without("page_order", (" WHERE l_orderkey < 2000", "")))
+def page_order_all(t: Tables) -> DataFrame:
+    return pages_in_order(t.lineitem)
+
+
+def pages_in_order(lines: DataFrame) -> DataFrame:
+    li = lines.withColumn("e", F.array(F.struct(F.col("l_partkey").alias("page_start"), (F.col("l_suppkey") * 20).alias("page_end"))))
     fixed = quality.page_order(F.col("e"), F.lit(1500))
     return li.withColumn("f", F.element_at(fixed, 1)).select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "f.page_start", "f.page_end")
 
@@ -366,8 +384,8 @@ def page_markdown(t: Tables) -> DataFrame:
 
 @query()
 def fuzzy_titles(t: Tables) -> DataFrame:
-    a = t.part.filter("p_partkey % 7 = 0").select(F.col("p_partkey").alias("id"), names.n2_kebab(F.concat_ws(" ", "p_name", "p_brand")).alias("slug"), F.concat_ws(" ", "p_name", "p_type").alias("title"), F.col("p_size").alias("year"), F.element_at(F.split("p_name", " "), -1).alias("surname"))
-    b = t.part.filter("p_partkey % 5 = 0").select(F.col("p_partkey").alias("rid"), names.n2_kebab(F.concat_ws(" ", "p_name", "p_brand")).alias("rslug"), F.concat_ws(" ", "p_type", "p_name").alias("rtitle"), F.col("p_size").alias("ryear"), F.col("p_name").alias("byline"), F.when(F.col("p_partkey") % 2 == 0, "u").alias("url"))
+    a = t.part.select(F.col("p_partkey").alias("id"), names.n2_kebab(F.concat_ws(" ", "p_name", "p_brand")).alias("slug"), F.concat_ws(" ", "p_name", "p_type").alias("title"), F.col("p_size").alias("year"), F.element_at(F.split("p_name", " "), -1).alias("surname"))
+    b = t.part.select(F.col("p_partkey").alias("rid"), names.n2_kebab(F.concat_ws(" ", "p_name", "p_brand")).alias("rslug"), F.concat_ws(" ", "p_type", "p_name").alias("rtitle"), F.col("p_size").alias("ryear"), F.col("p_name").alias("byline"), F.when(F.col("p_partkey") % 2 == 0, "u").alias("url"))
     return joins.fuzzy_tiers(a, b, tx.token_set_score)
 
 
