@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -189,6 +189,16 @@ def corpus_dump(t: Tables) -> DataFrame:
     return parts
 
 
+@query(
+    """SELECT dense_rank() OVER (ORDER BY source NULLS LAST)::INT AS section, doc_id, '# ' || doc_id || chr(10) || text AS entry FROM documents WHERE lang = 'en'"""
+)
+def corpus_dump_whole(t: Tables) -> DataFrame:
+    d = t.documents.filter("lang = 'en'")
+    # a row for each source
+    sections = d.select(F.col("source").alias("s")).distinct().select("s", F.row_number().over(Window.orderBy(F.col("s").asc_nulls_last())).alias("section"))
+    return d.join(sections, F.col("source").eqNullSafe(F.col("s"))).select("section", "doc_id", F.concat(F.lit("# "), F.col("doc_id").cast("string"), F.lit("\n"), F.col("text")).alias("entry"))
+
+
 @query("SELECT 1 AS rank, '- ' || s_name || ': /s/' || s_suppkey AS line FROM supplier WHERE s_acctbal >= 0 UNION ALL SELECT 2, '- ' || p_name || ': /p/' || p_partkey FROM part WHERE p_size > 10")
 def short_index(t: Tables) -> DataFrame:
     line = lambda name, prefix, key: F.concat(F.lit("- "), F.col(name), F.lit(prefix), F.col(key).cast("string"))
@@ -201,7 +211,15 @@ def short_index(t: Tables) -> DataFrame:
 CASE WHEN trim(substr(text, 1, 100)) = '' THEN '{"doc_id":' || doc_id || ',"lang":"' || lang || '"}' ELSE substr(text, 1, 100) END AS page FROM documents"""
 )
 def markdown_sibling(t: Tables) -> DataFrame:
-    body = F.substring("text", 1, 100)
+    return sibling_pages(t, F.substring("text", 1, 100))
+
+
+@query(without("markdown_sibling", ("substr(text, 1, 100)", "text")))
+def markdown_sibling_whole(t: Tables) -> DataFrame:
+    return sibling_pages(t, F.col("text"))
+
+
+def sibling_pages(t: Tables, body: Column) -> DataFrame:
     fence = F.to_json(F.struct("doc_id", "lang"))
     return t.documents.select(
         "doc_id",

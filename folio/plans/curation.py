@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -74,7 +74,16 @@ def truncated_at_sentence(t: Tables) -> DataFrame:
 SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN regexp_replace(body, '^\\s*#[^\\n]*\\n*', '') ELSE body END AS no_heading, regexp_replace(regexp_replace(body, '^\\s*#\\s+[^\\n]*(?:\\n+|$)(?:\\*By [^\\n]*\\*[ \\t]*(?:\\n+|$))?', ''), '\\n{3,}', chr(10) || chr(10), 'g') AS no_title FROM d""")
 )
 def stripped_headings(t: Tables) -> DataFrame:
-    d = t.documents.select("doc_id", "source", F.concat(F.lit("# "), F.col("source"), F.lit("\n*By "), F.col("lang"), F.lit("*\n"), F.substring("text", 1, 80)).alias("body"))
+    return without_headings(t, F.substring("text", 1, 80))
+
+
+@query(without("stripped_headings", ("substr(text, 1, 80)", "text")))
+def stripped_headings_whole(t: Tables) -> DataFrame:
+    return without_headings(t, F.col("text"))
+
+
+def without_headings(t: Tables, text: Column) -> DataFrame:
+    d = t.documents.select("doc_id", "source", F.concat(F.lit("# "), F.col("source"), F.lit("\n*By "), F.col("lang"), F.lit("*\n"), text).alias("body"))
     known = F.array(F.lit("other"), F.when(F.col("doc_id") % 2 == 0, F.upper("source")).otherwise("none"))
     return d.select("doc_id", tx.strip_heading(F.col("body"), known).alias("no_heading"), tx.strip_title_byline(F.col("body")).alias("no_title"))
 
@@ -103,6 +112,11 @@ def inline_html(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", tx.inline_html(F.substring("text", 1, 300)).alias("html"))
 
 
+@query(without("inline_html", ("substr(text, 1, 300)", "text")))
+def inline_html_whole(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", tx.inline_html(F.col("text")).alias("html"))
+
+
 @query(
     r("""WITH f AS (SELECT doc_id, trim(regexp_extract(text, '(?i)\\bby\\s+([^(|\\-]+)', 1)) AS f FROM (SELECT doc_id, regexp_replace(substr(text, 1, 120), '\\s', ' ', 'g') AS text FROM documents WHERE lang = 'en')) SELECT doc_id, CASE WHEN length(f) BETWEEN 3 AND 80 THEN f END AS author FROM f""")
 )

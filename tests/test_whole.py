@@ -46,3 +46,12 @@ def test_all_rows_pass(spark, sf_dir, name, table):
 
 def test_fuzzy_titles_takes_all_parts(spark, sf_dir):
     assert QUERIES["fuzzy_titles"](spark, sf_dir).filter("id % 7 <> 0").count() > 0
+
+
+@pytest.mark.parametrize(("name", "column"), [("markdown_sibling_whole", "page"), ("corpus_dump_whole", "entry"), ("inline_html_whole", "html"), ("stripped_headings_whole", "no_title")])
+def test_long_texts_keep_their_ends(spark, tmp_path, name, column):
+    long = [(1, " " * 150 + "body " * 400 + "the end", "en", "src9", 2157), (2, "short", "en", None, 5)]
+    spark.createDataFrame(long, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert any((r[column] or "").endswith("the end") for r in QUERIES[name](spark, str(tmp_path)).filter("doc_id = 1").collect())
+    if name == "corpus_dump_whole":
+        assert {r.doc_id: r.section for r in QUERIES[name](spark, str(tmp_path)).collect()} == {1: 1, 2: 2}
