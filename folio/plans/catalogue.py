@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from folio.functions import names, values
 from folio.operators import joins, merge
+from folio.operators.order import rank_over
 from folio.plans.base import Tables, query, without
 
 
@@ -255,14 +256,15 @@ def duplicate_survivors(t: Tables) -> DataFrame:
 
 @query("SELECT s_suppkey, (row_number() OVER (ORDER BY s_suppkey) - 1) % 10 AS batch FROM supplier")
 def round_robin_batches(t: Tables) -> DataFrame:
-    # a batch list is made of the open items of a review, some hundreds
-    return t.supplier.select("s_suppkey", ((F.row_number().over(Window.orderBy("s_suppkey")) - 1) % 10).cast("long").alias("batch"))
+    ranked = rank_over(t.supplier, F.col("s_suppkey"), [F.col("s_suppkey").asc_nulls_last()], "place")
+    return ranked.select("s_suppkey", ((F.col("place") - 1) % 10).cast("long").alias("batch"))
 
 
 @query("SELECT s_suppkey, (row_number() OVER (ORDER BY s_suppkey) - 1) // CAST(ceil((SELECT count(*) FROM supplier) / 10.0) AS BIGINT) AS batch FROM supplier")
 def contiguous_batches(t: Tables) -> DataFrame:
     size = max(1, -(-t.supplier.count() // 10))
-    return t.supplier.select("s_suppkey", F.floor((F.row_number().over(Window.orderBy("s_suppkey")) - 1) / size).alias("batch"))
+    ranked = rank_over(t.supplier, F.col("s_suppkey"), [F.col("s_suppkey").asc_nulls_last()], "place")
+    return ranked.select("s_suppkey", F.floor((F.col("place") - 1) / size).alias("batch"))
 
 
 @query("SELECT p_partkey, CASE WHEN n > 1 THEN slug || '-' || n ELSE slug END AS slug FROM (SELECT p_partkey, replace(p_name, ' ', '-') AS slug, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS n FROM part)")

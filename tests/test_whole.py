@@ -55,3 +55,10 @@ def test_long_texts_keep_their_ends(spark, tmp_path, name, column):
     assert any((r[column] or "").endswith("the end") for r in QUERIES[name](spark, str(tmp_path)).filter("doc_id = 1").collect())
     if name == "corpus_dump_whole":
         assert {r.doc_id: r.section for r in QUERIES[name](spark, str(tmp_path)).collect()} == {1: 1, 2: 2}
+
+
+@pytest.mark.parametrize("name", ["round_robin_batches", "contiguous_batches", "sorted_listing_all"])
+def test_no_window_over_all_rows(spark, sf_dir, name):
+    plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    over = [x for x in plan.splitlines() if "Window [" in x and "row_number" in x]
+    assert over and all("__bucket" in x for x in over)
