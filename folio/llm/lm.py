@@ -2,8 +2,9 @@
 
 Counts of words and of word pairs are quantised to powers of BASE; an n-gram of level q is entered q times, as (n-gram,
 1) to (n-gram, q), and read back by asking for (n-gram, 1), (n-gram, 2), .. until one is missing. The filter is made in
-slices where its n-grams are counted and only its bits come together, so its size, which is a parameter, bounds what
-the driver holds and what is broadcast. When the n-grams need more, those with the smallest counts stay out.
+slices of SLICE_BITS, as many as the n-grams need, so it holds all of them; the slices are files of the shared folder and
+come neither to the driver nor into a broadcast. A task that scores gathers the n-grams of AT_ONCE tokens and reads slice
+after slice, one at a time; the larger the filter, the more is read for each of these lots.
 
 A word's probability is (count + 1/2) / (N + (V + 1) / 2); after a word h it is (pairs(h, w) + strength p(w)) /
 (count(h) + strength): an estimate that leans on the pair as far as h was seen. Each text ends with an end token, and
@@ -21,11 +22,13 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from math import log10
+from math import ceil, log10
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import xxhash
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -34,8 +37,10 @@ from folio.llm.common import Scratch
 
 END = b"\n"  # no word has white space
 BASE, PROBES, STRENGTH = 1.25, 3, 20.0
-#: Bits of the filter at most, a power of two; slices it is made in; words whose exact counts are broadcast at most.
-FILTER_BITS, SLICES, HOT = 1 << 28, 64, 200_000
+#: Bits of a slice of the filter; tokens whose n-grams are looked up together; words whose exact counts are broadcast at most.
+SLICE_BITS, AT_ONCE, HOT = 1 << 24, 1 << 21, 200_000
+#: Entries that a bit may take, PROBES bits each: half of the bits may be set.
+ENTRIES_A_BIT = 0.7 / 2 / PROBES
 MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -87,9 +92,12 @@ class LogFrequencyFilter:
 
     def read(self, data: np.ndarray, grams: np.ndarray) -> np.ndarray:
         """Levels by repeated membership probes."""
+        return self.probe(data, grams, self.slice_of(grams) * self.span)
+
+    def probe(self, data: np.ndarray, grams: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """Levels where the n-grams' slices start at the bits `start`."""
         out = np.zeros(len(grams), dtype=np.int64)
         at = np.arange(len(grams))
-        start = self.slice_of(grams) * self.span
         q = 1
         while len(at):
             where = self.places(grams[at], q).astype(np.int64) + start[at]
@@ -149,28 +157,34 @@ def count_grams(train: DataFrame, text: str) -> DataFrame:
     return train.select(text).mapInArrow(make, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
-def fit_filter(grams: DataFrame, bits: int = FILTER_BITS, slices: int = SLICES) -> tuple[bytes, int]:
-    """The filter's bits, and the least count that it holds. At most some hundred level sums and `bits` bits come to the driver."""
-    filter_ = LogFrequencyFilter(bits, slices)
-    level = (1 + F.floor(F.log(F.col("n").cast("double")) / float(np.log(BASE)) + 1e-9)).cast("int")
-    sizes = {r[0]: r[1] for r in grams.groupBy(level.alias("q")).agg(F.count(F.lit(1))).collect()}
-    # half of the bits may be set; each entry sets PROBES
-    room, least = bits // 2 * 0.7 / PROBES, 1
-    for q in sorted(sizes, reverse=True):
-        room -= q * sizes[q]
-        if room < 0:
-            least = q + 1
-            break
+def level_of(n: Column) -> Column:
+    return (1 + F.floor(F.log(n.cast("double")) / float(np.log(BASE)) + 1e-9)).cast("int")
+
+
+def slice_table(grams: DataFrame, filter_: LogFrequencyFilter) -> DataFrame:
+    """slice, data: the bits of each slice that has n-grams. A task holds the n-grams of one slice at a time."""
 
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
+        held: list = []
+        now = -1
+
+        def made() -> pa.RecordBatch:
+            data = filter_.enter(np.concatenate([g for g, _ in held]).view(np.uint64), levels(np.concatenate([n for _, n in held])))
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([data], pa.binary())], names=["slice", "data"])
+
         for batch in batches:
             s, g, n = (c.to_numpy() for c in batch.columns)
-            for x in np.unique(s):
-                held.setdefault(int(x), []).append((g[s == x], n[s == x]))
-        for x, parts in held.items():
-            data = filter_.enter(np.concatenate([p[0] for p in parts]).view(np.uint64), levels(np.concatenate([p[1] for p in parts])))
-            yield pa.RecordBatch.from_arrays([pa.array([x], pa.int32()), pa.array([data], pa.binary())], names=["slice", "data"])
+            edges = [0, *(np.flatnonzero(np.diff(s)) + 1), len(s)]
+            for i, j in zip(edges, edges[1:]):
+                if i == j:
+                    continue
+                if held and s[i] != now:
+                    yield made()
+                    held.clear()
+                now = int(s[i])
+                held.append((g[i:j], n[i:j]))
+        if held:
+            yield made()
 
     @F.pandas_udf("int")
     def slice_of(g):
@@ -178,13 +192,62 @@ def fit_filter(grams: DataFrame, bits: int = FILTER_BITS, slices: int = SLICES)
 
         return pd.Series(filter_.slice_of(g.to_numpy().view(np.uint64)).astype(np.int32))
 
-    kept = grams.filter(level >= least).select(slice_of("gram").alias("slice"), "gram", "n")
-    made = kept.repartition(slices, "slice").mapInArrow(enter, "slice int, data binary")
-    parts = {r[0]: bytes(r[1]) for r in made.collect()}
+    dealt = grams.select(slice_of("gram").alias("slice"), "gram", "n").repartition(filter_.slices, "slice").sortWithinPartitions("slice")
+    return dealt.mapInArrow(enter, "slice int, data binary")
+
+
+def fit_filter(grams: DataFrame, bits: int, slices: int) -> tuple[bytes, int]:
+    """The bits of a filter of a given size, and the least level that it holds: those below stay out. Scoring takes `store_filter`."""
+    filter_ = LogFrequencyFilter(bits, slices)
+    sizes = {r[0]: r[1] for r in grams.groupBy(level_of(F.col("n")).alias("q")).agg(F.count(F.lit(1))).collect()}
+    room, least = bits * ENTRIES_A_BIT, 1
+    for q in sorted(sizes, reverse=True):
+        room -= q * sizes[q]
+        if room < 0:
+            least = q + 1
+            break
+    parts = {r[0]: bytes(r[1]) for r in slice_table(grams.filter(level_of(F.col("n")) >= least), filter_).collect()}
     return b"".join(parts.get(i, bytes(filter_.span // 8)) for i in range(slices)), least
 
 
-def scores(df: DataFrame, text: str = "text", key: str = "doc_id", held_out: Column | None = None, bits: int = FILTER_BITS, hot: int = HOT) -> DataFrame:
+class StoredFilter:
+    """A filter in slices below a folder that driver and executors share."""
+
+    def __init__(self, path: str, slices: int, slice_bits: int):
+        self.path, self.filter = path, LogFrequencyFilter(slices * slice_bits, slices)
+
+    def load(self, number: int) -> np.ndarray | None:
+        """The bytes of a slice, None where it has no n-grams."""
+        system, folder = fs.FileSystem.from_uri(self.path)
+        found = [f.path for f in system.get_file_info(fs.FileSelector(f"{folder}/slice={number}", allow_not_found=True)) if f.path.endswith(".parquet")]
+        if not found:
+            return None
+        with system.open_input_file(found[0]) as f:
+            return np.frombuffer(pq.ParquetFile(f).read(["data"]).column(0)[0].as_py(), dtype=np.uint8)
+
+    def read(self, grams: np.ndarray) -> np.ndarray:
+        """Levels, slice by slice."""
+        s = self.filter.slice_of(grams).astype(np.uint16 if self.filter.slices <= 1 << 16 else np.int64)
+        order = np.argsort(s, kind="stable")
+        out = np.zeros(len(grams), dtype=np.int64)
+        edges = [0, *(np.flatnonzero(np.diff(s[order])) + 1), len(s)]
+        for i, j in zip(edges, edges[1:]):
+            if i < j and (data := self.load(int(s[order[i]]))) is not None:
+                mine = order[i:j]
+                out[mine] = self.filter.probe(data, grams[mine], np.zeros(len(mine), dtype=np.int64))
+        return out
+
+
+def store_filter(grams: DataFrame, scratch: Scratch, slice_bits: int = SLICE_BITS) -> StoredFilter:
+    """The filter of all n-grams, sized by how many entries they make."""
+    entries = grams.agg(F.sum(level_of(F.col("n")).cast("long"))).first()[0] or 0
+    slices = max(1, ceil(entries / (slice_bits * ENTRIES_A_BIT)))
+    path = f"{scratch.path}/filter"
+    slice_table(grams, LogFrequencyFilter(slices * slice_bits, slices)).write.partitionBy("slice").option("compression", "uncompressed").parquet(path)
+    return StoredFilter(path, slices, slice_bits)
+
+
+def scores(df: DataFrame, text: str = "text", key: str = "doc_id", held_out: Column | None = None, hot: int = HOT) -> DataFrame:
     """key, held_out, n_tokens, n_known, train_tokens, base_score, score: one row for each row."""
     spark = df.sparkSession
     scratch = Scratch(spark, "lm")
@@ -200,22 +263,35 @@ def scores(df: DataFrame, text: str = "text", key: str = "doc_id", held_out: Col
     lower = float(np.log10(n + 0.5 * (v + 1)))
 
     grams = scratch.save(count_grams(train, text), "grams")
-    data, _ = fit_filter(grams, bits)
+    stored = store_filter(grams, scratch)
     scratch.drop("grams")
-    filter_ = spark.sparkContext.broadcast(data)
     # words by falling count, as far as HOT of them go: whole classes of equal counts, so the choice is the same on each run
     classes = counts.groupBy("c").agg(F.count(F.lit(1)).alias("m")).withColumn("upto", F.sum("m").over(Window.orderBy(F.col("c").desc())))
     floor = classes.filter(F.col("upto") <= hot).agg(F.min("c")).first()[0]
     floor = floor if floor is not None else 1 << 62
     common = {r[0].encode(): log10(r[1] + 0.5) for r in counts.filter(F.col("c") >= floor).collect()}  # at most `hot` words
     exact = spark.sparkContext.broadcast(common)
-    made_of = LogFrequencyFilter(bits, SLICES)
     strength = STRENGTH
 
+    def finish(lots: list) -> Iterator[pa.RecordBatch]:
+        """Probabilities of the texts of some lots, whose n-grams are looked up together."""
+        found = typical(stored.read(np.concatenate([g for lot in lots for g in (lot[0], lot[1])])))
+        at = 0
+        for singles, pairs, back, back_before, back2, lengths, first, columns in lots:
+            single = found[at : at + len(singles)]
+            double = found[at + len(singles) : at + len(singles) + len(pairs)][back2]
+            at += len(singles) + len(pairs)
+            c = single[back]
+            c_before = single[back_before]
+            p = (c + 0.5) / (n + 0.5 * (v + 1))
+            p = (np.minimum(double, c_before) + strength * p) / (c_before + strength)
+            total = np.add.reduceat(np.log10(p), first) if len(first) else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([*columns[:5], pa.array(total), columns[5]], names=[key, "held_out", "n_tokens", "hot_known", "hot_sum", "score", "rare"])
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits_ = np.frombuffer(filter_.value, dtype=np.uint8)
         known = exact.value
         hash_of: dict[bytes, int] = {}
+        lots, held = [], 0
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 some = batch.slice(at, 128)
@@ -243,19 +319,21 @@ def scores(df: DataFrame, text: str = "text", key: str = "doc_id", held_out: Col
                 before = np.concatenate([h[:1], h[:-1]])
                 before[first] = h[first + lengths - 1]
                 singles, back = np.unique(h, return_inverse=True)
-                single = typical(made_of.read(bits_, singles))
                 pairs, back2 = np.unique(pair(before, h), return_inverse=True)
-                double = typical(made_of.read(bits_, pairs))[back2]
-                c = single[back]
-                c_before = single[np.searchsorted(singles, before)]
-                p = (c + 0.5) / (n + 0.5 * (v + 1))
-                p = (np.minimum(double, c_before) + strength * p) / (c_before + strength)
-                total = np.add.reduceat(np.log10(p), first) if len(first) else np.zeros(0)
+                back, back2 = back.astype(np.int32), back2.astype(np.int32)
+                back_before = np.concatenate([back[:1], back[:-1]])
+                back_before[first] = back[first + lengths - 1]
                 lists = pa.ListArray.from_arrays(
                     pa.array(rare_at, pa.int32()),
                     pa.StructArray.from_arrays([pa.array(rare_words, pa.binary()).cast(pa.string()), pa.array(rare_n, pa.int64())], names=["word", "n"]),
                 )
-                yield pa.RecordBatch.from_arrays([some.column(1), some.column(2), pa.array(lengths), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(total), lists], names=[key, "held_out", "n_tokens", "hot_known", "hot_sum", "score", "rare"])
+                lots.append((singles, pairs, back, back_before, back2, lengths, first, [some.column(1), some.column(2), pa.array(lengths), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), lists]))
+                held += len(h)
+                if held >= AT_ONCE:
+                    yield from finish(lots)
+                    lots, held = [], 0
+        if lots:
+            yield from finish(lots)
 
     kind = df.schema[key].dataType.simpleString()
     scored = rows.select(text, key, "held_out").mapInArrow(score, f"`{key}` {kind}, held_out boolean, n_tokens long, hot_known long, hot_sum double, score double, rare array<struct<word:string,n:long>>")

@@ -213,6 +213,24 @@ def test_lm_small_filter_keeps_frequent_grams(spark):
     assert (got >= lm.levels(np.array([1000]))).all()
 
 
+def test_lm_filter_grows_with_its_grams(spark):
+    for rows in (2_000, 40_000):
+        grams = spark.createDataFrame([(i, 1 if i % 40 else 1000) for i in range(rows)], "gram long, n long")
+        stored = lm.store_filter(grams, Scratch(spark, "test"), slice_bits=1 << 15)
+        want = lm.levels(np.array([1 if i % 40 else 1000 for i in range(rows)]))
+        got = stored.read(np.arange(rows).astype(np.uint64))
+        assert (got >= want).all() and (got == want).mean() > 0.9
+        assert (stored.read(np.arange(10**6, 10**6 + 4000).astype(np.uint64)) == 0).mean() > 0.9
+        assert stored.filter.slices >= rows / (1 << 15) * 8
+
+
+def test_lm_lots_score_alike(spark, sf_dir, monkeypatch):
+    df = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    want = {r.doc_id: r.score for r in lm.scores(df).collect()}
+    monkeypatch.setattr(lm, "AT_ONCE", 1000)
+    assert {r.doc_id: r.score for r in lm.scores(df).collect()} == pytest.approx(want, rel=1e-9)
+
+
 def test_lm_hostile_rows(spark):
     df = spark.createDataFrame([(1, None, 1), (1, None, 1), (2, "", 2), (3, "x " * 30_000, 3), (None, "Ab aB\x0bab", 4)], "doc_id long, text string, score int")
     rows = lm.scores(df, held_out=F.lit(False)).collect()
