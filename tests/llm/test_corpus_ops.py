@@ -106,30 +106,101 @@ def test_near_duplicates_hostile_rows(spark):
     assert simhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def plain_pieces(text, ends):
+    """Sentences (or lines and sentences), those over 480 bytes cut after words whose CRC-32 is a multiple of 16."""
+    out = []
+    for part in filter(None, re.split(ends, text)):
+        words = re.findall(rb"^\s+|\S+\s*", part) if len(part) > 480 else [part]
+        now = b""
+        for k, w in enumerate(words):
+            now += w
+            if k == len(words) - 1 or w.strip() != w and w.strip() and zlib.crc32(w.strip()) % 16 == 0:
+                out.append(now)
+                now = b""
+    return out
+
+
+def plain_chunks(text):
+    """Bodies whose sum is the text."""
+    out, now, last = [], [], 0
+
+    def close():
+        if now:
+            out.append(b"".join(now))
+            now.clear()
+
+    for line in re.findall(rb"[^\n]*\n|[^\n]+", text):
+        parts = [line] if len(line) <= 160 else plain_pieces(line, rb"(?<=[.!?] )")
+        if len(line) > 160:
+            close()
+            last = 0
+        for part in parts:
+            h = xxhash.xxh64_intdigest(part.rstrip())
+            rolled = (last * 0x9E3779B97F4A7C15 + h) * 0x9E3779B97F4A7C15 % 2**64
+            now.append(part)
+            last = h
+            if (rolled >> 32) % 3 == 0:
+                close()
+        if len(line) > 160:
+            close()
+            last = 0
+    close()
+    return out
+
+
 def plain_line_dedup(docs, least_words):
-    """doc -> text, by looking chunks up in one dictionary of their bytes."""
-    chunks = {d: [(a, b, n, t.encode()[a:b].rstrip()) for a, b, n, _ in linededup.chunks(t.encode())] for d, t in docs.items() if t is not None}
+    """doc -> text, by looking chunks up in one dictionary of their bytes. Keys are distinct."""
+    parts = {d: plain_chunks(t.encode()) for d, t in docs.items() if t is not None}
     count, first = Counter(), {}
-    for d in sorted(chunks):
-        for c in chunks[d]:
-            count[c[3]] += 1
-            first.setdefault(c[3], d)
-    out = {}
-    for d, t in docs.items():
-        if t is None:
-            out[d] = None
-            continue
-        seen, flags = set(), []
-        for c in chunks[d]:
-            flags.append(count[c[3]] > 1 and (first[c[3]] != d or c[3] in seen))
-            seen.add(c[3])
-        body, parts = t.encode(), []
-        for again, run in itertools.groupby(range(len(flags)), key=flags.__getitem__):
-            run = list(run)
-            a, b = chunks[d][run[0]][0], chunks[d][run[-1]][1]
-            if not again or sum(chunks[d][k][2] for k in run) < 2 or len(body[a:b].split()) < least_words:
-                parts.append(body[a:b])
-        out[d] = b"".join(parts).decode()
+    for d in sorted(parts):
+        for k, c in enumerate(parts[d]):
+            count[c.rstrip()] += 1
+            first.setdefault(c.rstrip(), (d, k))
+    out = dict(docs)
+    for d in parts:
+        mine = parts[d]
+        state = ["own" if count[c.rstrip()] < 2 else "first" if first[c.rstrip()] == (d, k) else "again" for k, c in enumerate(mine)]
+        text, k, gap = [], 0, []  # gap: pieces that stay, since the last repeated chunk
+
+        def stripped(pieces):
+            return [p.rstrip() for p in pieces]
+
+        def shared(a, b):
+            n = 0
+            for i, (x, y) in enumerate(zip(stripped(a), stripped(b)), 1):
+                if x != y:
+                    break
+                n = i if x else n
+            return n
+
+        eaten = 0
+        while k < len(mine):
+            if state[k] != "again":
+                if state[k] == "first":
+                    text.append(b"".join(gap) + mine[k])
+                    gap = []
+                else:
+                    gap.append(mine[k])
+                k += 1
+                continue
+            stop = k
+            while stop < len(mine) and state[stop] == "again":
+                stop += 1
+            (fd, fk), (ld, lk) = first[mine[k].rstrip()], first[mine[stop - 1].rstrip()]
+            before = plain_pieces(b"".join(gap), rb"(?<=[.!?] )|(?<=\n)")
+            left = plain_pieces(b"".join(parts[fd][max(0, fk - 2) : fk]), rb"(?<=[.!?] )|(?<=\n)")
+            n = shared(before[::-1], left[::-1])
+            after = stop
+            while after < len(mine) and state[after] == "own":
+                after += 1
+            behind = plain_pieces(b"".join(mine[stop:after]), rb"(?<=[.!?] )|(?<=\n)")
+            right = plain_pieces(parts[ld][lk + 1], rb"(?<=[.!?] )|(?<=\n)") if lk + 1 < len(parts[ld]) else []
+            m = shared(behind, right)
+            run = b"".join(before[len(before) - n :] + mine[k:stop] + behind[:m])
+            text.append(b"".join(before[: len(before) - n]) + (b"" if len(run.split()) >= least_words else run))
+            gap, k = behind[m:], after
+        text += gap
+        out[d] = b"".join(text).decode()
     return out
 
 
@@ -150,11 +221,47 @@ def test_chunks_are_the_text_and_shift_with_it():
         before, after = ("".join(sentence() + r.choice(["\n", ""]) for _ in range(r.randint(0, 6))).encode() for _ in range(2))
         text = before + b"\n" + passage + b"\n" + after
         found = linededup.chunks(text)
-        assert b"".join(text[a:b] for a, b, _, _ in found) == text
-        inside.append([text[a:b].rstrip() for a, b, _, _ in found if len(before) + 1 <= a and b <= len(before) + len(passage) + 2])
+        assert b"".join(text[a:b] for a, b, _ in found) == text
+        inside.append([text[a:b].rstrip() for a, b, _ in found if len(before) + 1 <= a and b <= len(before) + len(passage) + 2])
     assert all(x == inside[0] and b"".join(w + b" " for w in x).strip() == passage for x in inside)
-    for text in (b"", b"\n", b"\n\n\n", b"x" * 100_000, b". " * 500, b"a\n" * 300):
-        assert b"".join(text[a:b] for a, b, _, _ in linededup.chunks(text)) == text
+    for text in (b"", b"\n", b"\n\n\n", b"x" * 100_000, b". " * 500, b"a\n" * 300, b"word other thing more " * 400, b" " * 2000 + b"x " * 900):
+        assert b"".join(text[a:b] for a, b, _ in linededup.chunks(text)) == text
+        assert [text[a:b] for a, b, _ in linededup.chunks(text)] == plain_chunks(text)
+
+
+def test_passages_in_other_contexts_go_whole(spark):
+    """A passage inside other paragraphs, a paragraph of one sentence, a long stretch without sentence ends."""
+    r = random.Random(8)
+    sentence = lambda n=0: " ".join(f"w{r.randrange(5000)}" for _ in range(n or r.randint(8, 15))) + "."
+    inside, alone, flat = " ".join(sentence() for _ in range(14)), sentence(60), " ".join(f"w{r.randrange(5000)}" for _ in range(300))
+    made = lambda d: [f"{sentence()} own{d} {sentence()} {inside} {sentence()} end{d}. {sentence()}", f"{sentence()}\n{alone}\n{sentence()}", f"start{d} {sentence(40)[:-1]} {flat} {sentence(40)}"]
+    texts = {(d, k): t for d in range(6) for k, t in enumerate(made(d))}
+    df = spark.createDataFrame([(d * 3 + k, t) for (d, k), t in texts.items()], "doc_id long, text string")
+    got = {divmod(x.doc_id, 3): x.text for x in linededup.dedup_lines(df).collect()}
+    for (d, k), t in texts.items():
+        if d == 0:
+            assert got[d, k] == t
+        elif k == 2:  # up to the first and from the last picked word on
+            assert len(got[d, k].split()) < 81 + 2 * 60 and f"start{d}" in got[d, k]
+        else:
+            assert " ".join(got[d, k].split()) == " ".join(t.replace(inside if k == 0 else alone, " ").split())
+
+
+def test_extension_leaves_first_occurrences(spark):
+    """What is repeated beside a run goes, but for chunks that other documents lean on."""
+    r = random.Random(3)
+    p, q = (" ".join(f"w{r.randrange(900)}" for _ in range(50)) + "." for _ in range(2))
+    texts = [f"{p}\n{p}\n{q}\n{p}", f"{q}\n{p}\n{q}", f"a\n\n{p}\n\nb", f"c\n\n{p}\n\nb\n\nb"]
+    got = [x.text for x in linededup.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert got == [f"{p}\n{q}\n", "", "a\n\n\nb", "c\n\nb"]
+
+
+def test_hot_passages_are_salted(spark, sf_dir, monkeypatch):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    want = {r.doc_id: r.text for r in linededup.dedup_lines(docs).collect()}
+    monkeypatch.setattr(linededup, "HOT", 1 << 40)
+    monkeypatch.setattr(linededup, "SALTS", 2)
+    assert {r.doc_id: r.text for r in linededup.dedup_lines(docs).collect()} == want
 
 
 def test_line_dedup_hostile_rows(spark):
