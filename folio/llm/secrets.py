@@ -11,7 +11,10 @@ words are showing so few coincidences of characters at that length; within each
 Benjamini and Hochberg picks the candidates, counted over all documents, so short strings can't lean on long ones.
 It works on a histogram of log p with fixed bins, of which a candidate counts with its bin's upper edge.
 
-Null text counts as empty. Repeated rows get equal spans and each count. An empty table gives an empty result.
+Null text counts as empty. Repeated rows get equal spans and each count. Very long texts, candidates and lists of
+matches cost in proportion to their length: statistics come from counts of characters and from pieces of PIECE characters,
+spans from blocks of BLOCK matches. All other columns stay as they are, whatever their names; the text goes and a column
+named like the spans is replaced. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -46,6 +49,9 @@ ENCODINGS = {
 #: Least p-value of the battery; rate of false discoveries; lower ends of the classes of length; bins of -ln p, and their width.
 BATTERY, RATE, LENGTHS, BINS, WIDTH = 0.001, 0.05, (20, 32, 64), 400, 0.25
 
+#: Characters of a candidate that are spelled out at a time, and matches of a text that are placed at a time.
+PIECE, BLOCK = 4096, 256
+
 SPAN = "array<struct<kind:int,start:int,end:int,value:string>>"
 
 
@@ -71,8 +77,16 @@ def matches(text: Column, pattern: str, kind: int, value_group: int = 0) -> Colu
         span = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), x["value"].alias("value"))
         return F.struct(end.alias("pos"), F.concat(acc["out"], F.array(span)).alias("out"))
 
-    start = F.struct(F.lit(0).alias("pos"), empty.alias("out"))
-    return F.when(text.rlike(pattern), F.aggregate(pairs, start, step, lambda acc: acc["out"])).otherwise(empty)
+    # every step copies what it has, so steps go by blocks, and blocks by whole results
+    cut = lambda ps: F.transform(F.sequence(F.lit(0), F.floor((F.size(ps) - 1) / BLOCK).cast("int")), lambda i: F.slice(ps, i * BLOCK + 1, F.lit(BLOCK)))
+    blocks = F.flatten(F.transform(F.array(pairs), cut))  # a lambda's argument is worked out once
+
+    def add(acc: Column, block: Column) -> Column:
+        start = F.struct(F.coalesce(F.try_element_at(acc, F.lit(-1))["pos"], F.lit(0)).alias("pos"), empty.alias("out"))
+        return F.concat(acc, F.array(F.aggregate(block, start, step)))
+
+    whole = F.aggregate(blocks, F.array().cast(f"array<struct<pos:int,out:{SPAN}>>"), add, lambda acc: F.flatten(F.transform(acc, lambda x: x["out"])))
+    return F.when(text.rlike(pattern), whole).otherwise(empty)
 
 
 def base_spans(text: Column) -> Column:
@@ -90,20 +104,27 @@ def spelled(spans: Column) -> Column:
 def battery(df: DataFrame, token: str = "value") -> DataFrame:
     """Add encoding, length_class, p_random and p_words to a table of candidates; those that fit no encoding go.
 
-    A candidate's characters are counted with one pass for each distinct one, so long ones cost in proportion.
+    Sums over the characters' places in the alphabet come from how often each character occurs; runs are what is left of
+    a candidate of two letters when each run is written as one; only products of neighbours are taken place by place.
     """
     encoding = F.coalesce(*[F.when(F.col(token).rlike(p), F.lit(name)) for name, (p, _, _) in ENCODINGS.items()])
     pick = lambda i: F.coalesce(*[F.when(F.col("encoding") == name, F.lit(x[i])) for name, x in ENCODINGS.items()])
+    halves = F.coalesce(*[F.when(F.col("encoding") == name, F.translate(token, a, "L" * (len(a) // 2) + "H" * (len(a) - len(a) // 2))) for name, (_, a, _) in ENCODINGS.items()])
     rows = df.withColumn("encoding", encoding).filter(F.col("encoding").isNotNull())
-    rows = rows.withColumn("__alphabet", pick(1)).withColumn("__n", F.char_length(token).cast("double")).withColumn("__k", F.char_length("__alphabet").cast("double"))
-    rows = rows.withColumn("__codes", F.expr(f"transform(sequence(1, char_length({token})), i -> cast(locate(substring({token}, i, 1), __alphabet) - 1 as double))"))
-    rows = rows.withColumn("__squares", F.expr("aggregate(array_distinct(__codes), 0D, (a, x) -> a + power(size(filter(__codes, y -> y = x)), 2))"))
-    rows = rows.withColumn("__mean", F.expr("aggregate(__codes, 0D, (a, x) -> a + x) / __n"))
-    rows = rows.withColumn("__high", F.expr("transform(__codes, x -> x >= __k / 2)")).withColumn("__n1", F.expr("cast(size(filter(__high, x -> x)) as double)"))
-    rows = rows.withColumn("__after", F.expr("transform(sequence(1, size(__codes) - 1), i -> struct(element_at(__codes, i) as x, element_at(__codes, i + 1) as y))"))
-    rows = rows.withColumn("__runs", F.expr("1 + size(filter(__after, p -> (p.x >= __k / 2) != (p.y >= __k / 2)))"))
-    rows = rows.withColumn("__var", F.expr("aggregate(__codes, 0D, (a, x) -> a + (x - __mean) * (x - __mean))"))
-    rows = rows.withColumn("__cov", F.expr("aggregate(__after, 0D, (a, p) -> a + (p.x - __mean) * (p.y - __mean))"))
+    rows = rows.withColumn("__alphabet", pick(1)).withColumn("__length", F.char_length(token)).withColumn("__n", F.col("__length").cast("double")).withColumn("__k", F.char_length("__alphabet").cast("double"))
+    rows = rows.withColumn("__counts", F.expr(f"transform(split(__alphabet, ''), c -> cast(__length - char_length(replace({token}, c, '')) as double))"))
+    rows = rows.withColumn("__squares", F.expr("aggregate(__counts, 0D, (a, m) -> a + m * m)"))
+    rows = rows.withColumn("__sum", F.expr("aggregate(transform(__counts, (m, i) -> m * i), 0D, (a, m) -> a + m)")).withColumn("__sum2", F.expr("aggregate(transform(__counts, (m, i) -> m * i * i), 0D, (a, m) -> a + m)"))
+    rows = rows.withColumn("__halves", halves).withColumn("__n1", F.expr("cast(__length - char_length(replace(__halves, 'H', '')) as double)"))
+    rows = rows.withColumn("__runs", F.char_length(F.regexp_replace("__halves", "L++|H++", "x")).cast("double")).drop("__halves")
+    # pieces, each with the first character of the one behind it
+    rows = rows.withColumn("__pieces", F.regexp_extract_all(token, F.lit(f".{{1,{PIECE}}}"), 0))
+    rows = rows.withColumn("__codes", F.expr("transform(__pieces, (p, i) -> transform(split(p || left(coalesce(get(__pieces, i + 1), ''), 1), ''), c -> locate(c, __alphabet) - 1))")).drop("__pieces")
+    rows = rows.withColumn("__ends", F.expr("cast(__codes[0][0] + element_at(element_at(__codes, -1), -1) as double)"))
+    products = "aggregate(zip_with(slice(c, 1, greatest(size(c) - 1, 0)), slice(c, 2, greatest(size(c) - 1, 0)), (x, y) -> x * y), 0L, (a, x) -> a + x)"
+    rows = rows.withColumn("__products", F.expr(f"cast(aggregate(__codes, 0L, (b, c) -> b + {products}) as double)")).drop("__codes")
+    mean = F.col("__sum") / F.col("__n")
+    rows = rows.withColumn("__var", F.col("__sum2") - F.col("__sum") * mean).withColumn("__cov", F.col("__products") - mean * (2 * F.col("__sum") - F.col("__ends")) + (F.col("__n") - 1) * mean * mean)
     n, k, n1 = F.col("__n"), F.col("__k"), F.col("__n1")
     chi = k / n * F.col("__squares") - n
     free = k - 1
@@ -161,7 +182,7 @@ def scan(df: DataFrame, text: str = "text", spans: str = "spans") -> DataFrame:
     fits = "|".join(f"(?:{p})" for p, _, _ in ENCODINGS.values())
     clear = F.filter("__more", lambda m: m["value"].rlike(fits) & ~F.exists("__base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
     scratch = Scratch(df.sparkSession, "secrets")
-    made = scratch.save(made.withColumn("__more", clear), "spans")
+    made = scratch.save(made.withColumn("__more", clear).withColumn("__key", F.monotonically_increasing_id()), "spans")
     values = made.select(F.explode("__more").alias("m")).select(F.col("m.value").alias("value"))
     # a value met often is tested once; a distinct value is one discovery
     tested = scratch.save(battery(values.distinct()), "tested")
@@ -170,12 +191,5 @@ def scan(df: DataFrame, text: str = "text", spans: str = "spans") -> DataFrame:
     for c, b in least.items():
         good = good | ((length_class(F.col("value")) == c) & (log_bin(F.col("p_words")) >= b))
     found = tested.filter((F.col("p_random") >= BATTERY) & good).select(F.col("value").alias("__v"))
-    key = F.xxhash64(*[F.col(c) for c in others], F.col("__base"), F.col("__more"))
-    rows = made.withColumn("__key", key)
-    # rows equal in everything share a key and their spans
-    hits = (
-        rows.filter(F.size("__more") > 0).select("__key", "__more").distinct().select("__key", F.explode("__more").alias("m"))
-        .join(found, F.col("m.value") == F.col("__v"))
-        .groupBy("__key").agg(F.collect_set("m").alias("__hits"))
-    )
-    return rows.join(hits, "__key", "left").withColumn(spans, F.concat("__base", F.coalesce("__hits", F.array().cast(SPAN)))).drop("__key", "__base", "__more", "__hits")
+    hits = made.filter(F.size("__more") > 0).select("__key", F.explode("__more").alias("m")).join(found, F.col("m.value") == F.col("__v")).groupBy("__key").agg(F.collect_list("m").alias("__hits"))
+    return made.join(hits, "__key", "left").withColumn(spans, F.concat("__base", F.coalesce("__hits", F.array().cast(SPAN)))).drop("__key", "__base", "__more", "__hits")
