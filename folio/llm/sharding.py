@@ -1,11 +1,13 @@
 """Sharding by proportional stratified interleaving.
 
-Each source's rows are shuffled by a seeded hash and ranked; a row's fractional rank is (rank + 1/2) / rows of
-its source. Sorting all rows by it interleaves the sources in proportion, and cutting that order into equal runs
-gives shards that all have the mixture of the whole, each source within one row or two of its share.
+Each source's rows are shuffled by a seeded hash and ranked; a row's fractional rank is (rank + u) / rows of its source,
+with a seeded u between 0 and 1 for each source, so that small sources spread over the whole range. Sorting all rows by it
+interleaves the sources in proportion, and cutting that order into equal runs gives shards that all have the mixture of the
+whole, each source within one row or two of its share.
 
 Law `rows`: shard sizes differ by one row at most. Null strata form one stratum. Rows equal in every ordering column
-are interchangeable. An empty table gives an empty result; more shards than rows leave the last ones empty.
+are interchangeable. Texts aren't read here, so their length doesn't matter. Extra columns pass, but for names that begin
+with two underscores, which are taken. An empty table gives an empty result; more shards than rows leave the last ones empty.
 """
 
 from __future__ import annotations
@@ -35,7 +37,8 @@ def interleave(df: DataFrame, shards: int, stratum: str = "source", key: str = "
     ranked = scratch.save(ranked, "ranked")
     total = ranked.count()
     parts = max(1, -(-total // ROWS_PER_BUCKET))
-    ranked = ranked.withColumn("__f", (F.col("__rank") + 0.5) / F.col("__size")).withColumn("__part", F.floor(F.col("__f") * parts))
+    offset = (F.pmod(seeded(seed + 1, F.col(stratum)), F.lit(1 << 20)) + 0.5) / float(1 << 20)
+    ranked = ranked.withColumn("__f", (F.col("__rank") + offset) / F.col("__size")).withColumn("__part", F.floor(F.col("__f") * parts))
     before = (
         ranked.groupBy("__part")
         .agg(F.count(F.lit(1)).alias("__n"))

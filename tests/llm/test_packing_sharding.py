@@ -145,3 +145,11 @@ def test_interleave_brute_force(spark):
     for (s, b), n in Counter((x.shard, x.source) for x in rows).items():
         assert abs(n - total[b] / 7) <= 2
     assert sharding.interleave(df.limit(0), 3).count() == 0
+
+
+def test_sources_of_one_row_spread_over_the_shards(spark):
+    rows = spark.createDataFrame([(i, f"s{i}") for i in range(4000)] + [(i, "large") for i in range(4000, 8000)], "doc_id long, source string")
+    made = sharding.interleave(rows, 8).collect()
+    for k in range(8):
+        mine = [r for r in made if r.shard == k]
+        assert len(mine) == 1000 and 400 < sum(r.source == "large" for r in mine) < 600
