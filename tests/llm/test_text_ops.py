@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -59,6 +60,30 @@ def test_scan_hostile_texts(spark):
     assert secrets.scan(df.limit(0)).count() == 0
 
 
+def test_scan_long_candidates_and_many_matches(spark):
+    """One candidate of five million characters; 200,000 candidates in one text."""
+    rng = np.random.default_rng(6)
+    alphabet = np.array(list(secrets.ENCODINGS["base64"][1]))
+    long = "".join(alphabet[rng.integers(0, 64, 5_000_000)])
+    many = [f"{i:06d}abcdefABCDEF{i % 10}" + "xyzXYZ" for i in range(200_000)]
+    df = spark.createDataFrame([(1, f"see {long} there"), (2, " ".join(many)), (3, " ".join(f"token={i:06d}" for i in range(100_000)))], "doc_id int, text string").repartition(3)
+    began = time.time()
+    rows = {r.doc_id: r for r in secrets.scan(df).select("doc_id", F.size("spans").alias("n"), F.try_element_at("spans", F.lit(1)).alias("first"), F.try_element_at("spans", F.lit(-1)).alias("last")).collect() if r.n}
+    assert time.time() - began < 120
+    assert (rows[1].n, rows[1].first.kind, rows[1].first.start, rows[1].first.end) == (1, 3, 4, 5_000_004)
+    assert (rows[3].n, rows[3].first.start, rows[3].last.start) == (100_000, 0, 13 * 99_999)
+
+
+def test_battery_pieces_add_up(spark, monkeypatch):
+    """The statistics don't depend on where a candidate is cut."""
+    rng = np.random.default_rng(7)
+    tokens = ["".join(np.array(list(secrets.ENCODINGS["base64"][1]))[rng.integers(0, 64, n)]) for n in (20, 21, 22, 300)]
+    df = spark.createDataFrame([(t,) for t in tokens], "value string")
+    want = {r.value: (r.p_random, r.p_words) for r in secrets.battery(df).collect()}
+    monkeypatch.setattr(secrets, "PIECE", 7)
+    assert {r.value: (r.p_random, r.p_words) for r in secrets.battery(df).collect()} == want and len(want) == 4
+
+
 def test_battery_p_values(spark):
     """The tests' statistics, computed plainly."""
     rng = np.random.default_rng(0)
@@ -127,15 +152,59 @@ def test_chat_round_trip_of_hostile_turns(spark):
     assert chat.format_chats(df.limit(0)).count() == 0
 
 
+def plain_phrases(text):
+    """Character by character."""
+    out, at, marks = [], 0, ".,;|!\n"
+    while at < len(text):
+        end = at
+        while end < len(text) and end - at < 80 and text[end] not in marks:
+            end += 1
+        cut = next((k + 2 for k in range(at, end - 1) if text[k] in fingerprints.ENDINGS and text[k + 1] == " "), None)
+        if cut is None:
+            while end < len(text) and text[end] in marks:
+                end += 1
+            cut = end
+        out.append(text[at:cut])
+        at = cut
+    return out
+
+
+def test_phrases(spark):
+    rng = np.random.default_rng(3)
+    texts = ["".join(np.array(list("agn  .,\nyb"))[rng.integers(0, 10, n)]) for n in (0, 1, 2, 50, 500)] + ["x" * k + m for k in (79, 80, 81, 160, 200) for m in ("", ".", "g ", "..a")] + ["word more " * 300, "g g g ", " .g ."]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select("text", fingerprints.phrases(F.col("text")).alias("p")).collect()
+    for r in rows:
+        assert r.p == plain_phrases(r.text), repr(r.text)
+
+
+def test_one_word_put_in_front_shifts_nothing(spark):
+    rng = np.random.default_rng(5)
+    text = " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(2, 9))) for _ in range(3000))
+    rows = {r.doc_id: r.fingerprint for r in fingerprints.fingerprint(spark.createDataFrame([(1, text), (2, "word " + text), (3, "a\nb\n"), (4, "a\nb\n" * 500)], "doc_id long, text string")).collect()}
+    same = lambda a, b: sum(rows[a][j : j + 4] == rows[b][j : j + 4] for j in range(0, 4 * fingerprints.SAMPLES, 4)) / fingerprints.SAMPLES
+    assert same(1, 2) > 0.95 and same(3, 4) < 0.2
+
+
+def test_compare_keeps_repeated_rows(spark):
+    data = [(1, "alpha beta. gamma"), (1, "alpha beta. gamma"), (1, "alpha beta. gamma"), (3, "x"), (3, "x"), (2, ""), (None, None), (None, ""), (9, "zz, " * 30_000), (1, "other")]
+    df = spark.createDataFrame([(*d, "b", 7) for d in data], "doc_id long, text string, bucket string, place int")
+    rows = fingerprints.compare_with_edited(df).collect()
+    assert Counter(r.doc_id for r in rows) == Counter(d for d, _ in data)
+    assert len({r.fingerprint for r in rows if r.doc_id == 1 and r.n_chars == 17}) == 1
+    assert sorted(r.near_next for r in rows if r.doc_id == 1)[-2:] == [1.0, 1.0]
+
+
 def test_op5_edits_and_likeness(spark, sf_dir):
     docs = sorted(((r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()), reverse=True)
     rows = {r.doc_id: r for r in QUERIES["op5_document_fingerprints"](spark, sf_dir).collect()}
     assert len(rows) == len(docs)
-    phrase = re.compile(fingerprints.PHRASE)
+    weigh = lambda t: {x: n * len(x) for x, n in Counter(plain_phrases(t)).items()}
 
     def jaccard(a, b):
-        a, b = set(phrase.findall(a)), set(phrase.findall(b))
-        return sum(map(len, a & b)) / max(1, sum(map(len, a | b)))
+        """Generalised: the lesser weights by the greater ones."""
+        a, b = weigh(a), weigh(b)
+        terms = a.keys() | b.keys()
+        return sum(min(a.get(x, 0), b.get(x, 0)) for x in terms) / max(1, sum(max(a.get(x, 0), b.get(x, 0)) for x in terms))
 
     errors, prints = [], {}
     for i, (d, text) in enumerate(docs):
