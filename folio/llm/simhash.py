@@ -9,13 +9,18 @@ table and the masked fingerprint. Large buckets are dealt out in blocks, each pa
 of every group only the links of a spanning forest are written, so a group of near copies costs links in proportion to
 its members. Components are then found by star contraction in the shared folder.
 
+A text may have several fingerprints of independent hashes; texts are linked if any two of the same number are near. One
+pair's bits differ by chance around what their likeness gives, so more fingerprints find what a larger radius would, with
+masks that grow by the number instead of doubling with each bit.
+
 Null text counts as empty. A text with fewer words than a shingle is one shingle; one without words has fingerprint
-zero and is linked like any other. Rows that share a doc_id are rows of one document's class. An empty table gives an
-empty result.
+zero and is linked like any other. Very long texts are hashed whole. Rows that share a doc_id are rows of one document's
+class. Extra columns go, so their names can't clash. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,20 +36,40 @@ BITS = 64
 BLOCK = 2048
 #: Fingerprints that one task spells out under all masks.
 SPELLED = 20_000
-#: Bytes of a word that counts among a text's distinct words; shorter ones are mostly the same in all texts.
-LONG = 4
 
 
-def fingerprint(text: bytes | None, shingle: int | None, seed: int = 42) -> int:
-    """Majority bits of the hashes of all shingles; without a shingle length, of the distinct words of LONG bytes or more (of any, if none is)."""
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Well-spread 64 bits of 64 bits."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def word_fingerprints(text: bytes | None, count: int, seed: int = 42) -> list[int]:
+    """Majority bits of the hashes of the distinct words, each weighing 1 + ln of its occurrences; further ones of the hashes mixed anew."""
+    words = Counter((text or b"").lower().split())
+    if not words:
+        return [0] * count
+    hashes = np.array([xxhash.xxh64_intdigest(w, seed) for w in words], dtype="<u8")
+    weights = 1 + np.log(np.fromiter(words.values(), dtype=np.float64, count=len(words)))
+    out = []
+    for k in range(count):
+        h = mixed(hashes ^ np.uint64(0x9E3779B97F4A7C15 * k % (1 << 64))) if k else hashes
+        sums = np.zeros(BITS)
+        for at in range(0, len(h), 4096):
+            bits = np.unpackbits(h[at : at + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            sums += weights[at : at + 4096] @ bits
+        out.append(int(np.packbits(2 * sums > weights.sum() * (1 + 1e-12), bitorder="little").view("<u8")[0]))
+    return out
+
+
+def fingerprint(text: bytes | None, shingle: int, seed: int = 42) -> int:
+    """Majority bits of the hashes of all shingles."""
     words = (text or b"").lower().split()
     n = len(words)
     if not n:
         return 0
     digest = xxhash.xxh64_intdigest
-    if shingle is None:
-        distinct = set(words)
-        return majority(np.array([digest(w, seed) for w in {w for w in distinct if len(w) >= LONG} or distinct], dtype="<u8"))
     joined = b" ".join(words)
     if n <= shingle:
         return digest(joined, seed)
@@ -62,15 +87,18 @@ def majority(hashes: np.ndarray) -> int:
     return int(np.packbits(set_ * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(df: DataFrame, text: str = "text", key: str = "doc_id", shingle: int | None = 5) -> DataFrame:
-    """key, fingerprint (signed 64 bits)."""
+def fingerprints(df: DataFrame, text: str = "text", key: str = "doc_id", shingle: int | None = 5, count: int = 1) -> DataFrame:
+    """key, fingerprints (signed 64 bits each): one of shingles, or `count` of words."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [fingerprint(t.as_py(), shingle) for t in batch.column(0).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(np.array(found, dtype=np.uint64).view(np.int64))], names=[key, "fingerprint"])
+            texts = (t.as_py() for t in batch.column(0).cast(pa.binary()))
+            found = [word_fingerprints(t, count) if shingle is None else [fingerprint(t, shingle)] for t in texts]
+            n = count if shingle is None else 1
+            flat = pa.array(np.array(found, dtype=np.uint64).reshape(-1).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, n), pa.int32()), flat)], names=[key, "fingerprints"])
 
-    return df.select(F.col(text), F.col(key)).mapInArrow(make, f"`{key}` {df.schema[key].dataType.simpleString()}, fingerprint long")
+    return df.select(F.col(text), F.col(key)).mapInArrow(make, f"`{key}` {df.schema[key].dataType.simpleString()}, fingerprints array<long>")
 
 
 def masks(radius: int, seed: int = 9) -> list[int]:
@@ -128,11 +156,11 @@ def groups(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[list[np.nd
 
 
 def links(classes: DataFrame, radius: int, scratch: Scratch) -> DataFrame:
-    """Links (a, b) of representatives that connect all fingerprints within the radius. classes: fingerprint, rep."""
+    """Links (a, b) of representatives that connect all fingerprints of one number within the radius. classes: which, fingerprint, rep, one row for each of the first two."""
     table = F.posexplode(F.array(*[F.lit(m) for m in masks(radius)])).alias("__t", "__mask")
     # few bytes in the file, many rows under the masks: dealt out first, so that the tasks grow in number and not in size
     classes = classes.repartition(max(1, -(-classes.count() // SPELLED)), "fingerprint")
-    dealt = classes.select("fingerprint", "rep", table).select(F.xxhash64("__t", F.col("fingerprint").bitwiseAND(F.col("__mask"))).alias("bucket"), "fingerprint", "rep")
+    dealt = classes.select("which", "fingerprint", "rep", table).select(F.xxhash64("which", "__t", F.col("fingerprint").bitwiseAND(F.col("__mask"))).alias("bucket"), "fingerprint", "rep")
     sizes = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared = dealt.join(sizes, "bucket").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     own = F.pmod(F.xxhash64(F.lit(3), "fingerprint"), F.col("blocks")).cast("int")
@@ -187,14 +215,19 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         now, before = following, state
 
 
-def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", shingle: int | None = 5, radius: int = 4) -> DataFrame:
-    """key, fingerprint, component_id (the smallest key that links of `radius` differing bits or fewer reach): one row for each row.
+def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", shingle: int | None = 5, radius: int = 4, count: int = 1) -> DataFrame:
+    """key, fingerprint (the first), component_id (the smallest key that links of `radius` differing bits or fewer reach): one row for each row.
 
     The key is an integer.
     """
     scratch = Scratch(df.sparkSession, "simhash")
-    made = scratch.save(fingerprints(df, text, key, shingle), "fingerprints")
-    classes = scratch.save(made.groupBy("fingerprint").agg(F.min(F.col(key).cast("long")).alias("rep")), "classes")
-    found = components(links(classes, radius, scratch), scratch)
-    least = classes.join(found, F.col("rep") == F.col("node"), "left").select("fingerprint", F.coalesce("component", "rep").alias("component_id"))
-    return made.join(least, "fingerprint").select(key, "fingerprint", "component_id")
+    made = scratch.save(fingerprints(df, text, key, shingle, count), "fingerprints")
+    classes = scratch.save(made.groupBy("fingerprints").agg(F.min(F.col(key).cast("long")).alias("rep")), "classes")
+    each = classes.select("rep", F.posexplode("fingerprints").alias("which", "fingerprint"))
+    single = scratch.save(each.groupBy("which", "fingerprint").agg(F.min("rep").alias("rep")), "single")
+    found = links(single, radius, scratch)
+    if count > 1:  # classes may share one fingerprint and not the others
+        found = found.unionByName(each.join(single.withColumnRenamed("rep", "a"), ["which", "fingerprint"]).filter("rep != a").select("a", F.col("rep").alias("b")))
+    found = components(found, scratch)
+    least = classes.join(found, F.col("rep") == F.col("node"), "left").select("fingerprints", F.coalesce("component", "rep").alias("component_id"))
+    return made.join(least, "fingerprints").select(key, F.get("fingerprints", F.lit(0)).alias("fingerprint"), "component_id")

@@ -6,7 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
-from math import log10
+from math import log, log10
 
 import numpy as np
 import pytest
@@ -28,10 +28,38 @@ def plain_print(text, k):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-def plain_word_print(text):
-    words = set(WORD.findall(re.sub(rb"[A-Z]", lambda m: m[0].lower(), text.encode())))
-    h = [xxhash.xxh64_intdigest(w, 42) for w in {w for w in words if len(w) >= 4} or words]
-    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+def plain_word_prints(text, count):
+    words = Counter(WORD.findall(re.sub(rb"[A-Z]", lambda m: m[0].lower(), text.encode())))
+    out = []
+    for k in range(count):
+        sums = [0.0] * 64
+        for w, n in words.items():
+            x = xxhash.xxh64_intdigest(w, 42)
+            if k:
+                x ^= 0x9E3779B97F4A7C15 * k % 2**64
+                x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+                x = (x ^ x >> 27) * 0x94D049BB133111EB % 2**64
+                x ^= x >> 31
+            for b in range(64):
+                sums[b] += (1 + log(n)) * (1 if x >> b & 1 else -1)
+        out.append(sum(1 << b for b in range(64) if sums[b] > 1e-9))
+    return out
+
+
+def plain_groups(prints, radius):
+    """doc -> smallest doc reachable, where any fingerprint may link."""
+    root = {d: d for d in prints}
+
+    def find(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    for a, b in itertools.combinations(sorted(prints), 2):
+        if any((x ^ y).bit_count() <= radius for x, y in zip(prints[a], prints[b])):
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    return {d: find(d) for d in prints}
 
 
 def plain_components(prints, radius):
@@ -81,7 +109,7 @@ def test_links_of_dense_groups(spark, block):
         values.add(x)
     values |= {r.getrandbits(64) for _ in range(60)}
     prints = dict(enumerate(r.sample(sorted(values), len(values))))
-    df = spark.createDataFrame([(v - (1 << 64) if v >> 63 else v, d) for d, v in prints.items()], "fingerprint long, rep long")
+    df = spark.createDataFrame([(0, v - (1 << 64) if v >> 63 else v, d) for d, v in prints.items()], "which int, fingerprint long, rep long")
     was, simhash.BLOCK = simhash.BLOCK, block
     try:
         scratch = Scratch(spark, "test")
@@ -101,6 +129,8 @@ def test_components_of_chains_and_stars(spark):
 def test_near_duplicates_hostile_rows(spark):
     data = [(3, None, 1), (4, "", 1), (5, " \n", 1), (6, "A b", 1), (7, "a  B", 1), (7, "a  B", 1), (8, "w" * 50_000, 1)]
     df = spark.createDataFrame(data, "doc_id long, text string, component_id int")
+    assert Counter((r.doc_id, r.component_id) for r in simhash.near_duplicates(df, shingle=None, radius=5, count=4).collect())[7, 6] == 2
+    assert simhash.near_duplicates(df.limit(0), shingle=None, count=4).count() == 0
     rows = simhash.near_duplicates(df).collect()
     assert Counter((r.doc_id, r.component_id) for r in rows) == Counter({(3, 3): 1, (4, 3): 1, (5, 3): 1, (6, 6): 1, (7, 6): 2, (8, 8): 1})
     assert simhash.near_duplicates(df.limit(0)).count() == 0
@@ -148,6 +178,20 @@ def plain_chunks(text):
     return out
 
 
+def test_word_fingerprints_find_edited_copies(spark):
+    """Copies with two words in a hundred changed are found, strangers aren't."""
+    r = random.Random(12)
+    data, edited = [], []
+    for d in range(60):
+        words = [f"w{min(r.randrange(3000), r.randrange(3000))}" for _ in range(r.randint(80, 600))]
+        copy = [f"x{r.randrange(10**6)}" if r.random() < 0.02 else w for w in words]
+        data += [(2 * d, " ".join(words)), (2 * d + 1, " ".join(copy))]
+        edited.append(copy != words)
+    rows = {x.doc_id: x.component_id for x in simhash.near_duplicates(spark.createDataFrame(data, "doc_id long, text string"), shingle=None, radius=5, count=4).collect()}
+    assert all(rows[2 * d] == 2 * d and rows[2 * d + 1] in (2 * d, 2 * d + 1) for d in range(60))
+    assert sum(rows[2 * d + 1] == 2 * d for d in range(60)) >= 54 and sum(edited) > 50
+
+
 def plain_line_dedup(docs, least_words):
     """doc -> text, by looking chunks up in one dictionary of their bytes. Keys are distinct."""
     parts = {d: plain_chunks(t.encode()) for d, t in docs.items() if t is not None}
@@ -418,7 +462,7 @@ def test_pipeline_stages(spark, sf_dir):
     assert {r.doc_id for r in stages[0]} == kept and all(r == docs[r.doc_id] for r in stages[0])
     texts = plain_line_dedup({r.doc_id: r.text for r in stages[0]}, 40)
     assert {r.doc_id: r.text for r in stages[1]} == texts and all(r.n_chars == len(r.text) for r in stages[1])
-    groups = plain_components({d: plain_word_print(t) for d, t in texts.items()}, 6)
+    groups = plain_groups({d: plain_word_prints(t, corpus_pipeline.PRINTS) for d, t in texts.items()}, corpus_pipeline.RADIUS)
     assert {r.doc_id for r in stages[2]} == {d for d, g in groups.items() if d == g}
     assert {r.doc_id for r in stages[3]} <= {r.doc_id for r in stages[2]} and 0 < len(stages[3]) < len(stages[2])
     assert {r.doc_id for r in stages[4]} == {r.doc_id for r in stages[3]}
