@@ -16,6 +16,8 @@ from folio.llm.queries import domain_of, tokenizer_path
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Share of the tokens that the mixture takes. No document is taken twice.
 MIXED = 0.9
+#: Fingerprints of words that a document has in the near-dedup stage, and the bits in which two of them may differ.
+PRINTS, RADIUS = 4, 5
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,9 +36,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest id stays.
 
     Every edited word changes five shingles of five words, and fingerprints of shingles that are 0.8 alike differ in five
-    to fourteen bits, which no number of tables covers. Distinct words change less: six bits reach nine in ten of such pairs.
+    to fourteen bits, which no number of tables covers. Distinct words change less, and PRINTS fingerprints of RADIUS bits
+    find what one would find only with more bits.
     """
-    made = simhash.near_duplicates(docs, shingle=None, radius=6)
+    made = simhash.near_duplicates(docs, shingle=None, radius=RADIUS, count=PRINTS)
     stays = made.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
     one = docs.select(*COLUMNS).join(stays, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
     return one
