@@ -20,7 +20,6 @@ class. Extra columns go, so their names can't clash. An empty table gives an emp
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +35,9 @@ BITS = 64
 BLOCK = 2048
 #: Fingerprints that one task spells out under all masks.
 SPELLED = 20_000
+#: Bytes of a word that counts among a text's distinct words; shorter ones are the same in all texts of a language, whose
+#: fingerprints would then meet in more buckets than chance has them meet.
+LONG = 4
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -46,21 +48,12 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def word_fingerprints(text: bytes | None, count: int, seed: int = 42) -> list[int]:
-    """Majority bits of the hashes of the distinct words, each weighing 1 + ln of its occurrences; further ones of the hashes mixed anew."""
-    words = Counter((text or b"").lower().split())
+    """Majority bits of the hashes of the distinct words of LONG bytes or more (of any, if none is); further ones of the hashes mixed anew."""
+    words = set((text or b"").lower().split())
     if not words:
         return [0] * count
-    hashes = np.array([xxhash.xxh64_intdigest(w, seed) for w in words], dtype="<u8")
-    weights = 1 + np.log(np.fromiter(words.values(), dtype=np.float64, count=len(words)))
-    out = []
-    for k in range(count):
-        h = mixed(hashes ^ np.uint64(0x9E3779B97F4A7C15 * k % (1 << 64))) if k else hashes
-        sums = np.zeros(BITS)
-        for at in range(0, len(h), 4096):
-            bits = np.unpackbits(h[at : at + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            sums += weights[at : at + 4096] @ bits
-        out.append(int(np.packbits(2 * sums > weights.sum() * (1 + 1e-12), bitorder="little").view("<u8")[0]))
-    return out
+    hashes = np.array([xxhash.xxh64_intdigest(w, seed) for w in {w for w in words if len(w) >= LONG} or words], dtype="<u8")
+    return [majority(mixed(hashes ^ np.uint64(0x9E3779B97F4A7C15 * k % (1 << 64))) if k else hashes) for k in range(count)]
 
 
 def fingerprint(text: bytes | None, shingle: int, seed: int = 42) -> int:
