@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: The first year after each period.
-PERIODS = [(1947, "pre-independence"), (1965, "nehruvian-era"), (1985, "late-license-raj"), (2005, "reform-era")]
+PERIODS = [(1948, "pre-independence"), (1965, "nehruvian-era"), (1985, "late-license-raj"), (2005, "reform-era")]
 
 
 def first_year(c: Column) -> Column:

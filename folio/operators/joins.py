@@ -127,10 +127,11 @@ def contains_normal(body: Column, quote: Column, normal_body: Callable[[Column],
 
 
 def passages_in(docs: DataFrame, doc: str, body: str, passages: DataFrame, item: str, quote: str) -> DataFrame:
-    """doc, item: which documents hold which passages of seven words or more, exactly.
+    """doc, item: which documents hold which passages, exactly. Empty passages are in none.
 
     A passage's second to sixth words stand whole and side by side wherever it does, so a hash of them pairs it with the documents
-    that have that run; containment decides. Documents are exploded into hashes only, and only pairs carry texts.
+    that have that run; containment decides. Documents are exploded into hashes only, and only pairs carry texts. Passages of
+    fewer than seven words may begin and end inside words: their first three characters pair them, where there are such passages.
     """
 
     def runs(words: Column, starts: Column) -> Column:
@@ -141,7 +142,15 @@ def passages_in(docs: DataFrame, doc: str, body: str, passages: DataFrame, item:
     wanted = long.select(item, F.element_at(runs(F.col("__w"), F.array(F.lit(2))), 1).alias("__h"))
     mine = docs.select(doc, words(F.col(body)).alias("__w")).filter(F.size("__w") >= 5)
     found = mine.select(doc, F.explode(runs(F.col("__w"), F.sequence(F.lit(1), F.size("__w") - 4))).alias("__h")).join(wanted, "__h").select(doc, item).distinct()
-    return found.join(docs.select(doc, F.col(body).alias("__b")), doc).join(long.select(item, "__q"), item).filter(F.contains("__b", F.col("__q"))).select(doc, item)
+    short = passages.select(item, F.col(quote).alias("__q")).filter((F.col("__q") != "") & (F.size(words(F.col("__q"))) < 7))
+    if not short.isEmpty():
+        chars = docs.select(doc, F.split(body, "").alias("__c"))
+        after = lambda i, k: F.coalesce(F.get(F.col("__c"), i + k), F.lit(""))
+        pairs, threes = F.transform("__c", lambda c, i: F.concat(c, after(i, 1))), F.transform("__c", lambda c, i: F.concat(c, after(i, 1), after(i, 2)))
+        starts = chars.select(doc, F.explode(F.array_distinct(F.concat("__c", pairs, threes))).alias("__g"))
+        found = found.unionByName(starts.join(short.select(item, F.substring("__q", 1, 3).alias("__g")), "__g").select(doc, item)).distinct()
+    quotes = long.select(item, "__q").unionByName(short)
+    return found.join(docs.select(doc, F.col(body).alias("__b")), doc).join(quotes, item).filter(F.contains("__b", F.col("__q"))).select(doc, item)
 
 
 def whole_word(text: Column, name: Column) -> Column:

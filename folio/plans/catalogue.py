@@ -138,6 +138,16 @@ def quotes_in_documents(t: Tables) -> DataFrame:
     return joins.passages_in(docs, "doc_id", "body", quotes, "item_id", "q")
 
 
+@query(
+    r"""WITH b AS (SELECT item_id, array_to_string(string_split(text, ' ')[2:4], ' ') AS q FROM benchmark UNION ALL SELECT -1, 'ati' UNION ALL SELECT -2, 'e t')
+SELECT doc_id, item_id FROM documents JOIN b ON q <> '' AND contains(text, q)"""
+)
+def short_quotes(t: Tables) -> DataFrame:
+    """Three words of each passage, and two bits of text that begin inside words."""
+    quotes = t.benchmark.select("item_id", F.array_join(F.slice(F.split("text", " "), 2, 3), " ").alias("q")).unionByName(t.spark.createDataFrame([(-1, "ati"), (-2, "e t")], "item_id long, q string"))
+    return joins.passages_in(t.documents.select("doc_id", "text"), "doc_id", "text", quotes, "item_id", "q")
+
+
 @query("SELECT doc_id, w AS name FROM documents, (VALUES ('thing'), ('station'), ('the')) v(w) WHERE regexp_matches(text, '(?i)\\b' || w || '\\b') AND lang = 'en'".replace("\\\\", "\\"))
 def names_in_prose(t: Tables) -> DataFrame:
     wanted = F.explode(F.array(*[F.lit(w) for w in ("thing", "station", "the")])).alias("name")

@@ -166,7 +166,7 @@ def years_of(orders: DataFrame) -> DataFrame:
     return orders.select("o_orderkey", vl.first_year(c).alias("y"), vl.year_of(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("iso_year"), F.when(y < 1994, "a").when(y < 1997, "b").otherwise("c").alias("band"))
 
 
-@query("SELECT p_partkey, 1900 + p_partkey % 150 AS y, CASE WHEN y < 1947 THEN 'pre-independence' WHEN y < 1965 THEN 'nehruvian-era' WHEN y < 1985 THEN 'late-license-raj' WHEN y < 2005 THEN 'reform-era' ELSE 'post-reform' END AS period, (y // 10) * 10 AS decade FROM part")
+@query("SELECT p_partkey, 1900 + p_partkey % 150 AS y, CASE WHEN y <= 1947 THEN 'pre-independence' WHEN y < 1965 THEN 'nehruvian-era' WHEN y < 1985 THEN 'late-license-raj' WHEN y < 2005 THEN 'reform-era' ELSE 'post-reform' END AS period, (y // 10) * 10 AS decade FROM part")
 def periods(t: Tables) -> DataFrame:
     y = (1900 + F.col("p_partkey") % 150).alias("y")
     return t.part.select("p_partkey", y).select("p_partkey", "y", vl.period_of(F.col("y")).alias("period"), vl.decade(F.col("y")).cast("long").alias("decade"))
@@ -359,9 +359,21 @@ def pages_in_order(lines: DataFrame) -> DataFrame:
     return li.withColumn("f", F.element_at(fixed, 1)).select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "f.page_start", "f.page_end")
 
 
-@query("SELECT p_partkey, CASE WHEN p_size % 2 = 0 AND p_name LIKE '% %' THEN 'title mark' END AS reason FROM part")
+@query(
+    r("""WITH n AS (SELECT p_partkey, CASE p_size % 8 WHEN 0 THEN replace(p_name, ' ', ': ') WHEN 1 THEN replace(p_name, ' ', ' - ') WHEN 2 THEN replace(p_name, ' ', ' on ') WHEN 3 THEN p_name || '?'
+  WHEN 4 THEN 'How I ' || p_name WHEN 5 THEN p_name || repeat('x', 60) WHEN 6 THEN p_name || ' a b c d' ELSE p_name END AS name FROM part),
+c AS (SELECT *, len(regexp_split_to_array(trim(name), '\\s+')) AS words, 'matches title pattern ' || chr(39) AS p, 'starts with article phrase ' || chr(39) AS s, chr(39) AS q FROM n)
+SELECT p_partkey, CASE WHEN words > 5 THEN 'name is ' || words || ' words' WHEN contains(name, ' - ') THEN p || '-' || q WHEN contains(name, ' on ') THEN p || 'on' || q
+  WHEN contains(name, ': ') THEN p || ':' || q WHEN contains(name, ' – ') THEN p || '–' || q WHEN contains(name, '?') THEN p || chr(92) || '?' || q WHEN contains(name, '!') THEN p || '!' || q
+  WHEN lower(trim(name)) LIKE 'how i %' THEN s || 'how i ' || q WHEN lower(trim(name)) LIKE 'the new %' THEN s || 'the new ' || q
+  WHEN length(name) > 60 THEN 'name is ' || length(name) || ' chars long' END AS reason FROM c""")
+)
 def fake_names(t: Tables) -> DataFrame:
-    return t.part.select("p_partkey", quality.fake_name(F.when(F.col("p_size") % 2 == 0, F.replace("p_name", F.lit(" "), F.lit(": "))).otherwise(F.col("p_name"))).alias("reason"))
+    n, k = F.col("p_name"), F.col("p_size") % 8
+    put = lambda by: F.replace(n, F.lit(" "), F.lit(by))
+    name = F.when(k == 0, put(": ")).when(k == 1, put(" - ")).when(k == 2, put(" on ")).when(k == 3, F.concat(n, F.lit("?"))).when(k == 4, F.concat(F.lit("How I "), n))
+    name = name.when(k == 5, F.concat(n, F.lit("x" * 60))).when(k == 6, F.concat(n, F.lit(" a b c d"))).otherwise(n)
+    return t.part.select("p_partkey", quality.fake_name(name).alias("reason"))
 
 
 @query("SELECT word AS value, n, CASE WHEN word IN ('red', 'blue') THEN 'accepted' WHEN NOT regexp_matches(word, '^[a-z][a-z0-9]*$') THEN 'bad-shape' ELSE 'candidate' END AS bucket FROM (SELECT unnest(string_split(p_name || ' X' || p_size, ' ')) AS word, count(*) AS n FROM part GROUP BY 1)")

@@ -111,7 +111,7 @@ def test_first_year(spark, s, want):
     assert one(spark, values.first_year(F.col("s")), s=s) == want
 
 
-@pytest.mark.parametrize("y, want", [(1947, "nehruvian-era"), (1946, "pre-independence"), (1964, "nehruvian-era"), (1965, "late-license-raj"), (1984, "late-license-raj"), (1985, "reform-era"), (2004, "reform-era"), (2005, "post-reform"), (None, None)])
+@pytest.mark.parametrize("y, want", [(1947, "pre-independence"), (1948, "nehruvian-era"), (1964, "nehruvian-era"), (1965, "late-license-raj"), (1984, "late-license-raj"), (1985, "reform-era"), (2004, "reform-era"), (2005, "post-reform"), (None, None)])
 def test_periods(spark, y, want):
     assert one(spark, values.period_of(F.col("y")), y=(y, "int")) == want
 
@@ -193,7 +193,12 @@ def test_validation(spark):
 
 def test_fake_names(spark):
     assert one(spark, quality.fake_name(F.col("n")), n="How I Learned To Love The Market") == "name is 7 words"
-    assert one(spark, quality.fake_name(F.col("n")), n="Trade: A View") == "title mark"
+    assert one(spark, quality.fake_name(F.col("n")), n="Trade: A View") == "matches title pattern ':'"
+    assert one(spark, quality.fake_name(F.col("n")), n="A.D. Shroff - Champion") == "matches title pattern '-'"
+    assert one(spark, quality.fake_name(F.col("n")), n="Who was he?") == "matches title pattern '\\?'"
+    assert one(spark, quality.fake_name(F.col("n")), n="The New Deal") == "starts with article phrase 'the new '"
+    assert one(spark, quality.fake_name(F.col("n")), n="x" * 61) == "name is 61 chars long"
+    assert one(spark, quality.fake_name(F.col("n")), n="A & B") is None and one(spark, quality.fake_name(F.col("n")), n="") is None
     assert one(spark, quality.fake_name(F.col("n")), n="Minoo Masani") is None
 
 
