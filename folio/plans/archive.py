@@ -80,7 +80,8 @@ FROM i JOIN f USING (term), s GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT
 def search_documents(t: Tables) -> DataFrame:
     docs = tokenised(t)
     n, mean = docs.agg(F.count(F.lit(1)), F.avg(F.size("tokens"))).first()
-    return related.search(related.inverted_index(docs, "doc_id", "tokens", ["source"]), "doc_id", ["ering", "thing", "eran", "station"], n, mean or 1.0)
+    terms = ["ering", "thing", "eran", "station"]
+    return related.search(related.inverted_index(docs, "doc_id", "tokens", ["source"], terms), "doc_id", terms, n, mean or 1.0)
 
 
 @query("SELECT doc_id, source, n_chars FROM documents WHERE lang = 'en' AND NOT (n_chars < 60)")
