@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,13 +31,16 @@ def content_hash(body: Column) -> Column:
 def upsert(spark: SparkSession, batch: DataFrame, table: str, staging: str, blocked: DataFrame, bot: str, key: str = "slug") -> DataFrame:
     """Write a batch's creates and updates over the table at a path; returns counts by action.
 
-    The whole next state is written beside and then moved in place, so a batch that fails leaves the old one. A key that comes
-    twice in a batch takes its last item.
+    The whole next state is written beside; then the old one is moved aside and the next in place. A batch that fails at any point
+    leaves one of the two, which the next call finds. A key that comes twice in a batch takes its last item.
     """
     fs = spark.sparkContext._jvm.org.apache.hadoop.fs
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     path = lambda p: fs.Path(p)
     disk = path(table).getFileSystem(conf)
+    aside = path(f"{table}-before")
+    if disk.exists(aside) and not disk.exists(path(table)):  # a call ended between the two moves
+        disk.rename(aside, path(table))
     empty = spark.createDataFrame([], f"{key} string, link string, body string, hash string, email string, login string")
     state = spark.read.schema(empty.schema).parquet(table) if disk.exists(path(table)) else empty
     items = by_rank(batch, [key], [F.col("seq").desc()]).drop("seq")
@@ -44,17 +49,21 @@ def upsert(spark: SparkSession, batch: DataFrame, table: str, staging: str, bloc
     kept = state.join(new.select(key), key, "left_anti")
     outcomes = marked.groupBy("action").agg(F.count(F.lit(1)).alias("n")).collect()  # five rows at most
     kept.unionByName(new).write.mode("overwrite").parquet(staging)
-    disk.delete(path(table), True)
-    disk.rename(path(staging), path(table))
+    disk.delete(aside, True)
+    if disk.exists(path(table)) and not disk.rename(path(table), aside):
+        raise OSError(f"{table} can't be moved aside")
+    if not disk.rename(path(staging), path(table)):
+        raise OSError(f"{staging} can't be moved in place")
+    disk.delete(aside, True)
     return spark.createDataFrame(outcomes, "action string, n long")
 
 
-def run(spark: SparkSession, source: str, schema: str, table: str, checkpoint: str, blocked: DataFrame, bot: str, most: int = 10):
-    """Mirror what is new in a folder of JSON items, `most` files in a micro-batch, then stop."""
+def run(spark: SparkSession, source: str, schema: str, table: str, checkpoint: str, blocked: DataFrame | Callable[[], DataFrame], bot: str, most: int = 10):
+    """Mirror what is new in a folder of JSON items, `most` files in a micro-batch, then stop. A callable is asked for the blocked addresses in each batch."""
     items = spark.readStream.schema(schema).option("maxFilesPerTrigger", most).json(source)
 
     def each(batch: DataFrame, number: int) -> None:
-        upsert(spark, batch, table, f"{table}-next", blocked, bot)
+        upsert(spark, batch, table, f"{table}-next", blocked() if callable(blocked) else blocked, bot)
 
     return items.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

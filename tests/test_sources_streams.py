@@ -185,3 +185,27 @@ def test_breaker_state():
     held.now = 240_000
     assert [tuple(x) for df in b.handleExpiredTimer(("k",), held, held) for x in df.itertuples(index=False)] == [("k", 240, False)]
     assert list(b.handleExpiredTimer(("k",), held, held)) == [] and rows((250, "failed")) == []
+
+
+def test_mirror_goes_on_after_a_crash_between_its_moves(spark, tmp_path):
+    table, batch = str(tmp_path / "table"), "slug string, link string, body string, seq long"
+    nobody = spark.createDataFrame([], "url string")
+    mirror.upsert(spark, spark.createDataFrame([("a", "l", "one", 1)], batch), table, f"{table}-next", nobody, "bot@x")
+    (tmp_path / "table").rename(tmp_path / "table-before")
+    mirror.upsert(spark, spark.createDataFrame([("b", "l", "two", 1)], batch), table, f"{table}-next", nobody, "bot@x")
+    assert sorted(r.slug for r in spark.read.parquet(table).collect()) == ["a", "b"]
+    assert not (tmp_path / "table-before").exists()
+
+
+def test_mirror_asks_for_the_blocked_in_each_batch(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    schema, asked = "slug string, link string, body string, seq long", []
+    for k in "ab":
+        (tmp_path / "in" / f"{k}.json").write_text(json.dumps({"slug": k, "link": f"http://x/{k}", "body": k, "seq": 1}))
+
+    def blocked():
+        asked.append(1)
+        return spark.createDataFrame([("HTTP://X/A",)], "url string")
+
+    mirror.run(spark, str(tmp_path / "in"), schema, str(tmp_path / "t"), str(tmp_path / "cp"), blocked, "bot@x", most=1).awaitTermination()
+    assert [r.slug for r in spark.read.parquet(str(tmp_path / "t")).collect()] == ["b"] and len(asked) == 2
