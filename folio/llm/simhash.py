@@ -9,6 +9,11 @@ table and the masked fingerprint. Large buckets are dealt out in blocks, each pa
 of every group only the links of a spanning forest are written, so a group of near copies costs links in proportion to
 its members. Components are then found by star contraction in the shared folder.
 
+Large groups of near copies meet under nearly all masks. So a first pass links what it can under a few masks, in time and
+rows linear in the fingerprints: each is held against those next to it in the order of its bucket and some pivots. The
+second pass then leaves out the buckets whose members are all of one component by then. Their pairs could add nothing, so
+the components are those of all pairs within the radius.
+
 A text may have several fingerprints of independent hashes; texts are linked if any two of the same number are near. One
 pair's bits differ by chance around what their likeness gives, so more fingerprints find what a larger radius would, with
 masks that grow by the number instead of doubling with each bit.
@@ -35,6 +40,8 @@ BITS = 64
 BLOCK = 2048
 #: Fingerprints that one task spells out under all masks.
 SPELLED = 20_000
+#: Masks of the first pass; fingerprints next to it in its bucket, and pivots of the bucket, that one is held against.
+FIRST, NEXT, PIVOTS = 8, 4, 16
 #: Bytes of a word that counts among a text's distinct words; shorter ones are the same in all texts of a language, whose
 #: fingerprints would then meet in more buckets than chance has them meet.
 LONG = 4
@@ -148,14 +155,67 @@ def groups(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[list[np.nd
         yield rest
 
 
-def links(classes: DataFrame, radius: int, scratch: Scratch) -> DataFrame:
-    """Links (a, b) of representatives that connect all fingerprints of one number within the radius. classes: which, fingerprint, rep, one row for each of the first two."""
-    table = F.posexplode(F.array(*[F.lit(m) for m in masks(radius)])).alias("__t", "__mask")
+def neighbours(bucket: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (places) within the radius in buckets that lie in stretches: one at most to a row before and one to a pivot, for each row."""
+    n, free, a, b = len(bucket), np.ones(len(bucket), dtype=bool), [], []
+    for k in range(1, min(NEXT + 1, n)):
+        at = np.flatnonzero((bucket[k:] == bucket[:-k]) & free[k:] & (np.bitwise_count(prints[k:] ^ prints[:-k]) <= radius))
+        free[at + k] = False
+        a.append(at)
+        b.append(at + k)
+    bounds = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [n]])
+    for s in np.flatnonzero(np.diff(bounds) > NEXT):
+        lo, hi = int(bounds[s]), int(bounds[s + 1])
+        free = np.ones(hi - lo, dtype=bool)
+        for p in np.unique(np.linspace(lo, hi - 1, PIVOTS).astype(int)):
+            at = np.flatnonzero(free & (np.bitwise_count(prints[lo:hi] ^ prints[p]) <= radius))
+            free[at] = False
+            a.append(np.full(len(at), p))
+            b.append(at + lo)
+    return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, dtype=int), np.zeros(0, dtype=int))
+
+
+def first_links(classes: DataFrame, n: int, radius: int) -> DataFrame:
+    """Links (a, b) within the radius that neighbours under the first masks give; some are missed. Large buckets are split by fingerprint."""
+
+    def connect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, prints, reps in groups(batches, 1):
+            a, b = neighbours(bucket, prints.view(np.uint64), radius)
+            ends = np.sort(np.stack([reps[a], reps[b]]), axis=0)
+            ends = np.unique(ends[:, ends[0] != ends[1]], axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in ends], names=["a", "b"])
+
+    dealt = spelled(classes, masks(radius)[:FIRST], "rep")
+    ordered = dealt.repartitionByRange(max(1, -(-n // SPELLED)), "bucket", "fingerprint").sortWithinPartitions("bucket", "fingerprint")
+    return ordered.mapInArrow(connect, "a long, b long").distinct()
+
+
+def spelled(classes: DataFrame, under: list[int], *more: str) -> DataFrame:
+    """bucket, fingerprint and more columns of each fingerprint under each mask. A bucket that two masked fingerprints share by chance costs a look at them."""
+    table = F.posexplode(F.array(*[F.lit(m) for m in under])).alias("__t", "__mask")
+    hashed = F.xxhash64("which", "__t", F.col("fingerprint").bitwiseAND(F.col("__mask")))
+    return classes.select("which", "fingerprint", *more, table).select(F.shiftrightunsigned(hashed, 16).alias("bucket"), "fingerprint", *more)
+
+
+def links(classes: DataFrame, radius: int, scratch: Scratch, known: DataFrame | None = None) -> DataFrame:
+    """Links (a, b) of representatives that connect all fingerprints of one number within the radius. classes: which, fingerprint, rep, one row for each of the first two.
+
+    `known` are links that hold anyhow; they come back among the others.
+    """
+    n = classes.count()
     # few bytes in the file, many rows under the masks: dealt out first, so that the tasks grow in number and not in size
-    classes = classes.repartition(max(1, -(-classes.count() // SPELLED)), "fingerprint")
-    dealt = classes.select("which", "fingerprint", "rep", table).select(F.xxhash64("which", "__t", F.col("fingerprint").bitwiseAND(F.col("__mask"))).alias("bucket"), "fingerprint", "rep")
-    sizes = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shared = dealt.join(sizes, "bucket").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    classes = classes.repartition(max(1, -(-n // SPELLED)), "fingerprint")
+    early = first_links(classes, n, radius)
+    early = scratch.save(early if known is None else early.unionByName(known), "early")
+    found = scratch.save(components(early, scratch, "early"), "found")
+    classes = scratch.save(classes.join(found, F.col("rep") == F.col("node"), "left").select("which", "fingerprint", "rep", F.coalesce("component", "rep").alias("part")), "parts")
+    # the join may have dealt the rows by rep or into few tasks
+    classes = classes.repartition(max(1, -(-n // SPELLED)), "fingerprint")
+    dealt = spelled(classes, masks(radius), "rep", "part")
+    open_ = dealt.groupBy("bucket").agg(F.min("part").alias("least"), F.max("part").alias("most")).filter("least < most").select("bucket")
+    shared = scratch.save(dealt.join(open_, "bucket").select("bucket", "fingerprint", "rep"), "shared")
+    sizes = shared.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK)
+    shared = shared.join(sizes, "bucket", "left").withColumn("blocks", F.coalesce(F.ceil(F.col("n") / BLOCK), F.lit(1)).cast("int"))
     own = F.pmod(F.xxhash64(F.lit(3), "fingerprint"), F.col("blocks")).cast("int")
     blocked = (
         shared.withColumn("own", own)
@@ -182,16 +242,16 @@ def links(classes: DataFrame, radius: int, scratch: Scratch) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a).astype(np.int64)), pa.array(np.concatenate(b).astype(np.int64))], names=["a", "b"])
 
     ordered = blocked.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "fingerprint")
-    return scratch.save(ordered.mapInArrow(connect, "a long, b long").distinct(), "links")
+    return scratch.save(ordered.mapInArrow(connect, "a long, b long").distinct(), "links").unionByName(early)
 
 
-def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch, name: str = "star") -> DataFrame:
     """node, component (its smallest node) of an undirected graph, by large-star and small-star rounds.
 
     Nodes without an edge don't show. A round joins a node's links with its smallest neighbour, found by a
     partial aggregation, so a hub is split like any skewed join. The rounds grow as the logarithm of the size.
     """
-    now = scratch.save(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), "star0")
+    now = scratch.save(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), f"{name}0")
     before, k = None, 0
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -200,9 +260,9 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
         k += 1
-        following = scratch.save(small, f"star{k}")
+        following = scratch.save(small, f"{name}{k}")
         state = following.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        scratch.drop(f"star{k - 1}")
+        scratch.drop(f"{name}{k - 1}")
         if state == before:
             return following.select(F.col("u").alias("node"), F.col("v").alias("component"))
         now, before = following, state
@@ -218,9 +278,9 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", shin
     classes = scratch.save(made.groupBy("fingerprints").agg(F.min(F.col(key).cast("long")).alias("rep")), "classes")
     each = classes.select("rep", F.posexplode("fingerprints").alias("which", "fingerprint"))
     single = scratch.save(each.groupBy("which", "fingerprint").agg(F.min("rep").alias("rep")), "single")
-    found = links(single, radius, scratch)
+    known = None
     if count > 1:  # classes may share one fingerprint and not the others
-        found = found.unionByName(each.join(single.withColumnRenamed("rep", "a"), ["which", "fingerprint"]).filter("rep != a").select("a", F.col("rep").alias("b")))
-    found = components(found, scratch)
+        known = each.join(single.withColumnRenamed("rep", "a"), ["which", "fingerprint"]).filter("rep != a").select("a", F.col("rep").alias("b"))
+    found = components(links(single, radius, scratch, known), scratch)
     least = classes.join(found, F.col("rep") == F.col("node"), "left").select("fingerprints", F.coalesce("component", "rep").alias("component_id"))
     return made.join(least, "fingerprints").select(key, F.get("fingerprints", F.lit(0)).alias("fingerprint"), "component_id")
