@@ -120,6 +120,28 @@ def test_links_of_dense_groups(spark, block):
     assert {d: found.get(d, d) for d in prints} == plain_components(prints, 4)
 
 
+def test_neighbours_are_true_links():
+    """The first pass links only within a bucket and the radius, and finds a dense bucket whole."""
+    r = np.random.default_rng(3)
+    centre = np.uint64(0x0123456789ABCDEF)
+    dense = np.sort(np.array([centre ^ np.uint64(1 << int(b)) for b in r.permutation(64)[:40]], dtype=np.uint64))
+    prints = np.concatenate([dense, r.integers(0, 1 << 63, 30).astype(np.uint64), dense[:1]])
+    bucket = np.repeat([1, 2, 3], [40, 30, 1])
+    a, b = simhash.neighbours(bucket, prints, 4)
+    assert all(bucket[x] == bucket[y] and int(prints[x] ^ prints[y]).bit_count() <= 4 for x, y in zip(a, b, strict=True))
+    assert plain_reached({*range(40)}, zip(a.tolist(), b.tolist(), strict=True)) == {*range(40)}
+    assert len(simhash.neighbours(bucket[:1], prints[:1], 4)[0]) == 0
+
+
+def plain_reached(nodes, edges):
+    edges, reached = list(edges), {0}
+    while more := {y for x, y in edges if x in reached} | {x for x, y in edges if y in reached} - reached:
+        if more <= reached:
+            break
+        reached |= more
+    return reached & nodes
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(100, 140)] + [(200, x) for x in range(201, 260)] + [(7, 7), (5, 300), (300, 259)]
     found = {r.node: r.component for r in simhash.components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "test")).collect()}
