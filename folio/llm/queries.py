@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm import chat, fingerprints, linededup, lm, mixing, packing, quality, secrets, sharding, simhash
+from folio.llm import chat, fingerprints, linededup, lm, mixing, packing, quality, repair, secrets, sharding, simhash, spelling, sql, subword
 from folio.llm.common import read
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,8 +113,23 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance")
 
 
+def op11_sentencepiece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_path("piece_bpe_32k.model")
+    made = subword.decode(subword.encode(read(spark, sf_dir, "documents"), path), path, keep=("doc_id", "ids"))
+    spelled = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return made.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(spelled, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.report(read(spark, sf_dir, "conversations"), damage=True)
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_best_fit_packing, op2_sharding, op3_secret_scans, op4_chat_formatting, op5_document_fingerprints, op6_lm_scoring, op7_simhash_near_dedup, op8_line_dedup, op9_source_mixing, op10_quality_rules)
+    for f in (op1_best_fit_packing, op2_sharding, op3_secret_scans, op4_chat_formatting, op5_document_fingerprints, op6_lm_scoring, op7_simhash_near_dedup, op8_line_dedup, op9_source_mixing, op10_quality_rules, op11_sentencepiece_round_trip, op12_conversation_repair, op13_spelling_variants)
 }
-ORACLE = {"op4_chat_formatting": OP4_SQL}
+ORACLE = {"op4_chat_formatting": OP4_SQL, "op12_conversation_repair": sql.repair_sql(), "op13_spelling_variants": sql.spelling_sql()}
