@@ -10,7 +10,9 @@ order, and the leaf's token-prefix is every document that begins before the quot
 its quota by less than one document, and a leaf whose quota is what it holds keeps everything.
 
 Null levels are levels of their own. Documents without tokens add nothing and are chosen while the prefix lasts.
-Rows that tie in key and `ties` are taken together or in any order. An empty table gives an empty result.
+Rows that tie in key and `ties` are ordered by a hash of their text and the columns kept, so that the order of the input
+never matters. Very long texts only count. Names that begin with two underscores may be among the columns kept. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -76,9 +78,13 @@ def mix(df: DataFrame, levels: list[str], key: str = "doc_id", text: str = "text
     """
     spark = df.sparkSession
     made = ("n_tokens", "epoch", "start_token", "leaf_quota")
-    carried = [c for c in (keep or df.columns) if c not in made]
-    named = [c for c in dict.fromkeys([*carried, *levels, key, *ties]) if c in df.columns]
-    rows = df.select(*[F.col(c) for c in named], n_tokens(F.col(text)).alias("n_tokens"))
+    carried = [c for c in (keep or df.columns) if c.lower() not in made]
+    needed = [*levels, key, *ties]
+    # columns that are only carried get names that clash with none of those made here
+    inside_name = {c: c if c in needed else f"__c{i}" for i, c in enumerate(dict.fromkeys([*carried, *needed]))}
+    kinds = dict(df.dtypes)
+    hashed = [c for c in dict.fromkeys([text, *carried]) if "map<" not in kinds[c] and "variant" not in kinds[c]]
+    rows = df.select(*[F.col(f"`{c}`").alias(n) for c, n in inside_name.items()], n_tokens(F.col(text)).alias("n_tokens"), F.xxhash64(*[F.col(f"`{c}`") for c in hashed]).alias("__tie"))
     scratch = Scratch(spark, "mix")
     leaves = scratch.save(rows.groupBy(*levels).agg(F.sum("n_tokens").alias("__tokens"), F.count(F.lit(1)).alias("__rows")), "leaves")
     if budget is None:
@@ -98,10 +104,10 @@ def mix(df: DataFrame, levels: list[str], key: str = "doc_id", text: str = "text
         .withColumn("__before", F.coalesce(F.sum("__sum").over(Window.partitionBy(*levels, "epoch").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
         .drop("__sum")
     )
-    inside = Window.partitionBy(*spots).orderBy("__h", F.col(key), *ties).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*spots).orderBy("__h", F.col(key), *ties, "__tie").rowsBetween(Window.unboundedPreceding, -1)
     before = scratch.save(before, "before")
     # dealt out by bucket even where the join has dealt the rows by leaf, which would do for the window
     placed = null_safe_join(dealt.repartition(*spots).withColumn("__in", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))), before, spots)
     start = F.col("epoch") * F.col("__tokens") + F.col("__before") + F.col("__in")
     chosen = placed.withColumn("start_token", start).filter(F.col("start_token") < F.col("leaf_quota") - 1e-6)
-    return chosen.select(*carried, *made)
+    return chosen.select(*[F.col(inside_name[c]).alias(c) for c in carried], *made)

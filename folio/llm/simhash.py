@@ -19,8 +19,8 @@ pair's bits differ by chance around what their likeness gives, so more fingerpri
 masks that grow by the number instead of doubling with each bit.
 
 Null text counts as empty. A text with fewer words than a shingle is one shingle; one without words has fingerprint
-zero and is linked like any other. Very long texts are hashed whole. Rows that share a doc_id are rows of one document's
-class. Extra columns go, so their names can't clash. An empty table gives an empty result.
+zero and is linked like any other. Very long texts are hashed whole. Rows that share a doc_id or have none are linked by
+their own texts. Extra columns go, so their names can't clash. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -87,8 +87,8 @@ def majority(hashes: np.ndarray) -> int:
     return int(np.packbits(set_ * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(df: DataFrame, text: str = "text", key: str = "doc_id", shingle: int | None = 5, count: int = 1) -> DataFrame:
-    """key, fingerprints (signed 64 bits each): one of shingles, or `count` of words."""
+def fingerprints(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), shingle: int | None = 5, count: int = 1) -> DataFrame:
+    """`keep` columns, fingerprints (signed 64 bits each): one of shingles, or `count` of words."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -96,9 +96,9 @@ def fingerprints(df: DataFrame, text: str = "text", key: str = "doc_id", shingle
             found = [word_fingerprints(t, count) if shingle is None else [fingerprint(t, shingle)] for t in texts]
             n = count if shingle is None else 1
             flat = pa.array(np.array(found, dtype=np.uint64).reshape(-1).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, n), pa.int32()), flat)], names=[key, "fingerprints"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, n), pa.int32()), flat)], names=[*keep, "fingerprints"])
 
-    return df.select(F.col(text), F.col(key)).mapInArrow(make, f"`{key}` {df.schema[key].dataType.simpleString()}, fingerprints array<long>")
+    return df.select(F.col(text), *keep).mapInArrow(make, ", ".join([*[f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep], "fingerprints array<long>"]))
 
 
 def masks(radius: int, seed: int = 9) -> list[int]:
@@ -268,19 +268,27 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "star") -> DataFr
         now, before = following, state
 
 
-def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", shingle: int | None = 5, radius: int = 4, count: int = 1) -> DataFrame:
+def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", shingle: int | None = 5, radius: int = 4, count: int = 1, tie: str | None = None) -> DataFrame:
     """key, fingerprint (the first), component_id (the smallest key that links of `radius` differing bits or fewer reach): one row for each row.
 
-    The key is an integer.
+    The key is an integer. Rows without one link others like any row; their component_id is null where no row of the component has a key.
+    With `tie`, a column that tells rows of one key apart, also that column, n (rows that are equal in key and tie) and
+    `stays`: whether the row is the component's first by key (nulls last) and tie.
     """
     scratch = Scratch(df.sparkSession, "simhash")
-    made = scratch.save(fingerprints(df, text, key, shingle, count), "fingerprints")
-    classes = scratch.save(made.groupBy("fingerprints").agg(F.min(F.col(key).cast("long")).alias("rep")), "classes")
+    keep = (key,) if tie is None else (key, tie)
+    made = scratch.save(fingerprints(df, text, keep, shingle, count), "fingerprints")
+    place = F.struct(F.col(key).isNull().alias("none"), F.col(key).cast("long").alias("key"), *([F.col(tie).alias("tie")] if tie else []))
+    # a class's own number, fixed once it is written
+    classes = scratch.save(made.groupBy("fingerprints").agg(F.min(place).alias("first")).withColumn("rep", F.monotonically_increasing_id()), "classes")
     each = classes.select("rep", F.posexplode("fingerprints").alias("which", "fingerprint"))
     single = scratch.save(each.groupBy("which", "fingerprint").agg(F.min("rep").alias("rep")), "single")
     known = None
     if count > 1:  # classes may share one fingerprint and not the others
         known = each.join(single.withColumnRenamed("rep", "a"), ["which", "fingerprint"]).filter("rep != a").select("a", F.col("rep").alias("b"))
     found = components(links(single, radius, scratch, known), scratch)
-    least = classes.join(found, F.col("rep") == F.col("node"), "left").select("fingerprints", F.coalesce("component", "rep").alias("component_id"))
-    return made.join(least, "fingerprints").select(key, F.get("fingerprints", F.lit(0)).alias("fingerprint"), "component_id")
+    grouped = scratch.save(classes.join(found, F.col("rep") == F.col("node"), "left").select("fingerprints", "first", F.coalesce("component", "rep").alias("component")), "grouped")
+    least = grouped.select("fingerprints", "component").join(grouped.groupBy("component").agg(F.min("first").alias("first")), "component").select("fingerprints", "first")
+    rows = made if tie is None else made.groupBy(*keep, "fingerprints").agg(F.count(F.lit(1)).alias("n"))
+    more = [] if tie is None else [F.col(tie), F.col("n"), place.eqNullSafe(F.col("first")).alias("stays")]
+    return rows.join(least, "fingerprints").select(key, F.get("fingerprints", F.lit(0)).alias("fingerprint"), F.col("first.key").alias("component_id"), *more)

@@ -54,7 +54,7 @@ def prefixes(words: DataFrame, scratch: Scratch) -> DataFrame:
     ranked = grams.join(order, "gram").groupBy("word").agg(F.sort_array(F.collect_list(F.struct("places", "gram", "place"))).alias("all"))  # as many as the word has letters
     last = F.get("all", F.lit(RAREST - 1))
     rare = F.filter("all", lambda x: (x["places"] < last["places"]) | ((x["places"] == last["places"]) & (x["gram"] <= last["gram"])))
-    return ranked.select("word", F.when(F.size("all") < RAREST, F.col("all.place")).otherwise(F.transform(rare, lambda x: x["place"])).alias("places"))
+    return ranked.select("word", F.transform(rare, lambda x: x["place"]).alias("places"))
 
 
 def zones(places: DataFrame, shorter: list[int]) -> DataFrame:
@@ -101,8 +101,10 @@ def spelling_variants(df: DataFrame, text: str = "text", key: str = "doc_id", le
     """word, form, root, n, n_near, form_n of every word.
 
     The form is the most frequent near word (of several the smallest), if its count is `ratio` times the word's own or
-    more; the root is what following the forms ends at. Both directions of every near pair count.
+    more; the root is what following the forms ends at. Words have RAREST bigrams at least; the ratio is above 1.
     """
+    if least_letters <= RAREST or ratio <= 1:
+        raise ValueError(f"words need more than {RAREST} letters, and a ratio above 1 keeps forms from going in circles")
     scratch = Scratch(df.sparkSession, "spelling")
     words = scratch.save(counted_words(df, text, key, least_letters, least_count, every), "words")
     pairs = scratch.save(near_pairs(words.select("word"), scratch), "pairs")
