@@ -270,16 +270,21 @@ def token_set_ratio(a: str, b: str) -> float:
     return max(indel_ratio(p, q) for p, q in ((texts[0], texts[1]), (texts[0], texts[2]), (texts[1], texts[2])))
 
 
+def common_letters(a: str, b: str) -> int:
+    """Length of the longest common subsequence. The bits of one number stand for the letters of a, so each letter of b is one step."""
+    places: dict[str, int] = {}
+    for i, ch in enumerate(a):
+        places[ch] = places.get(ch, 0) | 1 << i
+    whole = free = (1 << len(a)) - 1
+    for ch in b:
+        hit = free & places.get(ch, 0)
+        free = (free + hit | free - hit) & whole
+    return len(a) - free.bit_count()
+
+
 def indel_ratio(a: str, b: str) -> float:
     """100 times twice the longest common subsequence by both lengths."""
-    if not a and not b:
-        return 100.0
-    row = [0] * (len(b) + 1)
-    for ch in a:
-        diagonal = 0
-        for j, other in enumerate(b, 1):
-            diagonal, row[j] = row[j], diagonal + 1 if ch == other else max(row[j], row[j - 1])
-    return 200.0 * row[-1] / (len(a) + len(b))
+    return 200.0 * common_letters(a, b) / (len(a) + len(b)) if a or b else 100.0
 
 
 @F.pandas_udf(T.DoubleType())

@@ -8,23 +8,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from folio.operators.titles import best_titles, shape
+from folio.scratch import Scratch
 
-def nearest_titles(misses: DataFrame, key: str, title: str, inventory: DataFrame, other: str, other_title: str, score: Callable[[Column, Column], Column], top: int = 3) -> DataFrame:
-    """key, other, score, rank: for each miss the `top` titles of the best score, whatever their year.
 
-    Titles are normalised. Only titles that share a word are scored, each two different ones once, however many rows have them; what shares none
-    isn't offered. Equal scores are taken in the order of `other`.
+def nearest_titles(misses: DataFrame, key: str, title: str, inventory: DataFrame, other: str, other_title: str, top: int = 3) -> DataFrame:
+    """key, other, score, rank: for each miss the `top` titles of the best token-set ratio (cut to whole numbers), whatever their year and whether or not they share a word.
+
+    Titles are normalised. Equal scores are taken in the order of `other`.
     """
-    words = lambda df, t: df.select(t, F.explode(F.array_distinct(F.filter(F.split(t, " "), lambda w: w != ""))).alias("__w"))
-    mine = misses.select(F.col(title).alias("__t")).distinct()
+    scratch = Scratch(misses.sparkSession, "nearest")
+    mine = misses.select(F.lit(0).alias("part"), shape(F.col(title)).alias("title"))
     # of rows with one title no more than `top` can count
-    first = Window.partitionBy(other_title).orderBy(other)
-    few = inventory.select(F.col(other), F.col(other_title).alias("__o"), F.row_number().over(first).alias("__n")).filter(F.col("__n") <= top).drop("__n")
-    pairs = words(mine, "__t").join(words(few.select("__o").distinct(), "__o"), "__w").select("__t", "__o").distinct()
-    scored = pairs.withColumn("score", F.floor(score(F.col("__t"), F.col("__o"))).cast("int"))
+    first = Window.partitionBy("__o").orderBy(other)
+    rows = inventory.select(F.col(other), shape(F.col(other_title)).alias("__o")).withColumn("__n", F.row_number().over(first)).filter(F.col("__n") <= top)
+    stock = rows.filter("__n = 1").select(F.lit(0).alias("part"), F.col("__o").alias("title"), F.col(other).alias("least"))
+    found = best_titles(mine, stock, top, whole=True, scratch=scratch)
     w = Window.partitionBy("__t").orderBy(F.col("score").desc(), other)
-    best = scored.join(few, "__o").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
-    return misses.select(key, F.col(title).alias("__t")).join(best, "__t").select(key, other, "score", "rank")
+    best = found.select(F.col("title").alias("__t"), F.col("other_title").alias("__o"), F.col("score").cast("int").alias("score")).join(rows.drop("__n"), "__o").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
+    return misses.select(key, shape(F.col(title)).alias("__t")).join(best, "__t").select(key, other, "score", "rank")
 
 
 def already_known(records: DataFrame, key: str, additions: str, lookup: DataFrame, name: str, slug: str) -> DataFrame:

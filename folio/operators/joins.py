@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from folio.operators.titles import best_titles, shape
+
 
 def first_writer_wins(aliases: DataFrame, key: str, value: str, order: list[str]) -> DataFrame:
     """One value for each key, that of the smallest order."""
@@ -94,21 +96,23 @@ def expand_aliases(base: DataFrame, key: str, value: str, order: str) -> DataFra
     return rows.withColumn("__n", F.row_number().over(w)).filter("__n = 1").select(key, value)
 
 
-def fuzzy_tiers(left: DataFrame, right: DataFrame, score: Callable[[Column, Column], Column], high: float = 92, medium: float = 80, tried: int = 5) -> DataFrame:
+def fuzzy_tiers(left: DataFrame, right: DataFrame, high: float = 92, medium: float = 80, tried: int = 5) -> DataFrame:
     """left(id, slug, title, year, surname) by right(rid, rslug, rtitle, ryear, byline, url): id, rid, tier.
 
     Equal slugs are exact (page-only without a url). The rest is compared inside the same year only; of each left row
     the best `tried` count: high from `high` on, medium from `medium` on if the surname stands in the byline.
-    Each two different titles of a year are scored once, however many rows have them.
+    Each two different titles of a year are compared once, however many rows have them, and scored only while they can be among the best.
     """
     exact = left.join(right, F.col("slug") == F.col("rslug")).select("id", "rid", F.when(F.col("url").isNotNull(), "exact").otherwise("page-only").alias("tier"), F.lit(0).alias("rank"))
-    titles = left.select("year", "title").distinct().join(right.select("ryear", "rtitle").distinct(), F.col("year") == F.col("ryear")).withColumn("score", score(F.col("title"), F.col("rtitle")))
+    shaped = right.select("rid", F.col("ryear").alias("year"), shape(F.col("rtitle")).alias("rtitle"), "byline").filter("year is not null")
     # of rows with one title no more than `tried` can count
-    first = Window.partitionBy("ryear", "rtitle").orderBy("rid")
-    few = right.withColumn("__n", F.row_number().over(first)).filter(F.col("__n") <= tried).select("rid", "ryear", "rtitle", "byline")
+    few = shaped.withColumn("__n", F.row_number().over(Window.partitionBy("year", "rtitle").orderBy("rid"))).filter(F.col("__n") <= tried)
+    mine = left.select("id", "year", shape(F.col("title")).alias("title"), "surname")
+    stock = few.filter("__n = 1").select(F.col("year").alias("part"), F.col("rtitle").alias("title"), F.col("rid").alias("least"))
+    found = best_titles(mine.select(F.col("year").alias("part"), "title"), stock, tried)
     w = Window.partitionBy("year", "title").orderBy(F.col("score").desc(), "rid")
-    top = titles.join(few, ["ryear", "rtitle"]).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= tried)
-    best = left.select("id", "year", "title", "surname").join(top.select("year", "title", "rid", "byline", "score", "rank"), ["year", "title"])
+    top = found.select(F.col("part").alias("year"), "title", F.col("other_title").alias("rtitle"), "score").join(few, ["year", "rtitle"]).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= tried)
+    best = mine.join(top.select("year", "title", "rid", "byline", "score", "rank"), ["year", "title"])
     tier = F.when(F.col("score") >= high, "high").when((F.col("score") >= medium) & (F.col("surname") != "") & F.contains(F.lower("byline"), F.lower("surname")), "medium")
     rest = best.withColumn("tier", tier).filter("tier is not null").select("id", "rid", "tier", "rank")
     order = Window.partitionBy("id").orderBy("rank", "rid")

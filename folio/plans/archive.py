@@ -8,9 +8,10 @@ from pyspark.sql.window import Window
 
 from folio.functions import text as tx
 from folio.functions import values as vl
-from folio.operators import facets, related
+from folio.operators import cosine, facets, related
 from folio.operators.order import rank_over
 from folio.plans.base import Tables, query, without
+from folio.scratch import Scratch
 
 STOP_SQL = ", ".join(f"'{w}'" for w in tx.STOPWORDS)
 #: The token rule in DuckDB; the documents have no markup but marks.
@@ -35,8 +36,8 @@ v AS MATERIALIZED (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY d
 
 
 def vectors(t: Tables) -> tuple[DataFrame, DataFrame]:
-    docs = tokenised(t).filter(F.size("tokens") >= 20)
-    return docs, related.weights(related.term_counts(docs, "doc_id", "tokens"), "doc_id", docs.count())
+    counts = Scratch(t.spark, "vectors").save(related.term_counts(tokenised(t), "doc_id", "tokens"), "counts")
+    return t.documents.select("doc_id", "source"), related.weights(counts, "doc_id")
 
 
 @query(
@@ -49,7 +50,7 @@ SELECT a, rank, b, collection, round(s, 4) AS score FROM k WHERE rank <= 5"""
 )
 def related_documents(t: Tables) -> DataFrame:
     docs, vec = vectors(t)
-    return related.top_related(related.similar_pairs(vec, "doc_id"), docs, "doc_id", "source")
+    return related.top_related(cosine.nearest(vec, "doc_id", docs, "source"), docs, "doc_id", "source")
 
 
 @query(VECTORS_SQL + " SELECT doc_id, count(*) AS terms, round(sum(weight), 6) AS total FROM v GROUP BY doc_id")

@@ -412,7 +412,7 @@ def page_markdown(t: Tables) -> DataFrame:
 def fuzzy_titles(t: Tables) -> DataFrame:
     a = t.part.select(F.col("p_partkey").alias("id"), names.n2_kebab(F.concat_ws(" ", "p_name", "p_brand")).alias("slug"), F.concat_ws(" ", "p_name", "p_type").alias("title"), F.col("p_size").alias("year"), F.element_at(F.split("p_name", " "), -1).alias("surname"))
     b = t.part.select(F.col("p_partkey").alias("rid"), names.n2_kebab(F.concat_ws(" ", "p_name", "p_brand")).alias("rslug"), F.concat_ws(" ", "p_type", "p_name").alias("rtitle"), F.col("p_size").alias("ryear"), F.col("p_name").alias("byline"), F.when(F.col("p_partkey") % 2 == 0, "u").alias("url"))
-    return joins.fuzzy_tiers(a, b, tx.token_set_score)
+    return joins.fuzzy_tiers(a, b)
 
 
 @query("SELECT coalesce(event_type, '?') AS event_type, coalesce(props_key, '?') AS k, count(*) AS n FROM (SELECT event_type, json_keys(props)[1] AS props_key FROM events) GROUP BY 1, 2")

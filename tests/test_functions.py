@@ -159,7 +159,7 @@ def test_alias_expansion(spark):
 def test_fuzzy_tiers(spark):
     left = spark.createDataFrame([(1, "same", "x", 1980, ""), (2, "q", "indian currency reform proposals", 1952, "shenoy"), (3, "r", "blueprint for eradication of poverty", 1980, ""), (4, "s", "unrelated words here", 1980, ""), (5, "t", "blueprint for eradication of poverty", None, "")], "id int, slug string, title string, year int, surname string")
     right = spark.createDataFrame([(10, "same", "zzz", 1900, "", None), (11, "o", "proposals for indian currency stabilisation", 1952, "B. R. Shenoy", "u"), (12, "p", "blueprint for eradication of poverty 1980", 1980, "", "u")], "rid int, rslug string, rtitle string, ryear int, byline string, url string")
-    got = {r.id: (r.rid, r.tier) for r in joins.fuzzy_tiers(left, right, text.token_set_score).collect()}
+    got = {r.id: (r.rid, r.tier) for r in joins.fuzzy_tiers(left, right).collect()}
     assert got == {1: (10, "page-only"), 2: (11, "medium"), 3: (12, "high")}
 
 

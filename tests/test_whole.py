@@ -36,7 +36,7 @@ def test_fuzzy_tiers_equal_brute_force(spark):
             if tier:
                 want[i] = (rid, tier)
                 break
-    assert {r.id: (r.rid, r.tier) for r in joins.fuzzy_tiers(a, b, text.token_set_score).collect()} == want
+    assert {r.id: (r.rid, r.tier) for r in joins.fuzzy_tiers(a, b).collect()} == want
 
 
 @pytest.mark.parametrize(("name", "table"), [("sorted_listing_all", "orders"), ("years_all", "orders"), ("polymorphic_references_all", "lineitem"), ("page_order_all", "lineitem")])
