@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from folio.llm.common import Scratch, free_name, spread_rank
 
 #: Words whose ids a worker remembers at a time.
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 
 
 class TightestBin:
