@@ -1,5 +1,6 @@
 """Author notes, links and headers, nearest titles, the refetched allow-list."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from folio.functions import text as tx
@@ -56,7 +57,7 @@ def test_nearest_titles(spark):
     assert sorted(map(tuple, got.collect())) == sorted(want)
 
 
-def test_refetched(spark):
+def test_refetched(spark, tmp_path):
     clock, said = [0.0], {"rows": [("a",)], "error": None}
 
     def read():
@@ -64,7 +65,7 @@ def test_refetched(spark):
             raise said["error"]
         return spark.createDataFrame(said["rows"], "email string")
 
-    allowed = Refetched(spark, read, "email string", 60, most=2, now=lambda: clock[0])
+    allowed = Refetched(spark, read, "email string", 60, str(tmp_path / "list"), now=lambda: clock[0])
     emails = lambda: sorted(r.email for r in allowed().collect())
     said["error"] = OSError("away")
     assert emails() == []
@@ -77,5 +78,10 @@ def test_refetched(spark):
     assert emails() == ["a"]
     said["error"] = None
     assert emails() == ["b"]
-    clock[0], said["rows"] = 200, [("c",)] * 3
-    assert emails() == ["b"] and "more than 2" in str(allowed.failed)
+    clock[0], said["rows"] = 200, [(f"c{i}",) for i in range(20_000)]
+    assert allowed().count() == 20_000
+    said["error"] = OSError("away")
+    again = Refetched(spark, read, "email string", 60, str(tmp_path / "list"), needed=True)
+    assert again().count() == 20_000 and again.failed is said["error"]
+    with pytest.raises(OSError):
+        Refetched(spark, read, "email string", 60, str(tmp_path / "other"), needed=True)()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folio.functions import names
 from folio.sources import dump, files, pages
-from folio.streaming import breaker, mirror
+from folio.streaming import breaker, mirror, versions
 
 
 def test_entries(spark, tmp_path):
@@ -98,7 +98,7 @@ def test_mirror_twice_is_once(spark, tmp_path):
     item = lambda slug, body, seq=1: {"slug": slug, "link": f"http://X/{slug}", "body": body, "seq": seq}
     (src / "1.json").write_text("\n".join(json.dumps(x) for x in (item("a", "one\nimported_on: 2026-01-01"), item("b", "two"), item("c", "blocked"), item("a", "late", 0))))
     blocked = spark.createDataFrame([("http://x/C",)], "url string")
-    state = lambda: {r.slug: r.body for r in spark.read.parquet(table).collect()}
+    state = lambda: {r.slug: r.body for r in mirror.mirror_table(spark, table).read().collect()}
     mirror.run(spark, str(src), schema, table, str(tmp_path / "cp"), blocked, "bot@x").awaitTermination()
     assert state() == {"a": "one\nimported_on: 2026-01-01", "b": "two"}
     mirror.run(spark, str(src), schema, table, str(tmp_path / "cp"), blocked, "bot@x").awaitTermination()
@@ -122,9 +122,9 @@ def test_commits(spark, tmp_path):
         (src / f"{k}.json").write_text("\n".join(json.dumps({"id": f"{k}-{i}"}) for i in range(9)))
     stream = spark.readStream.schema("id string").option("maxFilesPerTrigger", 1).json(str(src))
     calls = []
-    mirror.commit_in_batches(stream, str(tmp_path / "out"), str(tmp_path / "cp"), calls.append, least=15)
-    assert calls == [18, 9] and spark.read.parquet(str(tmp_path / "out")).count() == 27
-    assert mirror.new_ids(spark.createDataFrame([("0-0",), ("new",)], "id string"), spark.read.parquet(str(tmp_path / "out"))).count() == 1
+    ledger = mirror.commit_in_batches(stream, str(tmp_path / "out"), str(tmp_path / "cp"), lambda n, _: calls.append(n), least=15)
+    assert calls == [18, 9] and ledger.read("id string").count() == 27
+    assert mirror.new_ids(spark.createDataFrame([("0-0",), ("new",)], "id string"), ledger.read("id string")).count() == 1
 
 
 def test_breaker_batch(spark):
@@ -187,14 +187,89 @@ def test_breaker_state():
     assert list(b.handleExpiredTimer(("k",), held, held)) == [] and rows((250, "failed")) == []
 
 
-def test_mirror_goes_on_after_a_crash_between_its_moves(spark, tmp_path):
-    table, batch = str(tmp_path / "table"), "slug string, link string, body string, seq long"
+class Crash(Exception):
+    pass
+
+
+def crashing(monkeypatch, owner, name: str, at: int):
+    """Let the at-th call of a method die, before it does anything (odd) or after (even)."""
+    calls, real = [0], getattr(owner, name)
+
+    def dies(*args, **kwargs):
+        calls[0] += 1
+        if calls[0] == (at + 1) // 2 and at % 2:
+            raise Crash
+        out = real(*args, **kwargs)
+        if calls[0] == at // 2 and at % 2 == 0:
+            raise Crash
+        return out
+
+    monkeypatch.setattr(owner, name, dies)
+
+
+FEED = "slug string, link string, body string, seq long"
+
+
+@pytest.mark.parametrize(("name", "at"), [("append", 1), ("append", 2)])
+def test_mirror_killed_at_any_step_counts_once(spark, tmp_path, monkeypatch, name, at):
     nobody = spark.createDataFrame([], "url string")
-    mirror.upsert(spark, spark.createDataFrame([("a", "l", "one", 1)], batch), table, f"{table}-next", nobody, "bot@x")
-    (tmp_path / "table").rename(tmp_path / "table-before")
-    mirror.upsert(spark, spark.createDataFrame([("b", "l", "two", 1)], batch), table, f"{table}-next", nobody, "bot@x")
-    assert sorted(r.slug for r in spark.read.parquet(table).collect()) == ["a", "b"]
-    assert not (tmp_path / "table-before").exists()
+    put = lambda number, *rows: mirror.upsert(spark, spark.createDataFrame(list(rows), FEED), mirror.mirror_table(spark, str(tmp_path / "t"), buckets=4), f"feed-{number}", nobody, "bot@x")
+    put(0, ("a", "l", "one", 1), ("b", "l", "one", 1))
+    second = [("a", "l", "two", 1), ("c", "l", "new", 1), (None, "l", "x", 1), ("d", None, "x", 1), ("e", "l", None, 1)]
+    with monkeypatch.context() as m:
+        crashing(m, versions.Log, name, at)
+        with pytest.raises(Crash):
+            put(1, *second)
+    for _ in range(2):  # the replay, and one more
+        assert {r.action: r.n for r in put(1, *second).collect()} == {"update": 1, "create": 1, "failed": 3}
+    table = mirror.mirror_table(spark, str(tmp_path / "t"))
+    assert table.buckets == 4 and sorted((r.slug, r.body) for r in table.read().collect()) == [("a", "two"), ("b", "one"), ("c", "new")]
+
+
+def test_mirror_writes_only_what_changes(spark, tmp_path):
+    table, nobody = mirror.mirror_table(spark, str(tmp_path / "t"), buckets=8), spark.createDataFrame([], "url string")
+    rows = [(f"s{i}", "l", "one", 1) for i in range(60)]
+    mirror.upsert(spark, spark.createDataFrame(rows, FEED), table, "feed-0", nobody, "bot@x")
+    mirror.upsert(spark, spark.createDataFrame([("s7", "l", "two", 1)], FEED), table, "feed-1", nobody, "bot@x")
+    mirror.upsert(spark, spark.createDataFrame(rows[:3], FEED), table, "feed-2", nobody, "bot@x")
+    written = table.log.last()["versions"]
+    assert sorted(written.values()).count("1-feed-1") == 1 and set(written.values()) == {"0-feed-0", "1-feed-1"} and len(written) == 8
+    assert table.read().filter("body = 'two'").count() == 1 and table.read().count() == 60
+
+
+def test_two_writers_cannot_make_one_entry(spark, tmp_path, monkeypatch):
+    a, b = versions.Log(spark, str(tmp_path / "log")), versions.Log(spark, str(tmp_path / "log"))
+    a.append("x-0", {"n": 1})
+    seen = iter([[], ["000000000000-x-0.json"]])
+    monkeypatch.setattr(b, "names", lambda: next(seen))
+    with pytest.raises(OSError):
+        b.append("y-0", {"n": 2})
+    assert a.last()["n"] == 1 and a.names() == ["000000000000-x-0.json"]
+
+
+@pytest.mark.parametrize("at", range(1, 7))
+def test_ledger_killed_at_any_step_announces_each_row_once(spark, tmp_path, monkeypatch, at):
+    said = {}
+
+    def commit(rows: int, id_: str) -> None:
+        assert said.setdefault(id_, rows) == rows
+
+    batches = [spark.createDataFrame([(f"{k}-{i}",) for i in range(9)], "id string").coalesce(1) for k in range(3)]
+
+    def feed():
+        ledger = mirror.Ledger(spark, str(tmp_path / "out"), commit, least=15)
+        for k, batch in enumerate(batches):
+            ledger.add(batch, f"s-{k}")
+        ledger.finish()
+        return ledger
+
+    with monkeypatch.context() as m:
+        crashing(m, versions.Log, "append", at)
+        with pytest.raises(Crash):
+            feed()
+    for _ in range(2):
+        ledger = feed()
+    assert sum(said.values()) == 27 and ledger.read("id string").distinct().count() == ledger.read("id string").count() == 27
 
 
 def test_mirror_asks_for_the_blocked_in_each_batch(spark, tmp_path):
@@ -208,4 +283,4 @@ def test_mirror_asks_for_the_blocked_in_each_batch(spark, tmp_path):
         return spark.createDataFrame([("HTTP://X/A",)], "url string")
 
     mirror.run(spark, str(tmp_path / "in"), schema, str(tmp_path / "t"), str(tmp_path / "cp"), blocked, "bot@x", most=1).awaitTermination()
-    assert [r.slug for r in spark.read.parquet(str(tmp_path / "t")).collect()] == ["b"] and len(asked) == 2
+    assert [r.slug for r in mirror.mirror_table(spark, str(tmp_path / "t")).read().collect()] == ["b"] and len(asked) == 2
