@@ -7,19 +7,7 @@ from pyspark.sql import functions as F
 
 from folio.functions.names import ascii_fold
 
-# Headings and titles set in bold that look like names, and the forms of a note. An archive adds titles of its own.
-NOT_NAMES = [
-    "Introduction",
-    "References",
-    "Conclusion",
-    "Background",
-    "Way forward",
-    "Summing Up",
-    "The Witch-hunt",
-    "Need for Two Fleets",
-    "The Problem with the First-Past-the-Post System",
-    "Importance of Collective Action",
-]
+#: The forms of a note.
 PHOTO = r"!\[\]\((https?://[^)]+\.(?:jpg|jpeg|png|webp))\)\s*\n+\s*\*\*([^*\n]+?)\s*\*\*\s*\n+((?:[^\n]+\n?){1,15})"
 NAMED = r"\n\*\*([A-Z][A-Za-z. \-]{4,60}?)\s*\*\*\s*\n+([A-Z][^\n]{60,}(?:\n[^\n]+)*+)"
 PHOTO_OPENER = r"\n!\[\]\(https?://[^)]+\.(?:jpg|jpeg|png|webp)\)\s*\n+\s*\*\*([^*\n]+?)\s*\*\*\s*\n"
@@ -35,8 +23,8 @@ def every(c: Column, pattern: str, group: int) -> Column:
     return F.regexp_extract_all(c, F.lit(pattern), F.lit(group))
 
 
-def bio_block(body: Column, not_names: list[str] = NOT_NAMES, least: int = 80) -> Column:
-    """name, bio, photo_url of the last note of `least` characters or more; one with a photo comes before any without. Null if there is none."""
+def bio_block(body: Column, not_names: list[str], least: int = 80) -> Column:
+    """name, bio, photo_url of the last note (headings and titles set in bold that look like names are `not_names`, the archive's own list) of `least` characters or more; one with a photo comes before any without. Null if there is none."""
 
     def last(names: Column, bios: Column, photos: Column) -> Column:
         both = F.zip_with(names, bios, lambda n, b: F.struct(stripped(n).alias("name"), stripped(b).alias("bio")))
@@ -48,7 +36,7 @@ def bio_block(body: Column, not_names: list[str] = NOT_NAMES, least: int = 80) -
     return F.coalesce(last(every(body, PHOTO, 2), every(body, PHOTO, 3), every(body, PHOTO, 1)), last(named, every(body, NAMED, 2), no_photo))
 
 
-def without_bio(body: Column, not_names: list[str] = NOT_NAMES) -> Column:
+def without_bio(body: Column, not_names: list[str]) -> Column:
     """The body up to its last note, less the empty link that may stand before it. Without a note the body stays."""
 
     def last_opener(c: Column, pattern: str) -> Column:

@@ -98,17 +98,18 @@ def toc_drift(old: DataFrame, new: DataFrame, keys: list[str], title: str, page:
     return old.join(other, keys, "left").select(*keys, found.alias("drift")).filter(F.size("drift") > 0)
 
 
-#: Patterns of an article's title among names, and how such titles start.
+#: Patterns of an article's title among names.
 TITLE_PATTERNS = [" - ", " on ", ": ", " – ", r"\?", "!"]
-TITLE_STARTS = ["how i ", "the new ", "the hayek", "did bollywood", "an auxiliary", "indian liberal", "centre for civil"]
+#: How such titles start; an archive adds its own.
+TITLE_STARTS = ["how i ", "the new ", "an auxiliary"]
 
 
-def fake_name(name: Column) -> Column:
+def fake_name(name: Column, starts: list[str] = TITLE_STARTS) -> Column:
     """The first reason why a name looks like a title, else null."""
     words = F.size(F.split(F.regexp_replace(name, r"^\s+|\s+$", ""), r"\s+"))
     out = F.when(F.coalesce(name, F.lit("")) == "", F.lit(None).cast("string")).when(words > 5, F.concat_ws(" ", F.lit("name is"), words.cast("string"), F.lit("words")))
     for pattern in TITLE_PATTERNS:
         out = out.when(name.rlike(pattern), f"matches title pattern '{pattern.strip()}'")
-    for start in TITLE_STARTS:
+    for start in starts:
         out = out.when(F.lower(F.regexp_replace(name, r"^\s+", "")).startswith(start), f"starts with article phrase '{start}'")
     return out.when(F.char_length(name) > 60, F.concat_ws(" ", F.lit("name is"), F.char_length(name).cast("string"), F.lit("chars long"))).otherwise(F.lit(None).cast("string"))

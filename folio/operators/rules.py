@@ -32,9 +32,10 @@ def route_category(categories: Column, dropped: list[str], mapped: dict[str, str
 
 
 def language_of(primary: Column, secondary: Column, codes: dict[str, str], default: str = "en") -> Column:
-    """The first listed code whose name is among the terms, of the first taxonomy, then of the second."""
-    pick = lambda terms: F.coalesce(*[F.when(F.array_contains(terms, name), F.lit(code)) for name, code in codes.items()])
-    return F.coalesce(pick(primary), pick(secondary), F.lit(default))
+    """The code of the first term that has one. The second taxonomy counts only where the first is empty."""
+    known = F.create_map(*[F.lit(x) for kv in codes.items() for x in kv])
+    terms = F.when(F.coalesce(F.size(primary), F.lit(0)) > 0, primary).otherwise(secondary)
+    return F.coalesce(F.try_element_at(F.filter(F.transform(terms, lambda t: F.try_element_at(known, t)), lambda c: c.isNotNull()), F.lit(1)), F.lit(default))
 
 
 def title_of(*shapes: Column) -> Column:
@@ -49,8 +50,12 @@ def wants_curator(vision: Column, confidence: Column, stubs: Column, collisions:
 
 
 def real_name(name: Column, markers: list[str]) -> Column:
+    """Neither short nor long, of five words at most, without ? and !, and without a marker anywhere in it, letter for letter."""
     words = F.size(F.split(F.trim(F.regexp_replace(name, r"\s+", " ")), " "))
-    return F.char_length(name).between(3, 60) & ~name.rlike(r"[?!]") & ~F.lower(name).rlike("|".join(markers)) & (words <= 5)
+    out = F.char_length(name).between(3, 60) & ~name.rlike(r"[?!]") & (words <= 5)
+    for m in markers:
+        out = out & ~F.contains(F.lower(name), F.lit(m))
+    return out
 
 
 def route_roles(matches: Column) -> Column:
@@ -77,9 +82,15 @@ def split_labels(themes: Column, labels: dict[str, str]) -> Column:
     return F.struct(F.array_except(themes, names).alias("themes"), F.try_element_at(to, first).alias("channel"))
 
 
-def reset_body(body: Column, marker: str, placeholder: str) -> tuple[Column, Column]:
-    """A body with a marker of failed recognition is replaced and must be extracted anew."""
-    hit = F.coalesce(F.contains(body, F.lit(marker)), F.lit(False))
+#: What marks a body that was recognised page by page.
+OCR_MARKERS = ["## Original text", "OCR", "## Page "]
+
+
+def reset_body(body: Column, placeholder: str, markers: list[str] = OCR_MARKERS) -> tuple[Column, Column]:
+    """A body with any of the markers is replaced and must be extracted anew."""
+    hit = F.lit(False)
+    for m in markers:
+        hit = hit | F.coalesce(F.contains(body, F.lit(m)), F.lit(False))
     return F.when(hit, F.lit(placeholder)).otherwise(body), hit
 
 
@@ -96,14 +107,6 @@ def project_mentions(mentions: Column, excluded: Column) -> Column:
     return F.array_except(F.array_distinct(F.filter(mentions, lambda m: m.isNotNull())), excluded)
 
 
-def absorb_aliases(people: DataFrame, merged: DataFrame, key: str, name: str, aliases: str) -> DataFrame:
-    """people(key, name, aliases) after merged(loser, winner): winners take the losers' names and aliases, without their own name; losers go."""
-    losers = merged.join(people, F.col("loser") == F.col(key)).groupBy("winner").agg(F.flatten(F.collect_list(F.concat(F.array(name), aliases))).alias("__more"))
-    kept = people.join(merged.select(F.col("loser").alias(key)), key, "left_anti").join(losers, F.col(key) == F.col("winner"), "left")
-    more = F.coalesce("__more", F.array().cast("array<string>"))
-    return kept.select(key, name, F.array_sort(F.array_except(F.array_distinct(F.concat(aliases, more)), F.array(name))).alias(aliases))
-
-
 def stubs(matches: DataFrame, authority: DataFrame, key: str, origin: str) -> DataFrame:
     """key, outcome of each distinct match: reference for a pipeline stub, collision for a curated entry, created for an unknown one."""
     have = authority.select(F.col(key).alias("__k"), F.col(origin).alias("__o"), F.lit(True).alias("__there"))
@@ -111,20 +114,6 @@ def stubs(matches: DataFrame, authority: DataFrame, key: str, origin: str) -> Da
     return j.select(key, F.when(F.col("__there").isNull(), "created").when(F.col("__o") == "pipeline", "reference").otherwise("collision").alias("outcome"))
 
 
-def migrate(rows: DataFrame, target: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """Rows that can move because their key is free in the target, and those that can't."""
-    return rows.join(target.select(key), key, "left_anti"), rows.join(target.select(key), key, "left_semi")
-
-
-def verified_mentions(rows: DataFrame, quotes: str, body: str, role: str, least: dict[str, int]) -> DataFrame:
-    """Adds the quotes that stand in the body, and whether the role has enough of them."""
-    good = F.filter(quotes, lambda q: (q != "") & F.contains(F.col(body), q))
-    need = F
-    for r, n in least.items():
-        need = need.when(F.col(role) == r, n)
-    return rows.withColumn("verified", good).withColumn("kept", F.size("verified") >= need.otherwise(1))
-
-
 def demote_unknown(display: Column, slug: Column, known: Column) -> Column:
     """struct<thinker, unresolved>: a known slug refers; else the display text, or the slug in words, stays as text."""
     text = F.coalesce(F.nullif(F.trim(display), F.lit("")), F.initcap(F.replace(slug, F.lit("-"), F.lit(" "))))
@@ -136,6 +125,14 @@ def latest_by_key(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     return rows.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(order).desc()))).filter("__n = 1").drop("__n")
 
 
+def additions_merged(old: Column, new: Column) -> Column:
+    """Recommendations array<struct<kind, verbatim>>, those of one kind whose words differ only in case or blanks around them once, the first of them."""
+    key = lambda x: F.concat_ws("\n", F.lower(x["kind"]), F.lower(F.trim(x["verbatim"])))
+    both = F.filter(F.concat(old, new), lambda x: F.trim(x["verbatim"]) != "")
+    keys = F.transform(both, key)
+    return F.filter(both, lambda x, i: F.array_position(keys, key(x)) == i + 1)
+
+
 def with_self(translations: Column, lang: Column, id_: Column) -> Column:
     """A map of translations with the entry itself, which replaces one of its own language."""
     return F.map_concat(F.map_filter(translations, lambda k, _: k != lang), F.create_map(lang, id_))

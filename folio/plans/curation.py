@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from folio.functions import names
 from folio.functions import text as tx
 from folio.functions import values as vl
-from folio.operators import joins, ledger, merge, quality
+from folio.operators import joins, ledger, merge, occurrences, quality
 from folio.plans.base import Tables, query, without
 from folio.sources import pages as page_source
 from folio.streaming import breaker
@@ -423,8 +423,9 @@ def json_keys(t: Tables) -> DataFrame:
 
 @query("SELECT source, array_to_string(list_sort(list(doc_id) )[1:3], ',') AS samples, count(*) AS n FROM documents GROUP BY 1")
 def taxonomy_samples(t: Tables) -> DataFrame:
-    s = F.transform(F.slice(F.array_sort(F.collect_list("doc_id")), 1, 3), lambda x: x.cast("string"))
-    return t.documents.groupBy("source").agg(F.array_join(s, ",").alias("samples"), F.count(F.lit(1)).alias("n"))
+    first = occurrences.first_of(t.documents.select("source", "doc_id"), ["source"], ["doc_id"], 3).groupBy(F.col("source").alias("__s")).agg(F.sort_array(F.collect_list("doc_id")).cast("array<string>").alias("s"))
+    sizes = t.documents.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    return sizes.join(first, F.col("source").eqNullSafe(F.col("__s"))).select("source", F.array_join("s", ",").alias("samples"), "n")
 
 
 @query(

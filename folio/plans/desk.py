@@ -32,7 +32,8 @@ def bodies(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.concat(F.coalesce("text", F.lit("")), tail).alias("body"))
 
 
-NOT_NAMES = ", ".join(f"'{n}'" for n in bylines.NOT_NAMES)
+HEADINGS = ["Introduction", "References", "Conclusion", "Background", "Way forward", "Summing Up"]
+NOT_NAMES = ", ".join(f"'{n}'" for n in HEADINGS)
 
 
 def notes(names: str, bios: str, photos: str) -> str:
@@ -46,7 +47,7 @@ regexp_extract_all(body, '{NAMED}', 1) AS nn, regexp_extract_all(body, '{NAMED}'
 SELECT doc_id, x.name AS name, x.bio AS bio, x.photo AS photo_url FROM s"""
 )
 def bio_blocks(t: Tables) -> DataFrame:
-    return bodies(t).select("doc_id", bylines.bio_block(F.col("body")).alias("x")).select("doc_id", "x.name", "x.bio", "x.photo_url")
+    return bodies(t).select("doc_id", bylines.bio_block(F.col("body"), HEADINGS).alias("x")).select("doc_id", "x.name", "x.bio", "x.photo_url")
 
 
 def last_opener(pattern: str) -> str:
@@ -59,7 +60,7 @@ def last_opener(pattern: str) -> str:
 SELECT doc_id, CASE WHEN m IS NULL THEN body ELSE rtrim(left(body, length(body) - length(string_split(body, m)[-1]) - length(m)), {BLANKS}) || chr(10) END AS body FROM m"""
 )
 def bios_stripped(t: Tables) -> DataFrame:
-    return bodies(t).select("doc_id", bylines.without_bio(F.col("body")).alias("body"))
+    return bodies(t).select("doc_id", bylines.without_bio(F.col("body"), HEADINGS).alias("body"))
 
 
 def slug_sql(c: str) -> str:

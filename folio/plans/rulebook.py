@@ -38,10 +38,14 @@ def category_router(t: Tables) -> DataFrame:
 
 
 @query(
-    """SELECT p_partkey, CASE WHEN p_type = 'ECONOMY' THEN 'hi' WHEN p_type = 'SMALL' THEN 'gu' WHEN list_contains(string_split(p_name, ' '), 'ECONOMY') THEN 'hi' WHEN list_contains(string_split(p_name, ' '), 'red') THEN 'mr' ELSE 'en' END AS lang FROM part"""
+    """WITH t AS (SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN [] ELSE list_concat(string_split(p_name, ' '), [p_type]) END AS a, [p_type, p_brand] AS b FROM part),
+m AS (SELECT p_partkey, list_transform(CASE WHEN len(a) > 0 THEN a ELSE b END, lambda x: CASE x WHEN 'ECONOMY' THEN 'hi' WHEN 'SMALL' THEN 'gu' WHEN 'red' THEN 'mr' WHEN 'ring' THEN 'bn' END) AS m FROM t)
+SELECT p_partkey, coalesce(list_filter(m, lambda x: x IS NOT NULL)[1], 'en') AS lang FROM m"""
 )
 def first_language(t: Tables) -> DataFrame:
-    return t.part.select("p_partkey", rules.language_of(F.array("p_type"), F.split("p_name", " "), {"ECONOMY": "hi", "SMALL": "gu", "red": "mr"}).alias("lang"))
+    """Names' words in their order before the type; parts of some sizes have only the second taxonomy."""
+    first = F.when(F.col("p_size") % 4 != 0, F.concat(F.split("p_name", " "), F.array("p_type"))).otherwise(F.array().cast("array<string>"))
+    return t.part.select("p_partkey", rules.language_of(first, F.array("p_type", "p_brand"), {"ECONOMY": "hi", "SMALL": "gu", "red": "mr", "ring": "bn"}).alias("lang"))
 
 
 @query("SELECT p_partkey, CASE WHEN p_size % 3 <> 0 THEN p_name WHEN p_size % 2 = 0 THEN p_brand ELSE p_type END AS title FROM part")
@@ -60,11 +64,14 @@ def curator_queue(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", wanted.alias("wanted"))
 
 
-@query("SELECT c_custkey, c_custkey % 4 NOT IN (0, 1) AS real FROM customer")
+@query(
+    r"""WITH n AS (SELECT doc_id, trim(regexp_replace(left(coalesce(text, ''), 10 + doc_id % 70), '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ') AS name FROM documents)
+SELECT doc_id, length(name) BETWEEN 3 AND 60 AND NOT regexp_matches(name, '[?!]') AND len(string_split(name, ' ')) <= 5 AND NOT contains(lower(name), 'a.') AND NOT contains(lower(name), '(the') AND NOT contains(lower(name), 'er ') AS real FROM n"""
+)
 def real_names(t: Tables) -> DataFrame:
-    n = F.col("c_custkey") % 4
-    name = F.when(n == 0, F.concat("c_name", F.lit("?"))).when(n == 1, F.concat(F.lit("Staff of "), F.col("c_name"))).otherwise(F.lit("Minoo Masani"))
-    return t.customer.select("c_custkey", rules.real_name(name, ["staff"]).alias("real"))
+    """The first letters of documents, more or fewer of them, as names; markers that would mean something in a pattern."""
+    name = F.trim(F.regexp_replace(F.left(F.coalesce("text", F.lit("")), (F.col("doc_id") % 70 + 10).cast("int")), r"\s+", " "))
+    return t.documents.select("doc_id", rules.real_name(name, ["a.", "(the", "er "]).alias("real"))
 
 
 MATCHES_SQL = """SELECT l_orderkey, list({'slug': 's' || l_suppkey, 'role': CASE l_returnflag WHEN 'A' THEN 'author' WHEN 'R' THEN 'editor' END} ORDER BY l_linenumber, l_suppkey, l_partkey) AS m FROM lineitem GROUP BY 1"""
@@ -106,9 +113,14 @@ def labels_split(t: Tables) -> DataFrame:
     return s.select("p_partkey", joined(F.col("s.themes")).alias("themes"), "s.channel")
 
 
-@query("SELECT doc_id, CASE WHEN contains(text, 'station') THEN '[again]' ELSE text END AS body, contains(text, 'station') AS again FROM documents WHERE text IS NOT NULL")
+@query(
+    """WITH d AS (SELECT doc_id, text || CASE doc_id % 5 WHEN 0 THEN chr(10) || '## Page 3' WHEN 1 THEN ' OCR' WHEN 2 THEN '## Original text' WHEN 3 THEN ' ocr ## page ' ELSE '' END AS text FROM documents WHERE text IS NOT NULL),
+h AS (SELECT *, contains(text, '## Original text') OR contains(text, 'OCR') OR contains(text, '## Page ') AS again FROM d) SELECT doc_id, CASE WHEN again THEN '[again]' ELSE text END AS body, again FROM h"""
+)
 def bodies_reset(t: Tables) -> DataFrame:
-    body, again = rules.reset_body(F.col("text"), "station", "[again]")
+    k = F.col("doc_id") % 5
+    text = F.concat("text", F.when(k == 0, "\n## Page 3").when(k == 1, " OCR").when(k == 2, "## Original text").when(k == 3, " ocr ## page ").otherwise(""))
+    body, again = rules.reset_body(text, "[again]")
     return t.documents.filter("text is not null").select("doc_id", body.alias("body"), again.alias("again"))
 
 
@@ -137,12 +149,6 @@ def stubs_for_unknown(t: Tables) -> DataFrame:
     return rules.stubs(t.lineitem.select((F.col("l_suppkey") % 200).alias("k")), have, "k", "origin")
 
 
-@query("SELECT doc_id, doc_id IN (SELECT doc_id FROM labels) AS collides FROM documents")
-def collection_migration(t: Tables) -> DataFrame:
-    free, taken = rules.migrate(t.documents.select("doc_id"), t.labels, "doc_id")
-    return free.withColumn("collides", F.lit(False)).unionByName(taken.withColumn("collides", F.lit(True)))
-
-
 @query("SELECT c_custkey, CASE WHEN c_nationkey < 12 THEN 'n-' || c_nationkey END AS thinker, CASE WHEN c_nationkey >= 12 THEN CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE 'N ' || c_nationkey END END AS unresolved FROM customer")
 def unknown_demoted(t: Tables) -> DataFrame:
     display = F.when(F.col("c_custkey") % 2 == 0, F.col("c_name")).otherwise(" ")

@@ -1,7 +1,7 @@
 """A table that a stream changes exactly once: partitions with versions, and a log that says which of them count.
 
-A commit writes new versions of the partitions that it changes and then, in one step that only one writer can win, a log entry that
-names the version of every partition. Without the entry nothing has happened: what a dead attempt left is never read and
+A commit writes new versions of the partitions that it changes and then, in one step, a log entry that names the version of every
+partition. A table has one writer at a time, as a stream is; a second one fails where it meets an entry of the first. Without the entry nothing has happened: what a dead attempt left is never read and
 is written over by the next. A batch that is replayed finds its own entry and does nothing. Everything goes through
 Hadoop's file system.
 """

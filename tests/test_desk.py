@@ -10,6 +10,18 @@ from folio.streaming.allowlist import Refetched
 BIO = "A writer on economic affairs who has served on several commissions and lives with two cats in Nagpur."
 
 
+#: Headings of an archive that stand in bold like names.
+HEADINGS = ["Introduction", "References", "Conclusion", "Background", "Way forward", "Summing Up", "The Witch-hunt", "Need for Two Fleets"]
+
+
+def bio_block(c):
+    return bylines.bio_block(c, HEADINGS)
+
+
+def without_bio(c):
+    return bylines.without_bio(c, HEADINGS)
+
+
 def one(spark, text, c):
     return spark.createDataFrame([(text,)], "x string").select(c(F.col("x")).alias("y")).first().y
 
@@ -17,16 +29,16 @@ def one(spark, text, c):
 def test_bio_blocks(spark):
     photo = f"Prose.\n\n![](https://x.org/a.jpg)\n\n**Asha Rao **\n\n{BIO}\n"
     named = f"Prose.\n\n**Ravi Das**\n\n{BIO}\n"
-    assert tuple(one(spark, photo, bylines.bio_block)) == ("Asha Rao", BIO, "https://x.org/a.jpg")
-    assert tuple(one(spark, named, bylines.bio_block)) == ("Ravi Das", BIO, None)
-    assert one(spark, f"Prose.\n\n**References**\n\n{BIO}\n", bylines.bio_block) is None
-    assert one(spark, named + "\n**Mina Sen**\n\n" + BIO, bylines.bio_block).name == "Mina Sen"
-    assert one(spark, photo + named, bylines.bio_block).name == "Asha Rao"
-    assert one(spark, None, bylines.bio_block) is None and one(spark, "", bylines.bio_block) is None
-    assert one(spark, photo, bylines.without_bio) == "Prose.\n" and one(spark, named, bylines.without_bio) == "Prose.\n"
-    assert one(spark, "Prose.", bylines.without_bio) == "Prose." and one(spark, None, bylines.without_bio) is None
+    assert tuple(one(spark, photo, bio_block)) == ("Asha Rao", BIO, "https://x.org/a.jpg")
+    assert tuple(one(spark, named, bio_block)) == ("Ravi Das", BIO, None)
+    assert one(spark, f"Prose.\n\n**References**\n\n{BIO}\n", bio_block) is None
+    assert one(spark, named + "\n**Mina Sen**\n\n" + BIO, bio_block).name == "Mina Sen"
+    assert one(spark, photo + named, bio_block).name == "Asha Rao"
+    assert one(spark, None, bio_block) is None and one(spark, "", bio_block) is None
+    assert one(spark, photo, without_bio) == "Prose.\n" and one(spark, named, without_bio) == "Prose.\n"
+    assert one(spark, "Prose.", without_bio) == "Prose." and one(spark, None, without_bio) is None
     many = "\n**Ravi Das**\n\n" + BIO + "\nline" * 100_000
-    assert one(spark, many, bylines.bio_block).name == "Ravi Das" and one(spark, many, bylines.without_bio) == "\n"
+    assert one(spark, many, bio_block).name == "Ravi Das" and one(spark, many, without_bio) == "\n"
 
 
 def test_contributors(spark):
