@@ -10,7 +10,7 @@ from folio.functions import text as tx
 from folio.functions import values as vl
 from folio.operators import cosine, facets, related
 from folio.operators.order import rank_over
-from folio.plans.base import Tables, query, without
+from folio.plans.base import Tables, query
 from folio.scratch import Scratch
 
 STOP_SQL = ", ".join(f"'{w}'" for w in tx.STOPWORDS)
@@ -137,16 +137,9 @@ def latest_six(t: Tables) -> DataFrame:
 
 
 @query(
-    """SELECT o_orderkey, row_number() OVER (ORDER BY date_trunc('day', o_orderdate) DESC NULLS LAST, o_totalprice, o_orderkey) AS place FROM orders WHERE o_custkey < 50"""
+    """SELECT o_orderkey, row_number() OVER (ORDER BY date_trunc('day', o_orderdate) DESC NULLS LAST, o_totalprice, o_orderkey) AS place FROM orders"""
 )
 def sorted_listing(t: Tables) -> DataFrame:
-    # a customer's page lists few works, so the order is of a small result
-    w = Window.orderBy(F.date_trunc("day", "o_orderdate").desc_nulls_last(), "o_totalprice", "o_orderkey")
-    return t.orders.filter("o_custkey < 50").select("o_orderkey", F.row_number().over(w).alias("place"))
-
-
-@query(without("sorted_listing", (" WHERE o_custkey < 50", "")))
-def sorted_listing_all(t: Tables) -> DataFrame:
     day = F.date_trunc("day", "o_orderdate")
     # falling days, and inside a day the price as far as it is below ten million
     price = F.least(F.lit(9_999_999.0), F.greatest(F.lit(0.0), F.coalesce(F.col("o_totalprice").cast("double"), F.lit(0.0))))
@@ -178,23 +171,10 @@ def hreflang_alternates(t: Tables) -> DataFrame:
     return maps.select("work", F.explode(F.map_concat("m", F.create_map(F.lit("x-default"), default))).alias("hreflang", "id"))
 
 
-@query(
-    """SELECT section, doc_id, '# ' || doc_id || chr(10) || substr(text, 1, 200) AS entry FROM (
-SELECT CASE source WHEN 'src1' THEN 1 WHEN 'src2' THEN 2 ELSE 3 END AS section, * FROM documents WHERE lang = 'en' AND source IN ('src1', 'src2', 'src3'))"""
-)
-def corpus_dump(t: Tables) -> DataFrame:
-    d = t.documents.filter("lang = 'en'")
-    parts = None
-    for i, s in enumerate(("src1", "src2", "src3"), 1):
-        part = d.filter(F.col("source") == s).select(F.lit(i).alias("section"), "doc_id", F.concat(F.lit("# "), F.col("doc_id").cast("string"), F.lit("\n"), F.substring("text", 1, 200)).alias("entry"))
-        parts = part if parts is None else parts.unionByName(part)
-    return parts
-
-
 @query(
     """SELECT dense_rank() OVER (ORDER BY source NULLS LAST)::INT AS section, doc_id, '# ' || doc_id || chr(10) || text AS entry FROM documents WHERE lang = 'en'"""
 )
-def corpus_dump_whole(t: Tables) -> DataFrame:
+def corpus_dump(t: Tables) -> DataFrame:
     d = t.documents.filter("lang = 'en'")
     # a row for each source
     sections = d.select(F.col("source").alias("s")).distinct().select("s", F.row_number().over(Window.orderBy(F.col("s").asc_nulls_last())).alias("section"))
@@ -210,14 +190,9 @@ def short_index(t: Tables) -> DataFrame:
 
 @query(
     """SELECT doc_id, '# ' || doc_id || chr(10) || chr(10) || '<!-- source: ' || source || ' -->' || chr(10) || chr(10) ||
-CASE WHEN trim(substr(text, 1, 100)) = '' THEN '{"doc_id":' || doc_id || ',"lang":"' || lang || '"}' ELSE substr(text, 1, 100) END AS page FROM documents"""
+CASE WHEN trim(text) = '' THEN '{"doc_id":' || doc_id || ',"lang":"' || lang || '"}' ELSE text END AS page FROM documents"""
 )
 def markdown_sibling(t: Tables) -> DataFrame:
-    return sibling_pages(t, F.substring("text", 1, 100))
-
-
-@query(without("markdown_sibling", ("substr(text, 1, 100)", "text")))
-def markdown_sibling_whole(t: Tables) -> DataFrame:
     return sibling_pages(t, F.col("text"))
 
 

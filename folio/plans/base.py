@@ -33,13 +33,3 @@ def query(sql: str | None = None):
         return f
 
     return wrap
-
-
-def without(name: str, *cuts: tuple[str, str]) -> str:
-    """The SQL of a query with each (old, new) put in: the same rows without a cut."""
-    sql = ORACLE[name]
-    for old, new in cuts:
-        if old not in sql:
-            raise ValueError(f"{name} has no {old}")
-        sql = sql.replace(old, new)
-    return sql

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from folio.functions import names, values
 from folio.operators import joins, merge
 from folio.operators.order import rank_over
-from folio.plans.base import Tables, query, without
+from folio.plans.base import Tables, query
 
 
 @query("SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
@@ -68,17 +68,12 @@ def alias_lookup(t: Tables) -> DataFrame:
 
 @query(
     f"""WITH {ALIASES_SQL},
-q AS (SELECT l_orderkey, string_agg('nation ' || s_nationkey || CASE WHEN l_linenumber % 2 = 0 THEN ',' ELSE ' and' END, ' ' ORDER BY l_linenumber, l_suppkey, l_partkey) AS byline FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_orderkey < 500 GROUP BY 1),
+q AS (SELECT l_orderkey, string_agg('nation ' || s_nationkey || CASE WHEN l_linenumber % 2 = 0 THEN ',' ELSE ' and' END, ' ' ORDER BY l_linenumber, l_suppkey, l_partkey) AS byline FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1),
 x AS (SELECT l_orderkey, u.name, u.pos FROM q, (SELECT unnest(regexp_split_to_array(byline, '\\s*(?:,|;|&|\\band\\b)\\s*')) AS name, generate_subscripts(regexp_split_to_array(byline, '\\s*(?:,|;|&|\\band\\b)\\s*'), 1) AS pos) u),
 m AS (SELECT l_orderkey, alias.id, min(pos) AS pos FROM x JOIN alias ON trim(name) = k GROUP BY 1, 2)
 SELECT l_orderkey, string_agg(id::VARCHAR, ',' ORDER BY pos) AS resolved FROM m GROUP BY 1""".replace("\\\\", "\\")
 )
 def split_bylines(t: Tables) -> DataFrame:
-    return resolved_bylines(t, t.lineitem.filter("l_orderkey < 500"))
-
-
-@query(without("split_bylines", (" WHERE l_orderkey < 500", "")))
-def split_bylines_all(t: Tables) -> DataFrame:
     return resolved_bylines(t, t.lineitem)
 
 
@@ -148,26 +143,13 @@ def short_quotes(t: Tables) -> DataFrame:
     return joins.passages_in(t.documents.select("doc_id", "text"), "doc_id", "text", quotes, "item_id", "q")
 
 
-@query("SELECT doc_id, w AS name FROM documents, (VALUES ('thing'), ('station'), ('the')) v(w) WHERE regexp_matches(text, '(?i)\\b' || w || '\\b') AND lang = 'en'".replace("\\\\", "\\"))
-def names_in_prose(t: Tables) -> DataFrame:
-    wanted = F.explode(F.array(*[F.lit(w) for w in ("thing", "station", "the")])).alias("name")
-    return t.documents.filter("lang = 'en'").select("doc_id", "text", wanted).filter(joins.whole_word(F.col("text"), F.col("name"))).select("doc_id", "name")
-
-
 @query(
-    """WITH a AS (SELECT DISTINCT p_partkey AS l, w FROM (SELECT p_partkey, unnest(regexp_split_to_array(lower(p_name || ' ' || p_type), '[^a-z0-9]+')) AS w FROM part WHERE p_partkey < 300) WHERE length(w) >= 4),
-b AS (SELECT DISTINCT p_brand AS r, w FROM (SELECT p_brand, unnest(regexp_split_to_array(lower(p_name), '[^a-z0-9]+')) AS w FROM part WHERE p_partkey % 50 = 7) WHERE length(w) >= 4),
+    """WITH a AS (SELECT DISTINCT p_partkey AS l, w FROM (SELECT p_partkey, unnest(regexp_split_to_array(lower(p_name || ' ' || p_type), '[^a-z0-9]+')) AS w FROM part) WHERE length(w) >= 4),
+b AS (SELECT DISTINCT p_brand AS r, w FROM (SELECT p_brand, unnest(regexp_split_to_array(lower(p_name), '[^a-z0-9]+')) AS w FROM part) WHERE length(w) >= 4),
 s AS (SELECT l, r, sum(length(w)) AS overlap FROM a JOIN b USING (w) GROUP BY 1, 2 HAVING sum(length(w)) >= 5)
 SELECT l, r, overlap FROM s QUALIFY row_number() OVER (PARTITION BY l ORDER BY overlap DESC, r) = 1"""
 )
 def token_overlap_match(t: Tables) -> DataFrame:
-    a = t.part.filter("p_partkey < 300").select(F.col("p_partkey").alias("l"), F.concat_ws(" ", "p_name", "p_type").alias("a"))
-    b = t.part.filter("p_partkey % 50 = 7").groupBy(F.col("p_brand").alias("r")).agg(F.array_join(F.array_sort(F.collect_list("p_name")), " ").alias("b"))
-    return joins.token_overlap(a, b, "l", "r", "a", "b")
-
-
-@query(without("token_overlap_match", (" WHERE p_partkey < 300", ""), (" WHERE p_partkey % 50 = 7", "")))
-def token_overlap_match_all(t: Tables) -> DataFrame:
     # parts share few texts, and a brand's names few words
     a = t.part.select(F.col("p_partkey").alias("l"), F.concat_ws(" ", "p_name", "p_type").alias("a"))
     b = t.part.groupBy(F.col("p_brand").alias("r")).agg(F.array_join(F.array_sort(F.collect_set("p_name")), " ").alias("b"))
@@ -352,14 +334,9 @@ def organisation_catalogue(t: Tables) -> DataFrame:
 
 @query(
     """SELECT l_orderkey, l_linenumber, coalesce(s_name, c_name) AS name, coalesce(s_name, c_name) IS NULL AS unresolved FROM lineitem
-LEFT JOIN supplier ON l_returnflag <> 'R' AND s_suppkey = l_suppkey LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 2 = 0) c ON l_returnflag = 'R' AND c_custkey = l_suppkey WHERE l_orderkey < 1000"""
+LEFT JOIN supplier ON l_returnflag <> 'R' AND s_suppkey = l_suppkey LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 2 = 0) c ON l_returnflag = 'R' AND c_custkey = l_suppkey"""
 )
 def polymorphic_references(t: Tables) -> DataFrame:
-    return named_by_kind(t, t.lineitem.filter("l_orderkey < 1000"))
-
-
-@query(without("polymorphic_references", (" WHERE l_orderkey < 1000", "")))
-def polymorphic_references_all(t: Tables) -> DataFrame:
     return named_by_kind(t, t.lineitem)
 
 

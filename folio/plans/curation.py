@@ -10,7 +10,7 @@ from folio.functions import names
 from folio.functions import text as tx
 from folio.functions import values as vl
 from folio.operators import joins, ledger, merge, occurrences, quality
-from folio.plans.base import Tables, query, without
+from folio.plans.base import Tables, query
 from folio.sources import pages as page_source
 from folio.streaming import breaker
 
@@ -70,15 +70,10 @@ def truncated_at_sentence(t: Tables) -> DataFrame:
 
 
 @query(
-    r("""WITH d AS (SELECT doc_id, '# ' || source || chr(10) || '*By ' || lang || '*' || chr(10) || substr(text, 1, 80) AS body, source FROM documents)
+    r("""WITH d AS (SELECT doc_id, '# ' || source || chr(10) || '*By ' || lang || '*' || chr(10) || text AS body, source FROM documents)
 SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN regexp_replace(body, '^\\s*#[^\\n]*\\n*', '') ELSE body END AS no_heading, regexp_replace(regexp_replace(body, '^\\s*#\\s+[^\\n]*(?:\\n+|$)(?:\\*By [^\\n]*\\*[ \\t]*(?:\\n+|$))?', ''), '\\n{3,}', chr(10) || chr(10), 'g') AS no_title FROM d""")
 )
 def stripped_headings(t: Tables) -> DataFrame:
-    return without_headings(t, F.substring("text", 1, 80))
-
-
-@query(without("stripped_headings", ("substr(text, 1, 80)", "text")))
-def stripped_headings_whole(t: Tables) -> DataFrame:
     return without_headings(t, F.col("text"))
 
 
@@ -107,13 +102,8 @@ def tail_or_null(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", tx.tail_or_null(F.col("text"), r"\n[^\n]*\z").alias("body"))
 
 
-@query(r("SELECT doc_id, regexp_replace(regexp_replace(replace(replace(replace(substr(text, 1, 300), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\\*\\*([^*]+)\\*\\*', '<strong>\\1</strong>', 'g'), '\\*([^*]+)\\*', '<em>\\1</em>', 'g') AS html FROM documents"))
+@query(r("SELECT doc_id, regexp_replace(regexp_replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\\*\\*([^*]+)\\*\\*', '<strong>\\1</strong>', 'g'), '\\*([^*]+)\\*', '<em>\\1</em>', 'g') AS html FROM documents"))
 def inline_html(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", tx.inline_html(F.substring("text", 1, 300)).alias("html"))
-
-
-@query(without("inline_html", ("substr(text, 1, 300)", "text")))
-def inline_html_whole(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", tx.inline_html(F.col("text")).alias("html"))
 
 
@@ -149,14 +139,9 @@ def scripts(t: Tables) -> DataFrame:
 
 @query(
     r("""SELECT o_orderkey, CASE WHEN regexp_matches(c, '\\b((?:19|20)[0-9]{2})\\b') THEN regexp_extract(c, '\\b((?:19|20)[0-9]{2})\\b', 1)::INT END AS y, year(o_orderdate) AS iso_year,
-CASE WHEN year(o_orderdate) < 1994 THEN 'a' WHEN year(o_orderdate) < 1997 THEN 'b' ELSE 'c' END AS band FROM (SELECT *, CASE WHEN o_orderkey % 3 = 0 THEN 'no year ' || o_orderkey ELSE 'in ' || strftime(o_orderdate, '%Y') || ' done' END AS c FROM orders WHERE o_orderkey < 1900)""")
+CASE WHEN year(o_orderdate) < 1994 THEN 'a' WHEN year(o_orderdate) < 1997 THEN 'b' ELSE 'c' END AS band FROM (SELECT *, CASE WHEN o_orderkey % 3 = 0 THEN 'no year ' || o_orderkey ELSE 'in ' || strftime(o_orderdate, '%Y') || ' done' END AS c FROM orders)""")
 )
 def years(t: Tables) -> DataFrame:
-    return years_of(t.orders.filter("o_orderkey < 1900"))
-
-
-@query(without("years", (" WHERE o_orderkey < 1900", "")))
-def years_all(t: Tables) -> DataFrame:
     return years_of(t.orders)
 
 
@@ -342,14 +327,9 @@ def toc_drift(t: Tables) -> DataFrame:
 
 
 @query(
-    """SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey, CASE WHEN l_partkey > 1500 THEN NULL ELSE l_partkey END AS page_start, CASE WHEN l_suppkey * 20 < l_partkey OR l_suppkey * 20 > 1500 THEN NULL ELSE l_suppkey * 20 END AS page_end FROM lineitem WHERE l_orderkey < 2000"""
+    """SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey, CASE WHEN l_partkey > 1500 THEN NULL ELSE l_partkey END AS page_start, CASE WHEN l_suppkey * 20 < l_partkey OR l_suppkey * 20 > 1500 THEN NULL ELSE l_suppkey * 20 END AS page_end FROM lineitem"""
 )
 def page_order(t: Tables) -> DataFrame:
-    return pages_in_order(t.lineitem.filter("l_orderkey < 2000"))
-
-
-@query(without("page_order", (" WHERE l_orderkey < 2000", "")))
-def page_order_all(t: Tables) -> DataFrame:
     return pages_in_order(t.lineitem)
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folio.functions import text as tx
 from folio.operators import authority, bylines, headers
 from folio.plans.base import Tables, query
 

@@ -39,7 +39,7 @@ def test_fuzzy_tiers_equal_brute_force(spark):
     assert {r.id: (r.rid, r.tier) for r in joins.fuzzy_tiers(a, b).collect()} == want
 
 
-@pytest.mark.parametrize(("name", "table"), [("sorted_listing_all", "orders"), ("years_all", "orders"), ("polymorphic_references_all", "lineitem"), ("page_order_all", "lineitem")])
+@pytest.mark.parametrize(("name", "table"), [("sorted_listing", "orders"), ("years", "orders"), ("polymorphic_references", "lineitem"), ("page_order", "lineitem")])
 def test_all_rows_pass(spark, sf_dir, name, table):
     assert QUERIES[name](spark, sf_dir).count() == spark.read.parquet(f"{sf_dir}/{table}.parquet").count()
 
@@ -48,16 +48,16 @@ def test_fuzzy_titles_takes_all_parts(spark, sf_dir):
     assert QUERIES["fuzzy_titles"](spark, sf_dir).filter("id % 7 <> 0").count() > 0
 
 
-@pytest.mark.parametrize(("name", "column"), [("markdown_sibling_whole", "page"), ("corpus_dump_whole", "entry"), ("inline_html_whole", "html"), ("stripped_headings_whole", "no_title")])
+@pytest.mark.parametrize(("name", "column"), [("markdown_sibling", "page"), ("corpus_dump", "entry"), ("inline_html", "html"), ("stripped_headings", "no_title")])
 def test_long_texts_keep_their_ends(spark, tmp_path, name, column):
     long = [(1, " " * 150 + "body " * 400 + "the end", "en", "src9", 2157), (2, "short", "en", None, 5)]
     spark.createDataFrame(long, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     assert any((r[column] or "").endswith("the end") for r in QUERIES[name](spark, str(tmp_path)).filter("doc_id = 1").collect())
-    if name == "corpus_dump_whole":
+    if name == "corpus_dump":
         assert {r.doc_id: r.section for r in QUERIES[name](spark, str(tmp_path)).collect()} == {1: 1, 2: 2}
 
 
-@pytest.mark.parametrize("name", ["round_robin_batches", "contiguous_batches", "sorted_listing_all"])
+@pytest.mark.parametrize("name", ["round_robin_batches", "contiguous_batches", "sorted_listing"])
 def test_no_window_over_all_rows(spark, sf_dir, name):
     plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     over = [x for x in plan.splitlines() if "Window [" in x and "row_number" in x]
