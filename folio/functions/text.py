@@ -312,29 +312,6 @@ def first_json_object(s: pd.Series) -> pd.Series:
     return s.map(one)
 
 
-#: Independent vowels, consonants and signs of Devanagari in IAST; the inherent a is written where no sign follows.
-VOWELS = dict(zip("अआइईउऊऋएऐओऔ", "a ā i ī u ū ṛ e ai o au".split(), strict=True))
-SIGNS = dict(zip("ािीुूृेैोौ", "ā i ī u ū ṛ e ai o au".split(), strict=True))
-CONSONANTS = dict(zip("कखगघङचछजझञटठडढणतथदधनपफबभमयरलवशषसह", "k kh g gh ṅ c ch j jh ñ ṭ ṭh ḍ ḍh ṇ t th d dh n p ph b bh m y r l v ś ṣ s h".split(), strict=True))
-
-
-@F.pandas_udf(T.StringType())
-def devanagari_to_iast(s: pd.Series) -> pd.Series:
-    def one(t):
-        if t is None:
-            return None
-        out = []
-        for i, ch in enumerate(t):
-            if ch in CONSONANTS:
-                nxt = t[i + 1] if i + 1 < len(t) else ""
-                out.append(CONSONANTS[ch] + ("" if nxt in SIGNS or nxt == "्" else "a"))
-            else:
-                out.append(VOWELS.get(ch) or SIGNS.get(ch) or {"्": "", "ं": "ṃ", "ः": "ḥ", "़": ""}.get(ch, ch))
-        return "".join(out)
-
-    return s.map(one)
-
-
 @F.pandas_udf(T.StringType())
 def strip_diacritics(s: pd.Series) -> pd.Series:
     return s.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)))

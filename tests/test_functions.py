@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folio.functions import names, text, values
-from folio.operators import facets, joins, merge, quality
+from folio.operators import facets, joins, merge, quality, scripts
 
 
 def one(spark, expr, **cols):
@@ -91,7 +91,7 @@ def test_script(spark, s, want):
 
 
 def test_transliteration(spark):
-    assert one(spark, text.strip_diacritics(text.devanagari_to_iast(F.col("s"))), s="शरद जोशी") == "sarada josi"
+    assert one(spark, text.strip_diacritics(scripts.to_iast(F.col("s"))), s="शरद जोशी") == "sarada josi"
 
 
 def test_token_set_ratio():

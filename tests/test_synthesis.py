@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from folio.operators import evidence, lexicon, numbering, occurrences, redirects
+from folio.operators import evidence, lexicon, numbering, occurrences, redirects, scripts
 
 SUMMARY = "struct<cross_thinker_mentions:array<struct<thinker_id:string,page:int,context:string>>,themes_confirmed:array<string>,theme_proposed_new:array<string>>"
 RECORD = f"""slug string, authors array<struct<thinker_id:string,confidence:string>>, editors array<struct<thinker_id:string,confidence:string>>, contributors array<struct<thinker_id:string,role:string,confidence:string>>,
@@ -130,3 +130,31 @@ def test_counter_walks_only_what_is_contended(spark):
     finally:
         numbering.Scratch.save = real
     assert [r.id for r in got] == plain_ids(bases) and seen[0] <= 10
+
+
+NAMES = [
+    ("जवाहरलाल नेहरू", "javāharalāla neharū", "javaharalala neharu"), ("कृष्णमाचारी", "kṛṣṇamācārī", "krsnamacari"), ("শরৎ", "śarat", "sarat"), ("মহাত্মা গান্ধী", "mahātmā gāndhī", "mahatma gandhi"),
+    ("ગાંધી", "gāṃdhī", "gamdhi"), ("મિનૂ મસાણી", "minū masāṇī", "minu masani"), ("দুঃখ ১৯", "duḥkha 19", "duhkha 19"), ("क़लम।", "kalama.", "kalama"), ("B. R. Ménard", "B. R. Ménard", "b r ménard"), ("", "", ""),
+]
+
+
+def test_transliteration(spark):
+    df = spark.createDataFrame([(n,) for n, *_ in NAMES], "n string").coalesce(1)
+    assert [(r.a, r.b) for r in df.select(scripts.to_iast(F.col("n")).alias("a"), scripts.latin_form(F.col("n")).alias("b")).collect()] == [(a, b) for _, a, b in NAMES]
+    assert spark.createDataFrame([(None,)], "n string").select(scripts.to_iast(F.col("n")).alias("a")).first().a is None
+
+
+def test_names_are_probed_in_turn(spark):
+    names = ["नेहरू", "गांधी", "मसाणी", "શરદ", "Nehru", "nobody", "अज्ञात", None]
+    direct = spark.createDataFrame([("नेहरू",)], "n string").select(scripts.lookup_key(F.col("n")).alias("k")).first().k
+    lookup = [(direct, "written"), ("neharu", "late"), ("gāṃdhī", "marked"), ("gamdhi", "late"), ("masani", "plain"), ("sarada", "gujarati"), ("nehru", "latin")]
+    got = scripts.resolve_names(spark.createDataFrame([(n,) for n in names], "n string"), "n", spark.createDataFrame(lookup, "k string, v string"), "k", "v", "who")
+    assert {r.n: r.who for r in got.collect()} == {"नेहरू": "written", "गांधी": "marked", "मसाणी": "plain", "શરદ": "gujarati", "Nehru": "latin", "nobody": None, "अज्ञात": None, None: None}
+
+
+def test_folding_follows_unicode():
+    import unicodedata
+
+    for letter, base in zip(*scripts.folded_letters(), strict=True):
+        stripped = "".join(c for c in unicodedata.normalize("NFD", letter) if unicodedata.category(c) != "Mn")
+        assert stripped == base, letter
