@@ -73,14 +73,68 @@ INSERT INTO `il_posts` (`ID`, `title`, `score`) VALUES (4,'x'),(5,'日本 \\\\ y
 """
 
 
+@pytest.fixture
+def splits_of(spark):
+    """Lets Spark cut files into splits of so many bytes."""
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.files.minPartitionNum")
+    before = {k: spark.conf.get(k, None) for k in names}
+
+    def cut(size: int) -> None:
+        for k, v in zip(names, (size, 1, 1)):
+            spark.conf.set(k, str(v))
+
+    yield cut
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 @pytest.mark.parametrize("split", [64 << 20, 40])
-def test_dump(spark, tmp_path, split):
+def test_dump(spark, tmp_path, splits_of, split):
     (tmp_path / "d.sql").write_text(DUMP)
-    spark.dataSource.register(dump.MySqlDump)
-    df = spark.read.format("mysql_dump").option("path", str(tmp_path / "d.sql")).option("table", "il_posts").option("splitBytes", split).load()
-    assert df.columns == ["ID", "title", "score", "_corrupt"]
-    rows = sorted(df.collect(), key=lambda r: r.ID or "")
-    assert [tuple(r) for r in rows] == [(None, None, None, True), ("1", "a (b), 'c' d\n", "1.5", False), ("2", None, "-3e2", False), ("3", "it's; ok", None, False), ("5", "日本 \\ y", "0", False)]
+    splits_of(split)
+    df = dump.read_dump(spark, str(tmp_path / "d.sql"), "il_posts")
+    assert df.dtypes == [("ID", "bigint"), ("title", "string"), ("score", "double"), ("_corrupt", "boolean")]
+    rows = sorted(df.collect(), key=lambda r: r.ID or 0)
+    assert [tuple(r) for r in rows] == [(None, None, None, True), (1, "a (b), 'c' d\n", 1.5, False), (2, None, -300.0, False), (3, "it's; ok", None, False), (5, "日本 \\ y", 0.0, False)]
+
+
+LONG_DUMP = """-- it's a dump
+CREATE TABLE `t` (
+  `id` int NOT NULL,
+  `body` longtext
+);
+INSERT INTO `u` VALUES
+(1,'INSERT INTO `t` VALUES (99,''x'');
+INSERT INTO `t` VALUES (98,1);
+'),
+(2,'b');
+INSERT INTO `t` VALUES
+(1,'one;
+two -- it''s
+INSERT INTO `t` VALUES (97,1);
+'),
+(2,'semi;colon'),
+-- a comment that isn't read
+(3,'back\\\\'),(4,NULL),
+(5,'a \\' quote
+');
+/* it's over */
+INSERT INTO `t` VALUES (6,'last');
+"""
+
+
+@pytest.mark.parametrize("split", [23, 150, 1 << 20])
+def test_dump_split_inside_statements_and_literals(spark, tmp_path, splits_of, split):
+    """Statements over many lines, statements inside literals, and splits that begin in the middle of either: each row comes once."""
+    (tmp_path / "d").mkdir()
+    for name in ("a.sql", "b.sql"):
+        (tmp_path / "d" / name).write_text(LONG_DUMP)
+    splits_of(split)
+    rows = dump.read_dump(spark, str(tmp_path / "d"), "t").collect()
+    one = [(1, "one;\ntwo -- it's\nINSERT INTO `t` VALUES (97,1);\n"), (2, "semi;colon"), (3, "back\\"), (4, None), (5, "a ' quote\n"), (6, "last")]
+    assert sorted((r.id, r.body) for r in rows if not r._corrupt) == sorted(one * 2, key=lambda r: r[0]) and not any(r._corrupt for r in rows)
+    with pytest.raises(ValueError):
+        dump.read_dump(spark, str(tmp_path / "d"), "none")
 
 
 def test_pages(spark):
