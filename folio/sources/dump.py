@@ -191,8 +191,10 @@ def read_dump(spark: SparkSession, path: str, table: str) -> DataFrame:
         raise ValueError(f"{path} doesn't define {table}")
     definition = list(first.defined)
     if first.open:
-        following = splits.filter((F.col("file") == first.file) & (F.col("split") > first.split)).orderBy("split").select("head").first()
-        definition += following.head if following else []
+        for r in splits.filter((F.col("file") == first.file) & (F.col("split") > first.split)).orderBy("split").select("head", "open").toLocalIterator():
+            definition += r.head
+            if not r.open:
+                break
     columns = columns_of(definition)
 
     # a row for each split
