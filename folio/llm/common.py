@@ -1,15 +1,13 @@
-"""Shared folder tables, spread-out ranks and small helpers of the operators."""
+"""Spread-out ranks and small helpers of the operators."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from folio.scratch import Scratch, remove, shared_dir  # noqa: F401  the operators take them from here
+
 #: Rows that one window of a spread-out rank holds, about.
 ROWS_PER_BUCKET = 20_000
 
@@ -17,46 +15,6 @@ ROWS_PER_BUCKET = 20_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only a local master may go without: it gets a new local one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = f"file://{tempfile.mkdtemp(prefix='folio-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-        atexit.register(remove, spark, found)
-    return found
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder through Hadoop's file system. At exit the session may have stopped before."""
-    if spark.sparkContext._jsc is None:
-        return
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-class Scratch:
-    """Tables written once to the shared folder, so that lost executors cost only the job at hand.
-
-    They stay until the driver ends, since DataFrames that an operator returned still read them;
-    tables that only an iteration needs are dropped by name.
-    """
-
-    def __init__(self, spark: SparkSession, label: str):
-        self.spark, self.path = spark, f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-        atexit.register(remove, spark, self.path)
-
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{self.path}/{name}")
-        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
-
-    def drop(self, name: str) -> None:
-        remove(self.spark, f"{self.path}/{name}")
-
-
 def free_name(df: DataFrame, wanted: str) -> str:
     """A column name that the table doesn't have yet."""
     taken = {c.lower() for c in df.columns}
