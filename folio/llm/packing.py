@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from folio.llm.common import Scratch, free_name, spread_rank
 
-#: Words whose ids a worker remembers at a time.
-REMEMBERED = 100_000
+#: Words whose ids a worker remembers in a generation. It keeps two: what is met again moves from the older to the newer.
+REMEMBERED = 150_000
 
 
 class TightestBin:
@@ -124,7 +124,7 @@ class Encoder:
 
     def __init__(self, path: str):
         self.tokenizer = tokenizer(path)
-        self.model, self.words, self.plain = self.tokenizer.model, {}, {}
+        self.model, self.words, self.older_words, self.plain, self.older_plain = self.tokenizer.model, {}, {}, {}, {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -132,14 +132,18 @@ class Encoder:
     def piece(self, letters: str) -> bytes:
         """A pre-token in the byte-level alphabet, where only bytes outside printable ASCII are written otherwise."""
         if (found := self.plain.get(letters)) is None:
-            if len(self.plain) > REMEMBERED:
-                self.plain.clear()
-            spelled = letters if letters.isascii() else "".join(BYTE_CHARS[b] for b in letters.encode())
-            found = self.plain[letters] = np.array([x.id for x in self.model.tokenize(spelled)], dtype="<u4").tobytes()
+            if len(self.plain) > REMEMBERED // 2:
+                self.plain, self.older_plain = {}, self.plain
+            if (found := self.older_plain.get(letters)) is None:
+                spelled = letters if letters.isascii() else "".join(BYTE_CHARS[b] for b in letters.encode())
+                found = np.array([x.id for x in self.model.tokenize(spelled)], dtype="<u4").tobytes()
+            self.plain[letters] = found
         return found
 
     def word(self, word: str) -> bytes:
-        if m := PLAIN.fullmatch(word.lower()):
+        if (found := self.older_words.get(word)) is not None:
+            pass
+        elif m := PLAIN.fullmatch(word.lower()):
             found = self.piece(m[1]) + (self.piece(m[2]) if m[2] else b"")
         else:
             found = self.whole(word)
@@ -154,7 +158,7 @@ class Encoder:
                 yield self.whole(text)
             else:
                 if len(self.words) > REMEMBERED:
-                    self.words.clear()
+                    self.words, self.older_words = {}, self.words
                 known, word = self.words.get, self.word
                 yield b"".join([known(w) or word(w) for w in text.split()])
 
