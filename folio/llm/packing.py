@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from folio.llm.common import Scratch, free_name, spread_rank
 
-#: Words whose ids a worker remembers in a generation. It keeps two: what is met again moves from the older to the newer.
-REMEMBERED = 150_000
+#: Words whose ids a worker remembers in a generation, and half as many pieces. It keeps two: what is met again moves from the older to the newer.
+REMEMBERED = 250_000
 
 
 class TightestBin:
@@ -122,8 +122,8 @@ WHOLE = re.compile("<\\||[\x1c-\x1f]")
 class Encoder:
     """Little-endian 32-bit ids of whole texts. White space ends every pre-token of this tokenizer, so words are encoded once and remembered."""
 
-    def __init__(self, path: str):
-        self.tokenizer = tokenizer(path)
+    def __init__(self, path: str, remembered: int = REMEMBERED):
+        self.remembered, self.tokenizer = remembered, tokenizer(path)
         self.model, self.words, self.older_words, self.plain, self.older_plain = self.tokenizer.model, {}, {}, {}, {}
 
     def whole(self, text: str) -> bytes:
@@ -132,7 +132,7 @@ class Encoder:
     def piece(self, letters: str) -> bytes:
         """A pre-token in the byte-level alphabet, where only bytes outside printable ASCII are written otherwise."""
         if (found := self.plain.get(letters)) is None:
-            if len(self.plain) > REMEMBERED // 2:
+            if len(self.plain) > self.remembered // 2:
                 self.plain, self.older_plain = {}, self.plain
             if (found := self.older_plain.get(letters)) is None:
                 spelled = letters if letters.isascii() else "".join(BYTE_CHARS[b] for b in letters.encode())
@@ -157,13 +157,13 @@ class Encoder:
             elif WHOLE.search(text):
                 yield self.whole(text)
             else:
-                if len(self.words) > REMEMBERED:
+                if len(self.words) > self.remembered:
                     self.words, self.older_words = {}, self.words
                 known, word = self.words.get, self.word
                 yield b"".join([known(w) or word(w) for w in text.split()])
 
 
-def pieces(df: DataFrame, tokenizer_path: str, capacity: int, end_id: int, text: str = "text", keep: tuple[str, ...] = ("doc_id",), with_ids: bool = True) -> DataFrame:
+def pieces(df: DataFrame, tokenizer_path: str, capacity: int, end_id: int, text: str = "text", keep: tuple[str, ...] = ("doc_id",), with_ids: bool = True, remembered: int = REMEMBERED) -> DataFrame:
     """`keep` columns, piece, start, length, ids_crc32 and, if asked for, ids: documents cut where they exceed the capacity."""
     kept = df.select(*keep)
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields]
@@ -172,7 +172,7 @@ def pieces(df: DataFrame, tokenizer_path: str, capacity: int, end_id: int, text:
     step = 4 * capacity
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer_path)
+        encoder = Encoder(tokenizer_path, remembered)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 some = batch.slice(at, 256)
@@ -224,7 +224,7 @@ def pack(rows: DataFrame, capacity: int, length: str = "length", key: tuple[str,
     return ranked.withColumn(spot, place(F.col(length), F.col("__rank"))).withColumns({sequence: F.col(f"{spot}.sequence"), offset: F.col(f"{spot}.offset")}).drop(spot, "__rank")
 
 
-def pack_documents(df: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, with_ids: bool = True, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Tokenize, cut and pack: a row for each piece with its place. Tokens are made once and kept in the shared folder."""
-    made = Scratch(df.sparkSession, "pack").save(pieces(df, tokenizer_path, capacity, end_id, keep=keep, with_ids=with_ids), "pieces")
+def pack_documents(df: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, with_ids: bool = True, keep: tuple[str, ...] = ("doc_id",), remembered: int = REMEMBERED) -> DataFrame:
+    """Tokenize, cut and pack: a row for each piece with its place. Tokens are made once and kept in the shared folder. `remembered` trades memory for time."""
+    made = Scratch(df.sparkSession, "pack").save(pieces(df, tokenizer_path, capacity, end_id, keep=keep, with_ids=with_ids, remembered=remembered), "pieces")
     return pack(made, capacity, key=(*keep, "piece", "ids_crc32"))
