@@ -17,6 +17,8 @@ from folio.llm.queries import domain_of, tokenizer_path
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Share of the tokens that the mixture takes. No document is taken twice.
 MIXED = 0.9
+#: Words that the encoder remembers in a generation; workers that have done the stages before have less room than those of op1.
+REMEMBERED = 150_000
 #: Fingerprints of words that a document has in the near-dedup stage, and the bits in which two of them may differ.
 PRINTS, RADIUS = 4, 5
 
@@ -57,7 +59,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces with their token ids and places in sequences of 4096 tokens. A null or empty text is its end token; repeated rows are packed each."""
-    return packing.pack_documents(docs, tokenizer_path(), with_ids=True)
+    return packing.pack_documents(docs, tokenizer_path(), with_ids=True, remembered=REMEMBERED)
 
 
 STAGES = [("quality rules", quality_rules), ("line dedup", line_dedup), ("simhash near-dedup", near_dedup), ("mixing", mix_sources), ("best-fit packing", pack)]
