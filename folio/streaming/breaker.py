@@ -14,11 +14,11 @@ from pyspark.sql.window import Window
 def tripped(rows: DataFrame, key: str, order: list[str], failures: int = 5, seconds: int = 60) -> DataFrame:
     """Adds `tripped`: whether so many failures (`bad`) lie in the last seconds up to here, none before a success (`good`) counted.
 
-    order[0] is the time.
+    order[0] is the time, to the microsecond: a failure just over `seconds` ago doesn't count.
     """
     run = F.count_if(F.col("good")).over(Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    recent = Window.partitionBy(key, "__run").orderBy("__at").rangeBetween(-seconds, 0)
-    return rows.withColumn("__run", run).withColumn("__at", F.unix_seconds(F.col(order[0]).cast("timestamp"))).withColumn("tripped", F.count_if(F.col("bad")).over(recent) >= failures).drop("__run", "__at")
+    recent = Window.partitionBy(key, "__run").orderBy("__at").rangeBetween(-seconds * 1_000_000, 0)
+    return rows.withColumn("__run", run).withColumn("__at", F.unix_micros(F.col(order[0]).cast("timestamp"))).withColumn("tripped", F.count_if(F.col("bad")).over(recent) >= failures).drop("__run", "__at")
 
 
 class Breaker(StatefulProcessor):
