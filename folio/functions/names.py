@@ -1,12 +1,13 @@
 """Name and text normalisers N1 to N11. They look alike and differ; a join must use one on both sides.
 
 Column functions throughout. Unicode decomposition is no built-in of Spark, so the four that fold accents take it from
-one Arrow UDF and belong on short columns such as names and titles.
+an Arrow UDF and belong on short columns such as names and titles.
 """
 
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -26,6 +27,13 @@ def ascii_fold(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKD", x).encode("ascii", "ignore").decode())
 
 
+@F.pandas_udf(T.StringType())
+def strip_accents(s: pd.Series) -> pd.Series:
+    """Marks go, whatever letter they are on; letters of their own such as ß and ø stay, unlike with `ascii_fold`. As DuckDB's strip_accents."""
+    bare = lambda x: "".join(ch for ch in unicodedata.normalize("NFD", x) if unicodedata.category(ch)[0] != "M")
+    return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", bare(x)))
+
+
 @F.pandas_udf(T.StringType())
 def compose(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
@@ -40,8 +48,8 @@ def hyphenate(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "-"), "^-|-$", "")
 
 
-def n1_slug(c: Column, untitled: bool = False) -> Column:
-    out = hyphenate(ascii_fold(c))
+def n1_slug(c: Column, untitled: bool = False, fold: Callable[[Column], Column] = ascii_fold) -> Column:
+    out = hyphenate(fold(c))
     return F.coalesce(F.nullif(out, F.lit("")), F.lit("untitled")) if untitled else out
 
 
@@ -58,9 +66,9 @@ def n4_alias_key(c: Column) -> Column:
     return squeeze(F.regexp_replace(F.regexp_replace(F.lower(c), r"[.,\-]", " "), "['’]", ""))
 
 
-def n5_seed_key(c: Column) -> Column:
+def n5_seed_key(c: Column, fold: Callable[[Column], Column] = ascii_fold) -> Column:
     """Unlike N4, full stops and commas go without leaving a space."""
-    return squeeze(F.regexp_replace(F.lower(ascii_fold(c)), "[.,]", ""))
+    return squeeze(F.regexp_replace(F.lower(fold(c)), "[.,]", ""))
 
 
 def n6_letters(c: Column) -> Column:

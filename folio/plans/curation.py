@@ -28,14 +28,14 @@ trim(regexp_replace(regexp_replace(lower(strip_accents(s_name)), '[.,]', '', 'g'
 )
 def name_keys(t: Tables) -> DataFrame:
     n = F.col("s_name")
-    return t.supplier.select("s_suppkey", names.n2_kebab(n).alias("kebab"), names.n3_vocab_key(n).alias("vocab_key"), names.n4_alias_key(n).alias("alias_key"), names.n5_seed_key(n).alias("seed_key"))
+    return t.supplier.select("s_suppkey", names.n2_kebab(n).alias("kebab"), names.n3_vocab_key(n).alias("vocab_key"), names.n4_alias_key(n).alias("alias_key"), names.n5_seed_key(n, names.strip_accents).alias("seed_key"))
 
 
 @query(
     r("""SELECT doc_id, regexp_replace(regexp_replace(lower(strip_accents(substr(text, 1, 40))), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM documents WHERE lang IN ('en', 'fr', 'es')""")
 )
 def title_slugs(t: Tables) -> DataFrame:
-    return t.documents.filter("lang in ('en', 'fr', 'es')").select("doc_id", names.n1_slug(F.substring("text", 1, 40)).alias("slug"))
+    return t.documents.filter("lang in ('en', 'fr', 'es')").select("doc_id", names.n1_slug(F.substring("text", 1, 40), fold=names.strip_accents).alias("slug"))
 
 
 @query(r("SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[*_`>~]', '', 'g'), '\\s+', ' ', 'g')) AS quote_text FROM documents WHERE lang = 'en'"))
