@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from folio.operators.titles import best_titles, shape
+from folio.scratch import Scratch
 
 
 def first_writer_wins(aliases: DataFrame, key: str, value: str, order: list[str]) -> DataFrame:
@@ -133,28 +134,41 @@ def contains_normal(body: Column, quote: Column, normal_body: Callable[[Column],
 def passages_in(docs: DataFrame, doc: str, body: str, passages: DataFrame, item: str, quote: str) -> DataFrame:
     """doc, item: which documents hold which passages, exactly. Empty passages are in none.
 
-    A passage's second to sixth words stand whole and side by side wherever it does, so a hash of them pairs it with the documents
-    that have that run; containment decides. Documents are exploded into hashes only, and only pairs carry texts. Passages of
-    fewer than seven words may begin and end inside words: their first three characters pair them, where there are such passages.
+    The words of a passage but its first and last stand whole and side by side wherever it does, so a hash of them (of no more than
+    five) pairs it with the documents that have that run; containment decides. Documents are exploded into hashes only, of the
+    lengths that passages have, and only pairs carry texts. Passages of one or two words may begin and end inside words:
+    the words of all documents that hold the longer one are looked up first, and each of these is a run of one.
     """
-
-    def runs(words: Column, starts: Column) -> Column:
-        return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(words, i, F.lit(5)), " "))))
-
+    scratch = Scratch(docs.sparkSession, "passages")
     words = lambda c: F.split(F.trim(F.regexp_replace(c, r"\s+", " ")), " ")
-    long = passages.select(item, F.col(quote).alias("__q"), words(F.col(quote)).alias("__w")).filter(F.size("__w") >= 7)
-    wanted = long.select(item, F.element_at(runs(F.col("__w"), F.array(F.lit(2))), 1).alias("__h"))
-    mine = docs.select(doc, words(F.col(body)).alias("__w")).filter(F.size("__w") >= 5)
-    found = mine.select(doc, F.explode(runs(F.col("__w"), F.sequence(F.lit(1), F.size("__w") - 4))).alias("__h")).join(wanted, "__h").select(doc, item).distinct()
-    short = passages.select(item, F.col(quote).alias("__q")).filter((F.col("__q") != "") & (F.size(words(F.col("__q"))) < 7))
-    if not short.isEmpty():
-        chars = docs.select(doc, F.split(body, "").alias("__c"))
-        after = lambda i, k: F.coalesce(F.get(F.col("__c"), i + k), F.lit(""))
-        pairs, threes = F.transform("__c", lambda c, i: F.concat(c, after(i, 1))), F.transform("__c", lambda c, i: F.concat(c, after(i, 1), after(i, 2)))
-        starts = chars.select(doc, F.explode(F.array_distinct(F.concat("__c", pairs, threes))).alias("__g"))
-        found = found.unionByName(starts.join(short.select(item, F.substring("__q", 1, 3).alias("__g")), "__g").select(doc, item)).distinct()
-    quotes = long.select(item, "__q").unionByName(short)
-    return found.join(docs.select(doc, F.col(body).alias("__b")), doc).join(quotes, item).filter(F.contains("__b", F.col("__q"))).select(doc, item)
+    run = lambda w, i, k: F.xxhash64(F.array_join(F.slice(w, i, k), " "))
+    # written, so that what is known of a passage's hash isn't asked of documents
+    listed = scratch.save(passages.select(F.col(item).alias("item"), F.col(quote).alias("q")).filter("q <> ''").withColumn("w", words(F.col("q"))), "listed")
+    lengths = {r.k for r in listed.select(F.greatest(F.lit(0), F.least(F.lit(5), F.size("w") - 2)).alias("k")).distinct().collect()}  # six at most
+    k = F.least(F.lit(5), F.size("w") - 2)
+    wanted = listed.filter(F.size("w") > 2).select("item", run(F.col("w"), F.lit(2), k).alias("h"))
+    mine = docs.select(F.col(doc).alias("doc"), words(F.col(body)).alias("w"))
+    if 0 in lengths:
+        tiny = listed.filter((F.size("w") < 3) & (F.get("w", F.lit(0)) != "")).withColumn("piece", F.reduce("w", F.lit(""), lambda x, y: F.when(F.char_length(y) > F.char_length(x), y).otherwise(x)))
+        known = scratch.save(mine.select(F.explode_outer("w").alias("word")).distinct().filter("word <> ''"), "words")
+        at = lambda n: F.transform(F.sequence(F.lit(1), F.char_length("word")), lambda i: F.substring("word", i, F.lit(n)))
+        grams = known.select("word", F.explode_outer(F.array_distinct(F.concat(at(1), at(2), at(3)))).alias("g"))
+        holds = grams.join(tiny.select("item", "piece", F.left("piece", F.lit(3)).alias("g")), "g").filter(F.contains("word", F.col("piece")))
+        wanted = wanted.unionByName(holds.select("item", F.xxhash64("word").alias("h")))
+    wanted = scratch.save(wanted.distinct(), "wanted")
+    # hashes are told apart as numbers: distinct structs would be compared each with each
+    of = lambda n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: run(F.col("w"), i, F.lit(n))))
+    runs = [F.when(F.size("w") >= n, of(n)).otherwise(F.array().cast("array<long>")) for n in sorted({max(1, n) for n in lengths})]
+    found = listed.select(F.lit(None).cast(docs.schema[doc].dataType).alias("doc"), "item").limit(0)
+    if runs:
+        found = mine.select("doc", F.explode_outer(F.concat(*runs)).alias("h")).join(wanted, "h").select("doc", "item")
+    # blanks alone stand wherever there are as many
+    blank = listed.filter((F.size("w") == 1) & (F.get("w", F.lit(0)) == "")).select("item")
+    if 0 in lengths:
+        found = found.unionByName(docs.select(F.col(doc).alias("doc")).crossJoin(blank))
+    found = scratch.save(found.distinct(), "found")
+    texts = docs.select(F.col(doc).alias("doc"), F.col(body).alias("b"))
+    return found.join(listed.select("item", "q"), "item").join(texts, "doc").filter(F.contains("b", F.col("q"))).select(F.col("doc").alias(doc), F.col("item").alias(item))
 
 
 def whole_word(text: Column, name: Column) -> Column:
