@@ -177,9 +177,15 @@ def whole_word(text: Column, name: Column) -> Column:
     return F.regexp_like(text, F.concat(F.lit(r"(?i)\b"), quoted, F.lit(r"\b")))
 
 
-def discrepancies(refs: DataFrame, prose: DataFrame, keys: list[str]) -> DataFrame:
-    """keys and `found`: ref-only or prose-only."""
-    return refs.join(prose, keys, "left_anti").select(*keys, F.lit("ref-only").alias("found")).unionByName(prose.join(refs, keys, "left_anti").select(*keys, F.lit("prose-only").alias("found")))
+def discrepancies(refs: DataFrame, prose: DataFrame, keys: list[str], rows_per_task: int = 500_000) -> DataFrame:
+    """keys and `found`: ref-only or prose-only, each key once; null keys equal each other.
+
+    Both sides are dealt by key once, to tasks that hold about so many rows however long the tables are.
+    """
+    rows = refs.select(*keys, F.lit(1).alias("__side")).unionByName(prose.select(*keys, F.lit(2).alias("__side")))
+    dealt = rows.repartition(max(1, -(-rows.count() // rows_per_task)), *keys)
+    sides = dealt.groupBy(*keys).agg(F.min("__side").alias("__low"), F.max("__side").alias("__high")).filter("__low = __high")
+    return sides.select(*keys, F.when(F.col("__low") == 1, "ref-only").otherwise("prose-only").alias("found"))
 
 
 def token_overlap(left: DataFrame, right: DataFrame, left_id: str, right_id: str, text_left: str, text_right: str, least_token: int = 4, least: int = 5) -> DataFrame:

@@ -183,7 +183,7 @@ def unused_authority(t: Tables) -> DataFrame:
 SELECT k, s, 'ref-only' AS found FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT k, s, 'prose-only' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)"""
 )
 def both_way_discrepancies(t: Tables) -> DataFrame:
-    rows = lambda c: t.lineitem.filter(c).select(F.col("l_orderkey").alias("k"), F.col("l_suppkey").alias("s")).distinct()
+    rows = lambda c: t.lineitem.filter(c).select(F.col("l_orderkey").alias("k"), F.col("l_suppkey").alias("s"))
     return joins.discrepancies(rows("l_returnflag = 'A'"), rows("l_linestatus = 'F'"), ["k", "s"])
 
 
