@@ -11,6 +11,9 @@ from folio.operators import joins, merge
 from folio.operators.order import rank_over
 from folio.plans.base import Tables, query
 
+#: Rows that one task takes, about, where the number of tasks follows the table.
+ROWS_PER_TASK = 500_000
+
 
 @query("SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
 def inner_lookup(t: Tables) -> DataFrame:
@@ -218,7 +221,11 @@ def role_distribution(t: Tables) -> DataFrame:
 SELECT person, work, y, row_number() OVER (PARTITION BY person ORDER BY y DESC NULLS LAST, work) AS rank FROM w QUALIFY rank <= 20"""
 )
 def works_authored(t: Tables) -> DataFrame:
-    w = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("l_suppkey").alias("person"), F.col("l_orderkey").alias("work"), F.year("o_orderdate").alias("y")).distinct()
+    # as many tasks as the rows need, so that one holds no more of a longer table
+    n = max(1, -(-t.lineitem.count() // ROWS_PER_TASK))
+    edges = t.lineitem.select(F.col("l_suppkey").alias("person"), F.col("l_orderkey").alias("work")).repartition(n, "work").distinct()
+    years = t.orders.select(F.col("o_orderkey").alias("work"), F.year("o_orderdate").alias("y")).repartition(n, "work")
+    w = edges.join(years, "work").select("person", "work", "y").distinct().repartition(n, "person")
     return w.withColumn("rank", F.row_number().over(Window.partitionBy("person").orderBy(F.col("y").desc_nulls_last(), "work"))).filter("rank <= 20")
 
 
