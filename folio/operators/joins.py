@@ -104,7 +104,9 @@ def fuzzy_tiers(left: DataFrame, right: DataFrame, high: float = 92, medium: flo
     the best `tried` count: high from `high` on, medium from `medium` on if the surname stands in the byline.
     Each two different titles of a year are compared once, however many rows have them, and scored only while they can be among the best.
     """
-    exact = left.join(right, F.col("slug") == F.col("rslug")).select("id", "rid", F.when(F.col("url").isNotNull(), "exact").otherwise("page-only").alias("tier"), F.lit(0).alias("rank"))
+    # only the least rid of a slug can be taken, so rows of one slug aren't paired each with each
+    first = right.groupBy("rslug").agg(F.min(F.struct("rid", F.col("url").isNull().alias("bare"))).alias("r"))
+    exact = left.join(first, F.col("slug") == F.col("rslug")).select("id", "r.rid", F.when(F.col("r.bare"), "page-only").otherwise("exact").alias("tier"), F.lit(0).alias("rank"))
     shaped = right.select("rid", F.col("ryear").alias("year"), shape(F.col("rtitle")).alias("rtitle"), "byline").filter("year is not null")
     # of rows with one title no more than `tried` can count
     few = shaped.withColumn("__n", F.row_number().over(Window.partitionBy("year", "rtitle").orderBy("rid"))).filter(F.col("__n") <= tried)
