@@ -5,7 +5,7 @@ inventory) are dealt into blocks by length. A block has postings of its words, a
 title is a letter of its own). For one title the postings give, for all titles of the block at once, the shared words, which
 settle two of the ratio's three comparisons, and the letters in common, which no common subsequence can exceed. Titles are scored in the order of that
 bound until it falls below the last of the best so far; subsequences take one step for each letter, with the title in the bits
-of a number.
+of a number. Letters of shared words are left out there: bits that match nothing in the one title, steps that do nothing for the other.
 
 Every title first visits the block of its own length. With what it finds there it goes on to the blocks that hold one of its
 words, and to those of lengths that could still do as well without one. What leaves a task are the best few titles.
@@ -24,8 +24,8 @@ from pyspark.sql.window import Window
 from folio.functions.text import common_letters
 from folio.scratch import Scratch
 
-#: Titles of a block, and visitors that one task takes, about; most titles that are scored together.
-BLOCK, VISITORS, AT_ONCE = 4096, 512, 1024
+#: Titles of a block, and visitors that one task takes, about; titles that are scored together first; most words of titles that are scored together.
+BLOCK, VISITORS, FIRST, WORDS = 4096, 512, 128, 31
 COLUMNS = ["part", "block", "slice", "task", "kind", "title", "least", "floor"]
 
 
@@ -44,8 +44,8 @@ class Postings:
         self.of_word: dict = {}
         self.of_letter: dict = {}
         for i, t in enumerate(titles):
-            for w in self.words[i]:
-                self.of_word.setdefault(w, []).append(i)
+            for k, w in enumerate(self.words[i]):
+                self.of_word.setdefault(w, []).append((i, k))
             for key in numbered_letters(t):
                 self.of_letter.setdefault(key, []).append(i)
         # the titles' letters as numbers, a row for each place; 0 where a title has ended
@@ -53,6 +53,11 @@ class Postings:
         self.letters = np.zeros((int(self.lengths.max(initial=0)), len(titles)), dtype=np.uint16 if len(self.code) < 65536 else np.uint32)
         for i, t in enumerate(titles):
             self.letters[: len(t), i] = [self.code[ch] for ch in t]
+        # the word that a letter is in; a space goes with the word behind it, under a number of its own
+        self.word_at = np.zeros(self.letters.shape, dtype=np.uint8)
+        for i, words in enumerate(self.words):
+            if len(words) <= WORDS:
+                self.word_at[: len(titles[i]), i] = [x for k, w in enumerate(words) for x in ([k + WORDS + 1] if k else []) + [k] * len(w)]
         self.of_word, self.of_letter = ({k: np.array(v) for k, v in d.items()} for d in (self.of_word, self.of_letter))
 
     def best(self, title: str, floor: float, whole: bool, top: int) -> list[tuple[int, float]]:
@@ -61,10 +66,14 @@ class Postings:
         if not mine:
             return self.nothing_alike(top) if floor <= 0 else []
         shared, letters = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
-        for w in mine:
-            if (at := self.of_word.get(w)) is not None:
+        here, there = np.zeros(n, dtype=np.uint64), np.zeros(n, dtype=np.uint64)  # which of the words are shared, as bits
+        for k, w in enumerate(mine):
+            if (both := self.of_word.get(w)) is not None:
+                at, place = both.T
                 shared[at] += 1
                 letters[at] += len(w)
+                here[at] |= np.uint64(1 << min(k, WORDS))
+                there[at] |= np.uint64(1) << np.minimum(place, WORDS).astype(np.uint64)
         base = letters + np.maximum(shared - 1, 0)
         common = [at for k in numbered_letters(title) if (at := self.of_letter.get(k)) is not None]
         overlap = np.bincount(np.concatenate(common), minlength=n) if common else np.zeros(n, dtype=np.int64)
@@ -74,38 +83,69 @@ class Postings:
         limit = np.floor(bound + 1e-9) if whole else bound + 1e-9
         found: list[tuple[float, object, int]] = []
         order = np.argsort(-limit, kind="stable")
-        start, step = 0, 2 * top
+        start, step = 0, FIRST
         while start < n:
             worst = -found[-1][0] if len(found) == top else floor
             some = order[start : start + step]
-            start, step = start + step, min(2 * step, AT_ONCE)
+            start, step = start + step, n
             some = some[limit[some] >= worst]
             if not len(some):
                 break
-            apart = some[shared[some] == 0]
-            scores = [*zip(apart.tolist(), self.ratios(title, apart).tolist(), strict=True)]
-            for i in some[shared[some] > 0].tolist():
-                scores.append((i, 100.0 if full[i] else max(float(known[i]), self.rest(mine, i, int(base[i])))))
-            if whole:
-                scores = [(i, float(int(x))) for i, x in scores]
-            found = sorted([*found, *((-x, self.least[i], i) for i, x in scores if x >= worst)])[:top]
+            x = np.where(full, 100.0, 0.0)[some]
+            apart, beside = shared[some] == 0, (shared[some] > 0) & ~full[some]
+            x[apart] = self.ratios(title, some[apart])
+            at = some[beside]
+            x[beside] = np.maximum(known[at], self.rests(title, mine, at, shared[at], letters[at], here[at], there[at]))
+            x = np.floor(x) if whole else x
+            good = np.flatnonzero(x >= worst)
+            if len(good) > top:  # the last of the best, and all as good
+                good = good[x[good] >= np.partition(x[good], len(good) - top)[len(good) - top]]
+            found = sorted([*found, *((-v, self.least[i], i) for i, v in zip(some[good].tolist(), x[good].tolist(), strict=True))])[:top]
         return [(i, -s) for s, _, i in found]
 
-    def ratios(self, title: str, at: np.ndarray) -> np.ndarray:
-        """The ratio of a title and those at these places, which share no word with it: all at once, a bit of a number for each of the title's letters."""
-        m = len(title)
-        if m > 64:
-            return np.array([200.0 * common_letters(title, self.titles[i]) / (m + int(self.lengths[i])) for i in at])
+    def common(self, title: str, at: np.ndarray, own: np.ndarray | None = None, less: np.ndarray | None = None) -> np.ndarray:
+        """The longest common subsequence of a title of 64 letters at most and those at these places: all at once, a bit of a number for each of the title's letters.
+
+        own: the bits of the title's letters that count for each; less: the numbers of words, as bits, that don't count in each.
+        """
         places = np.zeros(len(self.code) + 1, dtype=np.uint64)
         for i, ch in enumerate(title):
             if code := self.code.get(ch):
                 places[code] |= np.uint64(1 << i)
-        whole = np.uint64((1 << m) - 1)
+        whole = np.uint64((1 << len(title)) - 1)
         free = np.full(len(at), whole)
-        for column in self.letters[: int(self.lengths[at].max(initial=0)), at]:
-            hit = free & places[column]
+        for k in range(int(self.lengths[at].max(initial=0))):
+            hit = places[self.letters[k, at]]
+            if less is not None:
+                hit &= own
+                hit[(less >> self.word_at[k, at]) & np.uint64(1) > 0] = 0
+            hit &= free
             free = ((free + hit) | (free - hit)) & whole
-        return 200.0 * (m - np.bitwise_count(free).astype(np.int64)) / (m + self.lengths[at])
+        return len(title) - np.bitwise_count(free).astype(np.int64)
+
+    def ratios(self, title: str, at: np.ndarray) -> np.ndarray:
+        """The ratio of a title and those at these places, which share no word with it."""
+        m = len(title)
+        if m > 64:
+            return np.array([200.0 * common_letters(title, self.titles[i]) / (m + int(self.lengths[i])) for i in at])
+        return 200.0 * self.common(title, at) / (m + self.lengths[at])
+
+    def rests(self, title: str, mine: list[str], at: np.ndarray, shared: np.ndarray, letters: np.ndarray, here: np.ndarray, there: np.ndarray) -> np.ndarray:
+        """The ratio of the shared words and either rest, of titles that share some words and have others; the shared words are a prefix of both."""
+        base = letters + shared - 1
+        if len(title) > 64 or len(mine) > WORDS:
+            return np.array([self.rest(mine, i, int(b)) for i, b in zip(at.tolist(), base, strict=True)])
+        kinds, which = np.unique(here, return_inverse=True)
+        own = np.array([left_bits(mine, int(h)) for h in kinds], dtype=np.uint64)[which]
+        one = np.uint64(1)
+        # spaces before shared words and before the first word that is left
+        less = there | ((there | (~there & (there + one))) << np.uint64(WORDS + 1))
+        ahead = base + 1
+        # a word takes a space with it
+        out = 200.0 * (ahead + self.common(title, at, own, less)) / (2 * ahead + len(title) + self.lengths[at] - 2 * (letters + shared))
+        for k in np.flatnonzero(self.sizes[at] > WORDS):
+            out[k] = self.rest(mine, int(at[k]), int(base[k]))
+        return out
 
     def nothing_alike(self, top: int) -> list[tuple[int, float]]:
         return [(i, 0.0) for i in sorted(range(len(self.titles)), key=self.least.__getitem__)[:top]]
@@ -118,6 +158,18 @@ class Postings:
         return 200.0 * (ahead + common_letters(a, b)) / (2 * ahead + len(a) + len(b)) if a or b or base else 0.0
 
 
+def left_bits(words: list[str], shared: int) -> int:
+    """The places of a title that are left without its shared words, as bits: a word with the space before it, but for the first that is left."""
+    out, at, some = 0, 0, False
+    for k, w in enumerate(words):
+        if not shared >> k & 1:
+            first = at if some or not k else at + 1
+            out |= (1 << at + len(w) + (k > 0)) - (1 << first)
+            some = True
+        at += len(w) + (k > 0)
+    return out
+
+
 def numbered_letters(title: str) -> list[tuple[str, int]]:
     seen: dict[str, int] = {}
     out = []
