@@ -43,6 +43,8 @@ FULL = (1 << 64) - 1
 BEGINS, ENDS = 1, 2
 #: A hash with more than its part of all repeated chunks is hot, so at most HOT are; it is dealt out in SALTS parts.
 HOT, SALTS = 2000, 64
+#: Texts that a task turns into Python objects at once.
+AT_ONCE = 128
 
 
 def wrapped(text: bytes, start: int, end: int, ends: re.Pattern) -> list[tuple[int, int]]:
@@ -196,25 +198,33 @@ def dedup_lines(df: DataFrame, text: str = "text", key: str = "doc_id", least_wo
             out.append(find_runs(mine, m))
         return pd.Series(out)
 
-    plan = scratch.save(asked.select("key", "row", runs("asked", "n").alias("runs")).filter(F.size("runs") > 0), "runs")
+    # a deterministic function would be called by the filter and again by what it lets through
+    plan = scratch.save(asked.select("key", "row", runs.asNondeterministic()("asked", "n").alias("runs")).filter(F.size("runs") > 0), "runs")
     asks = plan.select("key", "row", F.posexplode("runs").alias("run_no", "run")).select("key", "row", "run_no", F.posexplode("run.asks").alias("part", "ask")).select("key", "row", "run_no", "part", "ask.*")
     wanted = asks.groupBy("at", "at_row").agg(F.collect_set(F.struct("at_begin", "at_stop", "salt", "left", "right")).alias("wanted"))
 
-    @F.pandas_udf("array<struct<at_begin:int,at_stop:int,salt:int,left:boolean,right:boolean,bodies:array<binary>,before:binary,behind:binary>>")
-    def stretches(docs: pd.DataFrame, wanted: pd.Series) -> pd.Series:
-        return pd.Series([answer(t, w) for t, w in zip(docs[text], wanted, strict=True)])
+    parts = pa.list_(pa.struct([(c, pa.int32()) for c in ("at_begin", "at_stop", "salt")] + [("left", pa.bool_()), ("right", pa.bool_()), ("bodies", pa.list_(pa.binary())), ("before", pa.binary()), ("behind", pa.binary())]))
+
+    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, AT_ONCE):
+                some = batch.slice(start, AT_ONCE)
+                made = [answer(t, w) for t, w in zip(some.column(2).field(text).to_pylist(), some.column(3).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(made, parts)], names=["__at", "at_row", "a"])
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, runs: pd.Series, answers: pd.Series) -> pd.Series:
         return pd.Series([t if r is None or a is None else without(t, r, a, least_words) for t, r, a in zip(texts, runs, answers, strict=True)])
 
     asked_for = docs.join(wanted, F.col("__key").eqNullSafe(F.col("at")) & (F.col("__row") == F.col("at_row")))
-    answers = asked_for.select("at", "at_row", F.explode(stretches(F.col("__doc"), F.col("wanted"))).alias("a")).select(F.col("at").alias("__at"), "at_row", "a.*")
+    part = "struct<at_begin:int,at_stop:int,salt:int,left:boolean,right:boolean,bodies:array<binary>,before:binary,behind:binary>"
+    answers = asked_for.select("at", "at_row", "__doc", "wanted").mapInArrow(stretches, f"__at {kind}, at_row long, a array<{part}>").select("__at", "at_row", F.explode("a").alias("a")).select("__at", "at_row", "a.*")
     answers = asks.join(answers, ["at_row", "at_begin", "at_stop", "salt", "left", "right"]).filter(F.col("at").eqNullSafe(F.col("__at")))
     answers = answers.groupBy("key", "row").agg(F.collect_set(F.struct("run_no", "part", "bodies", "before", "behind")).alias("answers"))
     full = plan.join(answers.withColumnsRenamed({"key": "k", "row": "r"}), F.col("key").eqNullSafe(F.col("k")) & (F.col("row") == F.col("r"))).select("key", "row", "runs", "answers")
     final = docs.join(full, F.col("__key").eqNullSafe(F.col("key")) & (F.col("__row") == F.col("row")), "left").select("__doc", "runs", "answers")
-    kept = F.when(F.col("runs").isNull(), F.col("__doc")[text]).otherwise(cut(F.col("__doc")[text], F.col("runs"), F.col("answers")))
+    # only texts that lose something go to Python
+    kept = F.when(F.col("runs").isNull(), F.col("__doc")[text]).otherwise(cut(F.when(F.col("runs").isNotNull(), F.col("__doc")[text]), F.col("runs"), F.col("answers")))
     removed = F.coalesce(F.char_length(F.col("__doc")[text]) - F.char_length("__text"), F.lit(0)).alias("removed_chars")
     return final.withColumn("__text", kept).select(*[F.col("__text").alias(c) if c == text else F.col("__doc")[c].alias(c) for c in others], removed)
 
