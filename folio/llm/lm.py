@@ -274,19 +274,23 @@ def scores(df: DataFrame, text: str = "text", key: str = "doc_id", held_out: Col
     strength = STRENGTH
 
     def finish(lots: list) -> Iterator[pa.RecordBatch]:
-        """Probabilities of the texts of some lots, whose n-grams are looked up together."""
-        found = typical(stored.read(np.concatenate([g for lot in lots for g in (lot[0], lot[1])])))
+        """Probabilities of the texts of some lots, whose n-grams are looked up together, each of them once."""
+        h, lengths = (np.concatenate([lot[k] for lot in lots]) for k in (0, 1))
+        first = np.cumsum(lengths) - lengths
+        before = np.arange(len(h)) - 1
+        before[first] = first + lengths - 1
+        singles, back = np.unique(h, return_inverse=True)
+        pairs, back2 = np.unique(pair(h[before], h), return_inverse=True)
+        found = typical(stored.read(np.concatenate([singles, pairs])))
+        c = found[: len(singles)][back]
+        c_before = c[before]
+        p = (c + 0.5) / (n + 0.5 * (v + 1))
+        p = (np.minimum(found[len(singles) :][back2], c_before) + strength * p) / (c_before + strength)
+        total = np.add.reduceat(np.log10(p), first) if len(first) else np.zeros(0)
         at = 0
-        for singles, pairs, back, back_before, back2, lengths, first, columns in lots:
-            single = found[at : at + len(singles)]
-            double = found[at + len(singles) : at + len(singles) + len(pairs)][back2]
-            at += len(singles) + len(pairs)
-            c = single[back]
-            c_before = single[back_before]
-            p = (c + 0.5) / (n + 0.5 * (v + 1))
-            p = (np.minimum(double, c_before) + strength * p) / (c_before + strength)
-            total = np.add.reduceat(np.log10(p), first) if len(first) else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*columns[:5], pa.array(total), columns[5]], names=[key, "held_out", "n_tokens", "hot_known", "hot_sum", "score", "rare"])
+        for _, mine, columns in lots:
+            yield pa.RecordBatch.from_arrays([*columns[:5], pa.array(total[at : at + len(mine)]), columns[5]], names=[key, "held_out", "n_tokens", "hot_known", "hot_sum", "score", "rare"])
+            at += len(mine)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = exact.value
@@ -315,19 +319,11 @@ def scores(df: DataFrame, text: str = "text", key: str = "doc_id", held_out: Col
                     n_known.append(seen)
                 lengths = np.array(n_tokens)
                 h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-                first = np.cumsum(lengths) - lengths
-                before = np.concatenate([h[:1], h[:-1]])
-                before[first] = h[first + lengths - 1]
-                singles, back = np.unique(h, return_inverse=True)
-                pairs, back2 = np.unique(pair(before, h), return_inverse=True)
-                back, back2 = back.astype(np.int32), back2.astype(np.int32)
-                back_before = np.concatenate([back[:1], back[:-1]])
-                back_before[first] = back[first + lengths - 1]
                 lists = pa.ListArray.from_arrays(
                     pa.array(rare_at, pa.int32()),
                     pa.StructArray.from_arrays([pa.array(rare_words, pa.binary()).cast(pa.string()), pa.array(rare_n, pa.int64())], names=["word", "n"]),
                 )
-                lots.append((singles, pairs, back, back_before, back2, lengths, first, [some.column(1), some.column(2), pa.array(lengths), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), lists]))
+                lots.append((h, lengths, [some.column(1), some.column(2), pa.array(lengths), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), lists]))
                 held += len(h)
                 if held >= AT_ONCE:
                     yield from finish(lots)
