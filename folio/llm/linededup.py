@@ -36,11 +36,9 @@ WRAP, LONG = 160, 480
 DIVISOR, WORDS_A_LINE = 3, 16
 SENTENCE = re.compile(rb"[.!?]+ ")
 PIECE = re.compile(rb"\n|[.!?]+ ")
-SPACED = re.compile(rb"\S+\s*")
+SPACED = re.compile(rb"(\S+)\s*")
 MULTIPLIER = 0x9E3779B97F4A7C15
-FULL = (1 << 64) - 1
-#: A wrapped paragraph begins or ends with the line.
-BEGINS, ENDS = 1, 2
+FULL, HALF = (1 << 64) - 1, 1 << 63
 #: A hash with more than its part of all repeated chunks is hot, so at most HOT are; it is dealt out in SALTS parts.
 HOT, SALTS = 2000, 64
 #: Texts that a task turns into Python objects at once.
@@ -49,60 +47,48 @@ AT_ONCE = 128
 
 def wrapped(text: bytes, start: int, end: int, ends: re.Pattern) -> list[tuple[int, int]]:
     """(start, end) of the sentences between two places, long ones cut at picked words."""
-    out = []
-
-    def add(a: int, b: int) -> None:
-        if b - a > LONG:
-            for m in SPACED.finditer(text, a, b):
-                if m.end() < b and zlib.crc32(m[0].rstrip()) % WORDS_A_LINE == 0:
-                    out.append((a, m.end()))
-                    a = m.end()
-        if a < b:
-            out.append((a, b))
-
-    at = start
-    for m in ends.finditer(text, start, end):
-        add(at, m.end())
-        at = m.end()
-    add(at, end)
+    out, at = [], start
+    for stop in [*[m.end() for m in ends.finditer(text, start, end)], end]:
+        if stop - at > LONG:
+            for m in SPACED.finditer(text, at, stop):
+                if zlib.crc32(m[1]) % WORDS_A_LINE == 0 and m.end() < stop:
+                    out.append((at, m.end()))
+                    at = m.end()
+        if at < stop:
+            out.append((at, stop))
+        at = stop
     return out
 
 
-def lines_of(text: bytes) -> Iterator[tuple[int, int, int]]:
-    """(start, end, BEGINS and ENDS as they hold) of each line, its line end included."""
-    start, size = 0, len(text)
+def chunks(text: bytes) -> list[tuple[int, int, int]]:
+    """(start, end, hash) of each chunk; together they are the text. The hash leaves out white space at the chunk's end.
+
+    Lines include their line ends. A wrapped line begins and ends a chunk.
+    """
+    out, size, start, first, before = [], len(text), 0, 0, 0
+    digest = xxhash.xxh64_intdigest
     while start < size:
-        found = text.find(b"\n", start)
-        end = size if found < 0 else found + 1
+        end = text.find(b"\n", start) + 1 or size
         if end - start <= WRAP:
-            yield start, end, 0
+            wraps, lines = False, ((start, end),)
         else:
-            parts = wrapped(text, start, end, SENTENCE)
-            for k, (a, b) in enumerate(parts):
-                yield a, b, (BEGINS if k == 0 else 0) | (ENDS if k == len(parts) - 1 else 0)
-        start = end
-
-
-def chunks(text: bytes) -> list[tuple[int, int, int]]:
-    """(start, end, hash) of each chunk; together they are the text. The hash leaves out white space at the chunk's end."""
-    out = []
-    digest = xxhash.xxh64_intdigest
-    first, some, before = 0, False, 0
-    for start, end, edge in lines_of(text):
-        if edge & BEGINS:
-            if some:
-                out.append((first, start, digest(text[first:start].rstrip()) - (1 << 63)))
+            wraps, lines = True, wrapped(text, start, end, SENTENCE)
+            if first < start:
+                out.append((first, start, digest(text[first:start].rstrip()) - HALF))
             first, before = start, 0
-        h = digest(text[start:end].rstrip())
-        rolled = (before * MULTIPLIER + h) * MULTIPLIER & FULL  # of this line and the one before
-        before, some = h, True
-        if edge & ENDS or (rolled >> 32) % DIVISOR == 0:
-            out.append((first, end, digest(text[first:end].rstrip()) - (1 << 63)))
-            first, some = end, False
-        if edge & ENDS:
+        for a, b in lines:
+            h = digest(text[a:b].rstrip())
+            # the rolling hash of this line and the one before
+            if (((before * MULTIPLIER + h) * MULTIPLIER & FULL) >> 32) % DIVISOR == 0 or wraps and b == end:
+                # a chunk of one line has the line's hash
+                out.append((first, b, (h if first == a else digest(text[first:b].rstrip())) - HALF))
+                first = b
+            before = h
+        if wraps:
             before = 0
-    if some:
-        out.append((first, len(text), digest(text[first:].rstrip()) - (1 << 63)))
+        start = end
+    if first < size:
+        out.append((first, size, digest(text[first:].rstrip()) - HALF))
     return out
 
 
