@@ -18,6 +18,8 @@ A text may have several fingerprints of independent hashes; texts are linked if
 pair's bits differ by chance around what their likeness gives, so more fingerprints find what a larger radius would, with
 masks that grow by the number instead of doubling with each bit.
 
+Joins whose both sides grow with the texts are told to merge: a compressed file says little of the memory that its rows take.
+
 Null text counts as empty. A text with fewer words than a shingle is one shingle; one without words has fingerprint
 zero and is linked like any other. Very long texts are hashed whole. Rows that share a doc_id or have none are linked by
 their own texts. Extra columns go, so their names can't clash. An empty table gives an empty result.
@@ -197,6 +199,15 @@ def spelled(classes: DataFrame, under: list[int], *more: str) -> DataFrame:
     return classes.select("which", "fingerprint", *more, table).select(F.shiftrightunsigned(hashed, 16).alias("bucket"), "fingerprint", *more)
 
 
+def in_open_buckets(dealt: DataFrame) -> DataFrame:
+    """bucket, fingerprint, rep of the buckets that are still of several parts. dealt: these and part.
+
+    Spark takes a table's size from its files, which the masks multiply. So the join is told to merge: such buckets are too many for the driver.
+    """
+    open_ = dealt.groupBy("bucket").agg(F.min("part").alias("least"), F.max("part").alias("most")).filter("least < most").select("bucket")
+    return dealt.join(open_.hint("merge"), "bucket").select("bucket", "fingerprint", "rep")
+
+
 def links(classes: DataFrame, radius: int, scratch: Scratch, known: DataFrame | None = None) -> DataFrame:
     """Links (a, b) of representatives that connect all fingerprints of one number within the radius. classes: which, fingerprint, rep, one row for each of the first two.
 
@@ -208,12 +219,10 @@ def links(classes: DataFrame, radius: int, scratch: Scratch, known: DataFrame |
     early = first_links(classes, n, radius)
     early = scratch.save(early if known is None else early.unionByName(known), "early")
     found = scratch.save(components(early, scratch, "early"), "found")
-    classes = scratch.save(classes.join(found, F.col("rep") == F.col("node"), "left").select("which", "fingerprint", "rep", F.coalesce("component", "rep").alias("part")), "parts")
+    classes = scratch.save(classes.join(found.hint("merge"), F.col("rep") == F.col("node"), "left").select("which", "fingerprint", "rep", F.coalesce("component", "rep").alias("part")), "parts")
     # the join may have dealt the rows by rep or into few tasks
     classes = classes.repartition(max(1, -(-n // SPELLED)), "fingerprint")
-    dealt = spelled(classes, masks(radius), "rep", "part")
-    open_ = dealt.groupBy("bucket").agg(F.min("part").alias("least"), F.max("part").alias("most")).filter("least < most").select("bucket")
-    shared = scratch.save(dealt.join(open_, "bucket").select("bucket", "fingerprint", "rep"), "shared")
+    shared = scratch.save(in_open_buckets(spelled(classes, masks(radius), "rep", "part")), "shared")
     sizes = shared.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK)
     shared = shared.join(sizes, "bucket", "left").withColumn("blocks", F.coalesce(F.ceil(F.col("n") / BLOCK), F.lit(1)).cast("int"))
     own = F.pmod(F.xxhash64(F.lit(3), "fingerprint"), F.col("blocks")).cast("int")
@@ -256,9 +265,9 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "star") -> DataFr
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.filter("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
+        small = large.join(least.hint("merge"), "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
         k += 1
         following = scratch.save(small, f"{name}{k}")
         state = following.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -285,10 +294,10 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", shin
     single = scratch.save(each.groupBy("which", "fingerprint").agg(F.min("rep").alias("rep")), "single")
     known = None
     if count > 1:  # classes may share one fingerprint and not the others
-        known = each.join(single.withColumnRenamed("rep", "a"), ["which", "fingerprint"]).filter("rep != a").select("a", F.col("rep").alias("b"))
+        known = each.join(single.withColumnRenamed("rep", "a").hint("merge"), ["which", "fingerprint"]).filter("rep != a").select("a", F.col("rep").alias("b"))
     found = components(links(single, radius, scratch, known), scratch)
-    grouped = scratch.save(classes.join(found, F.col("rep") == F.col("node"), "left").select("fingerprints", "first", F.coalesce("component", "rep").alias("component")), "grouped")
-    least = grouped.select("fingerprints", "component").join(grouped.groupBy("component").agg(F.min("first").alias("first")), "component").select("fingerprints", "first")
+    grouped = scratch.save(classes.join(found.hint("merge"), F.col("rep") == F.col("node"), "left").select("fingerprints", "first", F.coalesce("component", "rep").alias("component")), "grouped")
+    least = grouped.select("fingerprints", "component").join(grouped.groupBy("component").agg(F.min("first").alias("first")).hint("merge"), "component").select("fingerprints", "first")
     rows = made if tie is None else made.groupBy(*keep, "fingerprints").agg(F.count(F.lit(1)).alias("n"))
     more = [] if tie is None else [F.col(tie), F.col("n"), place.eqNullSafe(F.col("first")).alias("stays")]
-    return rows.join(least, "fingerprints").select(key, F.get("fingerprints", F.lit(0)).alias("fingerprint"), F.col("first.key").alias("component_id"), *more)
+    return rows.join(least.hint("merge"), "fingerprints").select(key, F.get("fingerprints", F.lit(0)).alias("fingerprint"), F.col("first.key").alias("component_id"), *more)
