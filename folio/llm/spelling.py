@@ -76,13 +76,16 @@ def zones(places: DataFrame, shorter: list[int]) -> DataFrame:
 
 
 def near_pairs(words: DataFrame, scratch: Scratch) -> DataFrame:
-    """a, b: pairs of words exactly one edit apart; the shorter first, or the smaller of two equally long."""
+    """a, b: pairs of words exactly one edit apart; the shorter first, or the smaller of two equally long.
+
+    Spark takes the zones' size from the file of the places, which they exceed many times. So the join is told to merge.
+    """
     places = scratch.save(prefixes(words, scratch), "places")
     a = zones(places, [0]).withColumnRenamed("word", "a")
     b = zones(places, [0, 1]).withColumnRenamed("word", "b")
     long = F.char_length("b") - F.char_length("a")
     wanted = ((long == 1) | ((long == 0) & (F.col("a") < F.col("b")))) & (F.levenshtein("a", "b", 1) == 1)
-    return a.join(b, (a["zone"] == b["zone"]) & wanted).select("a", "b").distinct()
+    return a.join(b.hint("merge"), (a["zone"] == b["zone"]) & wanted).select("a", "b").distinct()
 
 
 def roots(forms: DataFrame, scratch: Scratch) -> DataFrame:
@@ -91,7 +94,7 @@ def roots(forms: DataFrame, scratch: Scratch) -> DataFrame:
     while True:
         up = now.select(F.col("word").alias("at"), F.col("root").alias("up"))
         k += 1
-        following = scratch.save(now.join(up, F.col("root") == F.col("at"), "left").select("word", F.coalesce("up", "root").alias("root"), F.col("up").isNotNull().alias("moved")), f"roots{k}")
+        following = scratch.save(now.join(up.hint("merge"), F.col("root") == F.col("at"), "left").select("word", F.coalesce("up", "root").alias("root"), F.col("up").isNotNull().alias("moved")), f"roots{k}")
         if following.filter("moved").isEmpty():
             return following.select("word", "root")
         now = following.select("word", "root")
@@ -109,13 +112,13 @@ def spelling_variants(df: DataFrame, text: str = "text", key: str = "doc_id", le
     words = scratch.save(counted_words(df, text, key, least_letters, least_count, every), "words")
     pairs = scratch.save(near_pairs(words.select("word"), scratch), "pairs")
     both = pairs.select(F.col("a").alias("word"), F.col("b").alias("near")).unionByName(pairs.select(F.col("b").alias("word"), F.col("a").alias("near")))
-    with_n = both.join(words.select(F.col("word").alias("near"), F.col("n").alias("near_n")), "near")
+    with_n = both.join(words.select(F.col("word").alias("near"), F.col("n").alias("near_n")).hint("merge"), "near")
     best = with_n.groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("less"), F.col("near").alias("form"))).alias("best"))
     most = -F.col("best.less")
     formed = most >= ratio * F.col("n")
-    known = words.join(best, "word", "left").select(
+    known = words.join(best.hint("merge"), "word", "left").select(
         "word", F.when(formed, F.col("best.form")).alias("form"), "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(formed, most).alias("form_n")
     )
     known = scratch.save(known, "known")
     ends = roots(known.filter("form IS NOT NULL").select("word", "form"), scratch)
-    return known.join(ends, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return known.join(ends.hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

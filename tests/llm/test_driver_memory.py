@@ -2,7 +2,7 @@
 
 import pytest
 
-from folio.llm import simhash
+from folio.llm import simhash, spelling
 
 WORDS = "alpha beta gamma delta epsilon zeta theta kappa lambda omega".split()
 
@@ -30,3 +30,14 @@ def test_near_duplicates_broadcast_no_buckets(spark, plans):
     for name in ("parts", "shared", "grouped", "made"):
         assert "SortMergeJoin" in plans[name] and "BroadcastExchange" not in plans[name], name
     assert not [n for n, p in plans.items() if n.startswith(("early", "star")) and "BroadcastExchange" in p]
+
+
+def test_spelling_variants_broadcast_no_zones(spark, plans):
+    words = [w * 2 for w in WORDS] + [w * 2 + "s" for w in WORDS]
+    docs = spark.createDataFrame([(i, " ".join(words[:10] * 5 + words[10:])) for i in range(5)], "doc_id long, text string")
+    made = spelling.spelling_variants(docs, every=10**9)
+    plans["made"] = made._jdf.queryExecution().executedPlan().toString()
+    got = {r.word: (r.form, r.root, r.n, r.n_near) for r in made.collect()}
+    assert got == {w: (None, w, 25, 1) for w in words[:10]} | {w: (w[:-1], w[:-1], 5, 1) for w in words[10:]}
+    for name in ("pairs", "known", "roots1", "made"):
+        assert "SortMergeJoin" in plans[name] and "BroadcastExchange" not in plans[name], name
