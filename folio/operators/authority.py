@@ -18,15 +18,18 @@ def nearest_titles(misses: DataFrame, key: str, title: str, inventory: DataFrame
     Titles are normalised. Equal scores are taken in the order of `other`.
     """
     scratch = Scratch(misses.sparkSession, "nearest")
-    mine = misses.select(F.lit(0).alias("part"), shape(F.col(title)).alias("title"))
+    # written: both are read several times
+    asked = scratch.save(misses.select(F.col(key), shape(F.col(title)).alias("__t")), "asked")
     # of rows with one title no more than `top` can count
     first = Window.partitionBy("__o").orderBy(other)
     rows = inventory.select(F.col(other), shape(F.col(other_title)).alias("__o")).withColumn("__n", F.row_number().over(first)).filter(F.col("__n") <= top)
+    rows = scratch.save(rows, "rows")
+    mine = asked.select(F.lit(0).alias("part"), F.col("__t").alias("title"))
     stock = rows.filter("__n = 1").select(F.lit(0).alias("part"), F.col("__o").alias("title"), F.col(other).alias("least"))
     found = best_titles(mine, stock, top, whole=True, scratch=scratch)
     w = Window.partitionBy("__t").orderBy(F.col("score").desc(), other)
     best = found.select(F.col("title").alias("__t"), F.col("other_title").alias("__o"), F.col("score").cast("int").alias("score")).join(rows.drop("__n"), "__o").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
-    return misses.select(key, shape(F.col(title)).alias("__t")).join(best, "__t").select(key, other, "score", "rank")
+    return asked.join(best, "__t").select(key, other, "score", "rank")
 
 
 def already_known(records: DataFrame, key: str, additions: str, lookup: DataFrame, name: str, slug: str) -> DataFrame:

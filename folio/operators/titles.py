@@ -13,6 +13,7 @@ words, and to those of lengths that could still do as well without one. What lea
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,8 +25,10 @@ from pyspark.sql.window import Window
 from folio.functions.text import common_letters
 from folio.scratch import Scratch
 
-#: Titles of a block, and visitors that one task takes, about; titles that are scored together first; most words of titles that are scored together.
-BLOCK, VISITORS, FIRST, WORDS = 4096, 512, 128, 31
+#: Titles of a block, and visitors that one task takes, about; titles that are scored together first; most letters and words of titles that are scored together.
+BLOCK, VISITORS, FIRST, PLACES, WORDS = 4096, 2048, 128, 64, 31
+#: Letters whose places a block remembers; tasks for each core.
+LETTERS, TILES = 512, 8
 COLUMNS = ["part", "block", "slice", "task", "kind", "title", "least", "floor"]
 
 
@@ -41,61 +44,87 @@ class Postings:
         self.titles, self.least = titles, least
         self.words = [t.split(" ") if t else [] for t in titles]
         self.lengths, self.sizes = np.array([len(t) for t in titles]), np.array([len(w) for w in self.words])
-        self.of_word: dict = {}
-        self.of_letter: dict = {}
-        for i, t in enumerate(titles):
-            for k, w in enumerate(self.words[i]):
-                self.of_word.setdefault(w, []).append((i, k))
-            for key in numbered_letters(t):
-                self.of_letter.setdefault(key, []).append(i)
-        # the titles' letters as numbers, a row for each place; 0 where a title has ended
-        self.code = {ch: i for i, ch in enumerate(sorted(set("".join(titles))), 1)}
-        self.letters = np.zeros((int(self.lengths.max(initial=0)), len(titles)), dtype=np.uint16 if len(self.code) < 65536 else np.uint32)
-        for i, t in enumerate(titles):
-            self.letters[: len(t), i] = [self.code[ch] for ch in t]
-        # the word that a letter is in; a space goes with the word behind it, under a number of its own
-        self.word_at = np.zeros(self.letters.shape, dtype=np.uint8)
+        of_word: dict = {}
         for i, words in enumerate(self.words):
-            if len(words) <= WORDS:
-                self.word_at[: len(titles[i]), i] = [x for k, w in enumerate(words) for x in ([k + WORDS + 1] if k else []) + [k] * len(w)]
-        self.of_word, self.of_letter = ({k: np.array(v) for k, v in d.items()} for d in (self.of_word, self.of_letter))
+            for k, w in enumerate(words):
+                of_word.setdefault(w, []).append((i, k))
+        self.of_word = {k: np.array(v).T for k, v in of_word.items()}
+        self.simple = (self.lengths <= PLACES) & (self.sizes <= WORDS)
+        self.long = {i: Counter(titles[i]) for i in np.flatnonzero(self.lengths > PLACES).tolist()}
+        # the other titles' letters as code points, a row for each place; 0 where a title has ended
+        most, n = max(1, int(self.lengths[self.lengths <= PLACES].max(initial=0))), len(titles)
+        self.letters = np.ascontiguousarray(np.array(["" if i in self.long else t for i, t in enumerate(titles)], dtype=f"U{most}").view(np.uint32).reshape(n, most).T)
+        # a word's letters in its title, as bits, with the space before it; and that space alone
+        self.of_place, self.gap = np.zeros((2, max(1, int(self.sizes[self.simple].max(initial=0))), n), dtype=np.uint64)
+        at, word = np.arange(n), np.zeros(n, dtype=np.int64)
+        for k in range(most):
+            space = self.letters[k] == ord(" ")
+            word += space
+            here = self.simple & (k < self.lengths)
+            self.of_place[word[here], at[here]] |= np.uint64(1 << k)
+            here &= space
+            self.gap[word[here], at[here]] = np.uint64(1 << k)
+        self.kept: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+
+    def row(self, letter: str) -> tuple[np.ndarray, np.ndarray]:
+        """The letter's places in each title of PLACES letters at most, as bits, and how often it is in any."""
+        if letter not in self.kept:
+            if len(self.kept) >= LETTERS:
+                self.kept.clear()
+            there = (self.letters == ord(letter)) & (np.arange(len(self.letters))[:, None] < self.lengths)
+            bits = np.zeros(len(self.titles), dtype=np.uint64)
+            for k, x in enumerate(there):
+                bits |= x.astype(np.uint64) << np.uint64(k)
+            count = there.sum(axis=0, dtype=np.uint8 if self.lengths.max(initial=0) < 256 else np.uint32)
+            for i, letters in self.long.items():
+                count[i] = letters[letter]
+            self.kept[letter] = bits, count
+        return self.kept[letter]
+
+    def overlap(self, title: str) -> np.ndarray:
+        """Letters in common with each title, in any order."""
+        out = np.zeros(len(self.titles), dtype=np.uint8 if len(title) < 256 else np.uint32)
+        for letter, n in Counter(title).items():
+            count = self.row(letter)[1]
+            out += np.minimum(count, count.dtype.type(min(n, np.iinfo(count.dtype).max))).astype(out.dtype)
+        return out.astype(np.int64)
 
     def best(self, title: str, floor: float, whole: bool, top: int) -> list[tuple[int, float]]:
         """(place, score) of the `top` best titles here by score and then `least`, of those with at least `floor`."""
         n, mine = len(self.titles), title.split(" ") if title else []
-        if not mine:
+        if not mine or not n:
             return self.nothing_alike(top) if floor <= 0 else []
         shared, letters = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
         here, there = np.zeros(n, dtype=np.uint64), np.zeros(n, dtype=np.uint64)  # which of the words are shared, as bits
         for k, w in enumerate(mine):
             if (both := self.of_word.get(w)) is not None:
-                at, place = both.T
+                at, place = both
                 shared[at] += 1
                 letters[at] += len(w)
                 here[at] |= np.uint64(1 << min(k, WORDS))
                 there[at] |= np.uint64(1) << np.minimum(place, WORDS).astype(np.uint64)
         base = letters + np.maximum(shared - 1, 0)
-        common = [at for k in numbered_letters(title) if (at := self.of_letter.get(k)) is not None]
-        overlap = np.bincount(np.concatenate(common), minlength=n) if common else np.zeros(n, dtype=np.int64)
-        known = np.where(shared > 0, 200.0 * base / np.maximum(1, base + np.minimum(len(title), self.lengths)), 0.0)
+        shorter, both = np.minimum(len(title), self.lengths), len(title) + self.lengths
+        known = np.where(shared > 0, 200.0 * base / np.maximum(1, base + shorter), 0.0)
         full = (shared > 0) & ((shared == len(mine)) | (shared == self.sizes))
-        bound = np.where(full, 100.0, np.maximum(known, 200.0 * np.minimum(overlap, np.minimum(len(title), self.lengths)) / (len(title) + self.lengths)))
-        limit = np.floor(bound + 1e-9) if whole else bound + 1e-9
+        limit = np.where(full, 100.0, np.maximum(known, 200.0 * shorter / both)) + 1e-9
+        if (np.floor(limit) if whole else limit).max() < floor:
+            return []
+        limit = np.where(full, 100.0, np.maximum(known, 200.0 * np.minimum(self.overlap(title), shorter) / both)) + 1e-9
+        limit = np.floor(limit) if whole else limit
         found: list[tuple[float, object, int]] = []
-        order = np.argsort(-limit, kind="stable")
-        start, step = 0, FIRST
-        while start < n:
+        left = np.flatnonzero(limit >= floor)
+        # the most promising raise the floor for the others
+        head = np.argpartition(-limit[left], FIRST)[:FIRST] if len(left) > 2 * FIRST else np.arange(len(left))
+        for some in (left[head], np.delete(left, head)):
             worst = -found[-1][0] if len(found) == top else floor
-            some = order[start : start + step]
-            start, step = start + step, n
             some = some[limit[some] >= worst]
             if not len(some):
-                break
+                continue
             x = np.where(full, 100.0, 0.0)[some]
-            apart, beside = shared[some] == 0, (shared[some] > 0) & ~full[some]
-            x[apart] = self.ratios(title, some[apart])
-            at = some[beside]
-            x[beside] = np.maximum(known[at], self.rests(title, mine, at, shared[at], letters[at], here[at], there[at]))
+            asked = np.flatnonzero(~full[some])
+            at = some[asked]
+            x[asked] = np.maximum(known[at], self.scores(title, mine, at, base[at], here[at], there[at]))
             x = np.floor(x) if whole else x
             good = np.flatnonzero(x >= worst)
             if len(good) > top:  # the last of the best, and all as good
@@ -103,48 +132,45 @@ class Postings:
             found = sorted([*found, *((-v, self.least[i], i) for i, v in zip(some[good].tolist(), x[good].tolist(), strict=True))])[:top]
         return [(i, -s) for s, _, i in found]
 
-    def common(self, title: str, at: np.ndarray, own: np.ndarray | None = None, less: np.ndarray | None = None) -> np.ndarray:
-        """The longest common subsequence of a title of 64 letters at most and those at these places: all at once, a bit of a number for each of the title's letters.
+    def scores(self, title: str, mine: list[str], at: np.ndarray, base: np.ndarray, here: np.ndarray, there: np.ndarray) -> np.ndarray:
+        """The ratio of the title and those at these places, which have words that aren't shared on both sides; shared words are a prefix of both.
 
-        own: the bits of the title's letters that count for each; less: the numbers of words, as bits, that don't count in each.
+        All at once, the titles in the bits of numbers, a step for each letter of the one. Bits of shared words match nothing, and steps of one do nothing.
         """
-        places = np.zeros(len(self.code) + 1, dtype=np.uint64)
-        for i, ch in enumerate(title):
-            if code := self.code.get(ch):
-                places[code] |= np.uint64(1 << i)
-        whole = np.uint64((1 << len(title)) - 1)
-        free = np.full(len(at), whole)
-        for k in range(int(self.lengths[at].max(initial=0))):
-            hit = places[self.letters[k, at]]
-            if less is not None:
-                hit &= own
-                hit[(less >> self.word_at[k, at]) & np.uint64(1) > 0] = 0
-            hit &= free
-            free = ((free + hit) | (free - hit)) & whole
-        return len(title) - np.bitwise_count(free).astype(np.int64)
-
-    def ratios(self, title: str, at: np.ndarray) -> np.ndarray:
-        """The ratio of a title and those at these places, which share no word with it."""
-        m = len(title)
-        if m > 64:
-            return np.array([200.0 * common_letters(title, self.titles[i]) / (m + int(self.lengths[i])) for i in at])
-        return 200.0 * self.common(title, at) / (m + self.lengths[at])
-
-    def rests(self, title: str, mine: list[str], at: np.ndarray, shared: np.ndarray, letters: np.ndarray, here: np.ndarray, there: np.ndarray) -> np.ndarray:
-        """The ratio of the shared words and either rest, of titles that share some words and have others; the shared words are a prefix of both."""
-        base = letters + shared - 1
-        if len(title) > 64 or len(mine) > WORDS:
-            return np.array([self.rest(mine, i, int(b)) for i, b in zip(at.tolist(), base, strict=True)])
-        kinds, which = np.unique(here, return_inverse=True)
-        own = np.array([left_bits(mine, int(h)) for h in kinds], dtype=np.uint64)[which]
-        one = np.uint64(1)
-        # spaces before shared words and before the first word that is left
-        less = there | ((there | (~there & (there + one))) << np.uint64(WORDS + 1))
-        ahead = base + 1
-        # a word takes a space with it
-        out = 200.0 * (ahead + self.common(title, at, own, less)) / (2 * ahead + len(title) + self.lengths[at] - 2 * (letters + shared))
-        for k in np.flatnonzero(self.sizes[at] > WORDS):
+        simple = self.simple[at] if len(mine) <= WORDS else np.zeros(len(at), dtype=bool)
+        out = np.zeros(len(at))
+        for k in np.flatnonzero(~simple).tolist():
             out[k] = self.rest(mine, int(at[k]), int(base[k]))
+        if not simple.any():
+            return out
+        at, base, here, there = at[simple], base[simple], here[simple], there[simple]
+        one, every = np.uint64(1), len(at) == len(self.titles)
+        # the bits of what is left: words with the space before them, but for the first that is left
+        keep, started = np.zeros(len(at), dtype=np.uint64), np.zeros(len(at), dtype=bool)
+        for k in range(min(int(self.sizes[at].max()), len(self.of_place))):
+            left = ((there >> np.uint64(k)) & one == 0) & (k < self.sizes[at])
+            bits = self.of_place[k, at]
+            keep |= np.where(left, np.where(started, bits, bits & ~self.gap[k, at]), np.uint64(0))
+            started |= left
+        rows = {c: self.row(c)[0] if every else self.row(c)[0][at] for c in {*title, " "}}
+        free = np.full(len(at), ~np.uint64(0))
+        more = np.zeros(len(at), dtype=bool)  # a word before this one is left
+        steps = np.zeros(len(at), dtype=np.int64)
+        some_shared = here.any()
+        for k, word in enumerate(mine):
+            left = (here >> np.uint64(k)) & one == 0 if some_shared else np.ones(len(at), dtype=bool)
+            for text, works in ((" ", left & more), (word, left)):
+                if works.any():
+                    steps += works * len(text)
+                    now = keep if works.all() else np.where(works, keep, np.uint64(0))
+                    for c in text:
+                        hit = rows[c] & now
+                        hit &= free
+                        free = (free + hit) | (free - hit)
+            more |= left
+        common = np.bitwise_count(~free & keep).astype(np.int64)
+        ahead = np.where(here > 0, base + 1, 0)
+        out[simple] = 200.0 * (ahead + common) / (2 * ahead + steps + np.bitwise_count(keep))
         return out
 
     def nothing_alike(self, top: int) -> list[tuple[int, float]]:
@@ -158,30 +184,9 @@ class Postings:
         return 200.0 * (ahead + common_letters(a, b)) / (2 * ahead + len(a) + len(b)) if a or b or base else 0.0
 
 
-def left_bits(words: list[str], shared: int) -> int:
-    """The places of a title that are left without its shared words, as bits: a word with the space before it, but for the first that is left."""
-    out, at, some = 0, 0, False
-    for k, w in enumerate(words):
-        if not shared >> k & 1:
-            first = at if some or not k else at + 1
-            out |= (1 << at + len(w) + (k > 0)) - (1 << first)
-            some = True
-        at += len(w) + (k > 0)
-    return out
-
-
-def numbered_letters(title: str) -> list[tuple[str, int]]:
-    seen: dict[str, int] = {}
-    out = []
-    for ch in title:
-        k = seen[ch] = seen.get(ch, 0) + 1
-        out.append((ch, k))
-    return out
-
-
-def score_tiles(rows: DataFrame, whole: bool, top: int) -> DataFrame:
+def score_tiles(rows: DataFrame, tasks: int, whole: bool, top: int) -> DataFrame:
     """part, title, other_title, score of the best in each block, from inventory rows (kind 0) and visitors (kind 1) of tiles."""
-    rows = rows.select(*COLUMNS).repartition("part", "block", "slice", "task").sortWithinPartitions("part", "block", "slice", "task", "kind")
+    rows = rows.select(*COLUMNS).repartition(tasks, "part", "block", "slice", "task").sortWithinPartitions("part", "block", "slice", "task", "kind")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, titles, least, postings = None, [], [], None
@@ -209,7 +214,8 @@ def best_titles(left: DataFrame, right: DataFrame, top: int, whole: bool = False
     Titles are shapes; each of `right` comes once in a part, with the smallest key of its rows. With `whole`, scores are cut to whole numbers.
     Null parts match nothing. An empty title is 0 alike to all.
     """
-    scratch = scratch or Scratch(left.sparkSession, "titles")
+    spark = left.sparkSession
+    scratch = scratch or Scratch(spark, "titles")
     length = F.char_length("title")
     right = scratch.save(right.filter("part is not null"), "inventory")
     counts = right.groupBy("part", length.alias("length")).agg(F.count(F.lit(1)).alias("n"))
@@ -227,17 +233,23 @@ def best_titles(left: DataFrame, right: DataFrame, top: int, whole: bool = False
         keys = ["part", "block", "slice"]
         visitors = visits.join(tasks, keys).withColumns({"task": F.pmod(F.xxhash64("title"), F.col("tasks")).cast("int"), "kind": F.lit(1), "least": F.lit(None).cast(right.schema["least"].dataType)})
         hosts = stock.join(tasks, keys).withColumns({"task": F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)), "kind": F.lit(0), "floor": F.lit(None).cast("double")})
-        return hosts.select(*COLUMNS).unionByName(visitors.select(*COLUMNS))
+        # some tiles share a task if they are many
+        n = min(tasks.agg(F.sum("tasks")).first()[0] or 1, TILES * spark.sparkContext.defaultParallelism)
+        return score_tiles(hosts.select(*COLUMNS).unionByName(visitors.select(*COLUMNS)), n, whole, top)
 
-    # the block of the nearest length that occurs: one of its slices
+    # the block of the nearest length that occurs, and that of the shortest titles, which are the likeliest to stand whole in others: one of their slices
     lengths = mine.select("part", length.alias("own")).distinct()
-    near = lengths.join(plan, "part").groupBy("part", "own").agg(F.min_by(F.struct("block", "slices", "longest"), F.struct(F.abs(F.col("length") - F.col("own")), "length")).alias("at"))
-    home_of = mine.withColumn("own", length).join(near, ["part", "own"]).select("part", "title", "at.block", F.pmod(F.xxhash64("title"), F.col("at.slices")).cast("int").alias("slice"), "at.longest")
+    at = F.struct("block", "slices")
+    near = lengths.join(plan, "part").groupBy("part", "own").agg(
+        F.array_distinct(F.array(F.min_by(at, F.struct(F.abs(F.col("length") - F.col("own")), "length")), F.min_by(at, "length"))).alias("at")
+    )
+    home_of = mine.withColumn("own", length).join(near, ["part", "own"]).select("part", "title", F.explode("at").alias("at"))
+    home_of = home_of.select("part", "title", "at.block", F.pmod(F.xxhash64("title"), F.col("at.slices")).cast("int").alias("slice")).distinct()
     # a length may lack in a slice of its block
     home_of = scratch.save(home_of.join(blocks.select("part", "block", "slice"), ["part", "block", "slice"], "left_semi"), "home_of")
-    home = scratch.save(score_tiles(tiles(home_of.withColumn("floor", F.lit(0.0)), "home_tasks"), whole, top), "home")
+    home = scratch.save(tiles(home_of.withColumn("floor", F.lit(0.0)), "home_tasks"), "home")
     # nothing below the last of the best so far can come in; without as many, anything can
-    found = home.groupBy("part", "title").agg(F.when(F.count(F.lit(1)) == top, F.min("score")).alias("floor"))
+    found = home.groupBy("part", "title").agg(F.get(F.sort_array(F.collect_list("score"), asc=False), F.lit(top - 1)).alias("floor"))
     asked = mine.join(found, ["part", "title"], "left").withColumn("floor", F.coalesce("floor", F.lit(0.0)))
     stands = stock.select("part", "block", "slice", F.explode(F.split("title", " ")).alias("word")).distinct()
     by_word = asked.withColumn("word", F.explode(F.split("title", " "))).join(stands, ["part", "word"]).select("part", "title", "floor", "block", "slice")
@@ -251,5 +263,5 @@ def best_titles(left: DataFrame, right: DataFrame, top: int, whole: bool = False
     covers = blocks.select("part", "block", "slice", F.explode(F.sequence("low", "high")).alias("length"))
     by_length = ranged.unionByName(empty).join(covers, ["part", "length"]).select("part", "title", "floor", "block", "slice")
     visits = by_word.unionByName(by_length).distinct().join(home_of.select("part", "title", "block", "slice"), ["part", "title", "block", "slice"], "left_anti")
-    away = score_tiles(tiles(scratch.save(visits, "visits"), "tasks"), whole, top)
+    away = tiles(scratch.save(visits, "visits"), "tasks")
     return home.unionByName(away)

@@ -200,7 +200,7 @@ def mentions_by_entry(t: Tables) -> DataFrame:
 @query()
 def nearest_titles(t: Tables) -> DataFrame:
     """Searches of every twentieth document's opening words among those of all documents."""
-    opening = F.array_join(F.slice(F.split(F.lower(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\p{L}\s]+", ""))), r"\s+"), 1, 6), " ")
+    opening = F.array_join(F.slice(F.split(F.lower(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\p{L}\s]+", ""))), r"\s+", 7), 1, 6), " ")
     titles = t.documents.select("doc_id", opening.alias("title"))
     misses = titles.filter("doc_id % 20 = 0")
     return authority.nearest_titles(misses, "doc_id", "title", titles.select(F.col("doc_id").alias("other"), F.col("title").alias("o_title")), "other", "o_title")
