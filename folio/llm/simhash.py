@@ -44,6 +44,8 @@ BLOCK = 2048
 SPELLED = 20_000
 #: Masks of the first pass; fingerprints next to it in its bucket, and pivots of the bucket, that one is held against.
 FIRST, NEXT, PIVOTS = 8, 4, 16
+#: Links that rounds of components may hold in memory, if Spark thinks so; with more, joins merge.
+SMALL = 200_000
 #: Bytes of a word that counts among a text's distinct words; shorter ones are the same in all texts of a language, whose
 #: fingerprints would then meet in more buckets than chance has them meet.
 LONG = 4
@@ -261,20 +263,21 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "star") -> DataFr
     partial aggregation, so a hub is split like any skewed join. The rounds grow as the logarithm of the size.
     """
     now = scratch.save(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), f"{name}0")
-    before, k = None, 0
+    before, k, n = None, 0, now.count()
     while True:
+        side = (lambda rows: rows.hint("merge")) if n > SMALL else (lambda rows: rows)
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.filter("v > u").join(side(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least.hint("merge"), "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
+        small = large.join(side(least), "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
         k += 1
         following = scratch.save(small, f"{name}{k}")
         state = following.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         scratch.drop(f"{name}{k - 1}")
         if state == before:
             return following.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        now, before = following, state
+        now, before, n = following, state, state[0]
 
 
 def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", shingle: int | None = 5, radius: int = 4, count: int = 1, tie: str | None = None) -> DataFrame:

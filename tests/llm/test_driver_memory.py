@@ -20,7 +20,8 @@ def plans(monkeypatch):
     return found
 
 
-def test_near_duplicates_broadcast_no_buckets(spark, plans):
+def test_near_duplicates_broadcast_no_buckets(spark, plans, monkeypatch):
+    monkeypatch.setattr(simhash, "SMALL", 0)
     texts = [" ".join(WORDS[(i // 2 * k) % 10] for k in range(1, 30)) + f" {i // 2}" for i in range(40)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     made = simhash.near_duplicates(docs, shingle=4)
